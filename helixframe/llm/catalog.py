@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frequency, heavy, sampling, seen, splitting
+from . import frequency, heavy, leaks, sampling, seen, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,18 @@ def p4_wrong_answers(kmer_sightings: DataFrame, indexed_kmers: DataFrame) -> Dat
 @query("p5_sample", "spectrum_sketch")
 def p5_sample(spectrum_sketch: DataFrame) -> DataFrame:
     return sampling.fixed_size_sample(spectrum_sketch, 256, columns=["entry_id", "sample", "canonical_hash", "threshold", "counts"])
+
+
+@query("p6_ids", "documents")
+def p6_ids(documents: DataFrame) -> DataFrame:
+    return tokens.encode_texts(documents)
+
+
+@query("p7_found", "documents", "eval_items")
+def p7_found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    return leaks.leaked(documents, eval_items)
+
+
+@query("p7_items", "documents", "eval_items")
+def p7_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    return leaks.leak_report(documents, eval_items)
