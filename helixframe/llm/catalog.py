@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frequency, heavy, leaks, sampling, seen, splitting, tokens
+from . import frequency, heavy, leaks, pii, sampling, seen, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,13 @@ def p7_found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 @query("p7_items", "documents", "eval_items")
 def p7_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     return leaks.leak_report(documents, eval_items)
+
+
+@query("p8_found", "documents", "person_names")
+def p8_found(documents: DataFrame, person_names: DataFrame) -> DataFrame:
+    return pii.find_pii(documents, person_names).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+@query("p8_redacted", "documents", "person_names")
+def p8_redacted(documents: DataFrame, person_names: DataFrame) -> DataFrame:
+    return pii.redact(documents, person_names)
