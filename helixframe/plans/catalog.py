@@ -1,10 +1,537 @@
-"""Registered queries of the core operators and the SQL they are checked against."""
+"""Registered queries of the core operators and the SQL they are checked against.
+
+Reads come from read_records, each once; a quality of another length than its
+sequence counts as missing. The number in a name is the operator's in the
+inventory of the blueprint.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dna
+from ..operators import compact, correct, counting, graph, kmers, spectrum
+from ..sources import reads as read_source
+from ..sources import sinks
+from . import assemble, libraries, mixture, options, selection
+from . import spectrum as estimator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+K, FLOORS, MIN_COUNT = 21, [0, 11, 25], 3
+VALLEY, PEAK = 4, 12
+
+
+def query(name: str, *tables: str, sql: str | None = None):
+    """Register a function of the named tables as a query."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, folder: f(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in tables))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def reads_of(records: DataFrame) -> DataFrame:
+    return read_source.validated(read_source.delivered_once(records), "unrate")
+
+
+_MASK = "array_to_string(list_transform(generate_series(1, length(seq)), lambda i: CASE WHEN upper(seq[i]) IN ('A','C','G','T') AND (qual IS NULL OR ascii(qual[i]) - 33 >= {floor}) THEN upper(seq[i]) ELSE 'N' END), '')"
+_READS = "reads AS (SELECT DISTINCT read_id, sample, seq, CASE WHEN length(qual) = length(seq) THEN qual END AS qual FROM read_records)"
+_MASKED = f"{_READS}, masked AS (SELECT read_id, seq, {', '.join(f'{_MASK.format(floor=f)} AS m{i}' for i, f in enumerate(FLOORS))} FROM reads)"
+_RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+_WINDOWS = f"""{_MASKED}, cut AS (SELECT read_id, i - 1 AS start, substr(m0, i, {K}) AS w, substr(m1, i, {K}) AS w1, substr(m2, i, {K}) AS w2
+  FROM (SELECT *, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM masked) WHERE strpos(substr(m0, i, {K}), 'N') = 0),
+windows AS (SELECT read_id, start, least(w, {_RC.format('w')}) AS kmer, w <= {_RC.format('w')} AS forward, CASE WHEN strpos(w2, 'N') = 0 THEN 2 WHEN strpos(w1, 'N') = 0 THEN 1 ELSE 0 END AS grp FROM cut)"""
+_COUNTS = f"""{_WINDOWS}, counts AS (SELECT kmer, count(*) AS n, count(*) AS n_f0, count(*) FILTER (WHERE grp >= 1) AS n_f1, count(*) FILTER (WHERE grp >= 2) AS n_f2 FROM windows GROUP BY kmer)"""
+_SPECTRUM = f"{_COUNTS}, spectrum AS (SELECT CAST(least(n, 8000) AS INTEGER) AS count, count(*) AS distinct_kmers FROM counts GROUP BY 1)"
+_FILLED = f"{_SPECTRUM}, filled AS (SELECT b.count, coalesce(distinct_kmers, 0) AS distinct_kmers FROM (SELECT unnest(generate_series(1, 8000)) AS count) b LEFT JOIN spectrum USING (count))"
+_NODES = f"{_COUNTS}, nodes AS (SELECT kmer, n FROM counts WHERE n >= {MIN_COUNT}), view AS (SELECT kmer, '+' AS o, kmer AS s FROM nodes UNION ALL SELECT kmer, '-', {_RC.format('kmer')} FROM nodes)"
+_EDGES = f"{_NODES}, edges AS (SELECT a.kmer AS src, a.o AS so, b.kmer AS dst, b.o AS dor FROM view a JOIN view b ON right(a.s, {K - 1}) = left(b.s, {K - 1}))"
+_DEGREES = f"{_EDGES}, degrees AS (SELECT kmer, count(so) FILTER (WHERE so = '+') AS out_plus, count(so) FILTER (WHERE so = '-') AS out_minus FROM nodes LEFT JOIN edges ON src = kmer GROUP BY kmer)"
+
+
+# A: sources and sinks
+
+
+@query("a7_validation", "read_records", sql="""
+WITH r AS (SELECT DISTINCT read_id, seq, qual FROM read_records)
+SELECT CASE WHEN qual IS NULL THEN 'unrated' WHEN length(qual) <> length(seq) THEN 'broken' ELSE 'rated' END AS kind, count(*) AS reads, CAST(coalesce(sum(length(seq)), 0) AS BIGINT) AS bases FROM r GROUP BY 1""")
+def a7_validation(records: DataFrame) -> DataFrame:
+    once = read_source.delivered_once(records)
+    kind = F.when(F.col("qual").isNull(), "unrated").when(F.length("qual") != F.length("seq"), "broken").otherwise("rated")
+    return once.groupBy(kind.alias("kind")).agg(F.count("*").alias("reads"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
+
+
+@query("a12_read_stats", "read_records", sql=f"WITH {_READS} SELECT count(seq) AS reads, CAST(coalesce(sum(length(seq)), 0) AS BIGINT) AS bases, CAST(coalesce(max(length(seq)), 0) AS INTEGER) AS longest FROM reads")
+def a12_read_stats(records: DataFrame) -> DataFrame:
+    return read_source.statistics(reads_of(records))
+
+
+@query("a12_library_stats", "read_records", sql=f"WITH {_READS} SELECT sample, count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(max(length(seq)) AS INTEGER) AS longest FROM reads GROUP BY 1")
+def a12_library_stats(records: DataFrame) -> DataFrame:
+    return reads_of(records).groupBy("sample").agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"), F.max(F.length("seq")).alias("longest"))
+
+
+@query("a13_quality_alphabet", "read_records", sql=f"""WITH {_READS}, first AS (SELECT * FROM reads WHERE qual IS NOT NULL ORDER BY read_id LIMIT 5000),
+pairs AS (SELECT upper(seq[i]) AS b, greatest(ascii(qual[i]) - 33, 0) AS quality FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM first))
+SELECT DISTINCT CAST(quality AS INTEGER) AS quality FROM pairs WHERE b IN ('A','C','G','T') AND quality < 64""")
+def a13_quality_alphabet(records: DataFrame) -> DataFrame:
+    return read_source.quality_alphabet(reads_of(records).filter("qual is not null"))
+
+
+_CONTIGS = "contigs_now AS (SELECT k, contig_id, upper(seq) AS seq, cov, serialized_contigs FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY written_at DESC) AS rn FROM contigs) WHERE rn = 1)"
+
+
+def contigs_now(contigs: DataFrame) -> DataFrame:
+    """The current version of each contig, its sequence in upper case."""
+    row = F.max(F.struct("written_at", "k", F.upper("seq").alias("seq"), "cov", "serialized_contigs"))
+    return contigs.groupBy("contig_id").agg(row.alias("r")).select("contig_id", "r.k", "r.seq", "r.cov", "r.serialized_contigs")
+
+
+@query("a14_fasta", "contigs", sql=f"""WITH {_CONTIGS}, long AS (SELECT seq, row_number() OVER (ORDER BY length(seq) DESC, seq) - 1 AS number FROM contigs_now WHERE length(seq) >= 500)
+SELECT number, '>' || number || chr(10) || rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM long""")
+def a14_fasta(contigs: DataFrame) -> DataFrame:
+    return sinks.fasta_records(contigs_now(contigs), 500)
+
+
+@query("a16_gfa_links", "read_records", sql=f"""WITH {_EDGES}, linked AS (SELECT src, so, dst, dor FROM edges WHERE src <> dst),
+flipped AS (SELECT dst AS src, CASE dor WHEN '+' THEN '-' ELSE '+' END AS so, src AS dst, CASE so WHEN '+' THEN '-' ELSE '+' END AS dor FROM linked)
+SELECT DISTINCT least('L' || chr(9) || b.src || chr(9) || b.so || chr(9) || b.dst || chr(9) || b.dor, 'L' || chr(9) || b.dst || chr(9) || CASE b.dor WHEN '+' THEN '-' ELSE '+' END || chr(9) || b.src || chr(9) || CASE b.so WHEN '+' THEN '-' ELSE '+' END) || chr(9) || '{K - 1}M' AS value FROM linked b""")
+def a16_gfa_links(records: DataFrame) -> DataFrame:
+    _, edges = _named_graph(records)
+    line = lambda a, ao, b, bo: F.concat_ws("\t", F.lit("L"), a, ao, b, bo)
+    edges = edges.filter("src <> dst")
+    value = F.least(line("src", "so", "dst", "dor"), line(F.col("dst"), dna.flip("dor"), F.col("src"), dna.flip("so")))
+    return edges.select(F.concat(value, F.lit(f"\t{K - 1}M")).alias("value")).distinct()
+
+
+@query("a16_gfa_lines", "read_records")
+def a16_gfa_lines(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    edges = graph.overlap_edges(nodes, K)
+    new_nodes, new_edges, _ = compact.contract(nodes, edges, K)
+    return sinks.gfa_lines(new_nodes, new_edges, K)
+
+
+@query("a18_spectrum_rows", "read_records", sql=f"WITH {_FILLED} SELECT count, distinct_kmers AS \"distinct\" FROM filled WHERE count <= (SELECT max(count) FROM spectrum)")
+def a18_spectrum_rows(records: DataFrame) -> DataFrame:
+    return sinks.spectrum_rows(_spectrum(records))
+
+
+# B: scalar functions
+
+
+@query("b_base_functions", "contigs", sql=f"""WITH {_CONTIGS}, w AS (SELECT contig_id, left(seq, 21) AS s FROM contigs_now WHERE regexp_matches(left(seq, 21), '^[ACGT]{{21}}$'))
+SELECT contig_id, {_RC.format('s')} AS rc, least(s, {_RC.format('s')}) AS canonical, left(s, 20) AS prefix, right(s, 20) AS suffix,
+  CAST((strpos('ACTG', left(s, 1)) - 1) * 4 + strpos('ACTG', right(s, 1)) - 1 AS INTEGER) AS ends,
+  CAST(list_sum(list_transform(generate_series(1, 21), lambda i: CAST(strpos('ACTG', s[i]) - 1 AS BIGINT) << (2 * (21 - i)))) AS BIGINT) AS packed, s AS unpacked,
+  CAST(strpos('ACTG', s[5]) - 1 AS INTEGER) AS fifth FROM w""")
+def b_base_functions(contigs: DataFrame) -> DataFrame:
+    s = F.left("seq", F.lit(21))
+    w = contigs_now(contigs).select("contig_id", s.alias("s")).filter(F.col("s").rlike("^[ACGT]{21}$"))
+    word = dna.packed("s")
+    return w.select("contig_id", dna.reverse_complement("s").alias("rc"), dna.canonical("s").alias("canonical"), dna.prefix("s", 21).alias("prefix"), dna.suffix("s", 21).alias("suffix"), dna.endpoint_byte("s").cast("int").alias("ends"), word.alias("packed"), dna.unpacked(word, 21).alias("unpacked"), dna.packed_base(word, 4, 21).cast("int").alias("fifth"))
+
+
+@query("b7_base_qualities", "read_records", sql=f"""WITH {_READS}, pairs AS (SELECT upper(seq[i]) AS b, greatest(ascii(qual[i]) - 33, 0) AS quality FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM reads WHERE qual IS NOT NULL))
+SELECT b AS base, CAST(quality AS INTEGER) AS quality, count(*) AS bases FROM pairs GROUP BY 1, 2""")
+def b7_base_qualities(records: DataFrame) -> DataFrame:
+    rated = reads_of(records).filter("qual is not null and length(seq) > 0")
+    pairs = rated.select(F.inline(F.arrays_zip(F.split(F.upper("seq"), ""), F.split("qual", "")))).toDF("base", "q")
+    return pairs.groupBy("base", dna.phred("q").alias("quality")).agg(F.count("*").alias("bases"))
+
+
+# C: windows, floors, filters
+
+
+@query("c1_windows", "read_records", sql=f"WITH {_WINDOWS} SELECT read_id, CAST(start AS INTEGER) AS start, kmer, forward, CAST(grp AS INTEGER) AS grp FROM windows")
+def c1_windows(records: DataFrame) -> DataFrame:
+    return kmers.kmer_windows(reads_of(records), K, FLOORS)
+
+
+@query("c1_runs", "read_records", sql=f"WITH {_MASKED}, runs AS (SELECT read_id, list_filter(regexp_extract_all(m0, '[ACGT]+'), lambda r: length(r) >= {K}) AS r FROM masked) SELECT read_id, CAST(i - 1 AS INTEGER) AS run_no, r[i] AS run FROM (SELECT *, unnest(generate_series(1, len(r))) AS i FROM runs)")
+def c1_runs(records: DataFrame) -> DataFrame:
+    return kmers.usable_runs(reads_of(records), K)
+
+
+@query("c2_masked_reads", "read_records", sql=f"WITH {_MASKED} " + " UNION ALL ".join(f"SELECT read_id, {f} AS floor, m{i} AS seq FROM masked" for i, f in enumerate(FLOORS)))
+def c2_masked_reads(records: DataFrame) -> DataFrame:
+    return kmers.masked_reads(reads_of(records), FLOORS)
+
+
+@query("c5_window_groups", "read_records", sql=f"WITH {_WINDOWS} SELECT CAST(grp AS INTEGER) AS grp, count(*) AS windows, count(DISTINCT read_id) AS reads FROM windows GROUP BY 1")
+def c5_window_groups(records: DataFrame) -> DataFrame:
+    return kmers.kmer_windows(reads_of(records), K, FLOORS).groupBy("grp").agg(F.count("*").alias("windows"), F.countDistinct("read_id").alias("reads"))
+
+
+@query("c8_floor_presence", "read_records", sql=f"WITH {_WINDOWS}, m AS (SELECT coalesce(max(grp), -1) AS m FROM windows) " + " UNION ALL ".join(f"SELECT {f} AS floor, m >= {i} AS has_kmers FROM m" for i, f in enumerate(FLOORS)))
+def c8_floor_presence(records: DataFrame) -> DataFrame:
+    return kmers.floor_presence(kmers.kmer_windows(reads_of(records), K, FLOORS), FLOORS)
+
+
+@query("c9_floor_ladder", "read_records")
+def c9_floor_ladder(records: DataFrame) -> DataFrame:
+    alphabet = [r[0] for r in read_source.quality_alphabet(reads_of(records).filter("qual is not null")).collect()]
+    return records.sparkSession.createDataFrame([(i, f) for i, f in enumerate(selection.effective_floors(alphabet))], "position int, floor int")
+
+
+@query("c11_at_least", "read_records", sql=f"WITH {_COUNTS} SELECT kmer, n FROM counts WHERE n >= {MIN_COUNT}")
+def c11_at_least(records: DataFrame) -> DataFrame:
+    return counting.at_least(_counts(records), MIN_COUNT).select("kmer", "n")
+
+
+@query("c12_without_weak_nodes", "read_records", sql=f"WITH {_EDGES} SELECT src, so, dst, dor FROM edges WHERE src IN (SELECT kmer FROM nodes WHERE n >= 6) AND dst IN (SELECT kmer FROM nodes WHERE n >= 6)")
+def c12_without_weak_nodes(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    _, edges = graph.without_weak(nodes, graph.overlap_edges(nodes, K), 6)
+    return _named(nodes, edges)
+
+
+@query("c13_long_contigs", "contigs", sql=f"WITH {_CONTIGS} SELECT contig_id, CAST(length(seq) AS INTEGER) AS len FROM contigs_now WHERE length(seq) >= 500")
+def c13_long_contigs(contigs: DataFrame) -> DataFrame:
+    return contigs_now(contigs).select("contig_id", F.length("seq").alias("len")).filter("len >= 500")
+
+
+# D: aggregations
+
+
+def _counts(records: DataFrame) -> DataFrame:
+    return counting.count_kmers(reads_of(records), K, FLOORS)
+
+
+def _spectrum(records: DataFrame) -> DataFrame:
+    return counting.histogram(_counts(records))
+
+
+@query("d1_kmer_counts", "read_records", sql=f"WITH {_COUNTS} SELECT kmer, n FROM counts")
+def d1_kmer_counts(records: DataFrame) -> DataFrame:
+    return counting.count_kmers(reads_of(records), K).select("kmer", "n")
+
+
+@query("d1_long_kmer_counts", "read_records", sql=f"""WITH {_MASKED}, cut AS (SELECT substr(m0, i, 41) AS w FROM (SELECT *, unnest(generate_series(1, length(seq) - 40)) AS i FROM masked) WHERE strpos(substr(m0, i, 41), 'N') = 0)
+SELECT least(w, {_RC.format('w')}) AS kmer, count(*) AS n FROM cut GROUP BY 1""")
+def d1_long_kmer_counts(records: DataFrame) -> DataFrame:
+    return counting.count_kmers(reads_of(records), 41).select("kmer", "n")
+
+
+@query("d2_gated_counts", "read_records", sql=f"WITH {_COUNTS} SELECT kmer, n FROM counts WHERE n >= 2")
+def d2_gated_counts(records: DataFrame) -> DataFrame:
+    return counting.gated_counts(_counts(records)).select("kmer", "n")
+
+
+@query("d3_filter_occupancy", "bloom_bits", sql="""
+WITH b AS (SELECT DISTINCT bloom_id, buffer FROM bloom_bits)
+SELECT bloom_id, CAST(coalesce(list_sum(list_transform(buffer, lambda w: bit_count(w))), 0) AS BIGINT) AS set_bits, CAST(coalesce(len(buffer), 0) * 64 AS BIGINT) AS all_bits,
+  coalesce(list_sum(list_transform(buffer, lambda w: bit_count(w))), 0) * 4 > coalesce(len(buffer), 0) * 64 AS warn FROM b""")
+def d3_filter_occupancy(filters: DataFrame) -> DataFrame:
+    once = filters.groupBy("bloom_id").agg(F.max("buffer").alias("buffer"))
+    return counting.occupancy(once).select("bloom_id", "set_bits", "all_bits", "warn")
+
+
+@query("d4_floor_counts", "read_records", sql=f"WITH {_COUNTS} SELECT kmer, n_f0, n_f1, n_f2 FROM counts")
+def d4_floor_counts(records: DataFrame) -> DataFrame:
+    return _counts(records).select("kmer", "n_f0", "n_f1", "n_f2")
+
+
+@query("d5_hash_sample", "read_records")
+def d5_hash_sample(records: DataFrame) -> DataFrame:
+    counts = _counts(records)
+    threshold = counting.sample_threshold(counts.count(), most=20_000)
+    fraction = counting.sample_fraction(threshold)
+    return counting.rescaled(counting.histogram(counting.sampled(counts, threshold)), fraction).withColumn("fraction", F.lit(fraction))
+
+
+@query("d9_spectrum", "read_records", sql=f"WITH {_SPECTRUM} SELECT count, distinct_kmers AS \"distinct\" FROM spectrum")
+def d9_spectrum(records: DataFrame) -> DataFrame:
+    return _spectrum(records)
+
+
+@query("d9_floor_spectra", "read_records", sql=f"WITH {_COUNTS} " + " UNION ALL ".join(f"SELECT {f} AS floor, CAST(least(n_f{i}, 8000) AS INTEGER) AS count, count(*) AS \"distinct\" FROM counts WHERE n_f{i} > 0 GROUP BY 2" for i, f in enumerate(FLOORS)))
+def d9_floor_spectra(records: DataFrame) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(f).alias("floor"), F.col(f"n_f{i}").alias("n")) for i, f in enumerate(FLOORS)))
+    flat = _counts(records).select(F.inline(rows)).filter("n > 0")
+    return flat.groupBy("floor", F.least("n", F.lit(counting.BINS)).cast("int").alias("count")).agg(F.count("*").alias("distinct"))
+
+
+@query("d10_occurrence_median", "read_records", sql=f"WITH {_SPECTRUM} SELECT min(count) AS median FROM (SELECT count, sum(count * distinct_kmers) OVER (ORDER BY count) AS upto, sum(count * distinct_kmers) OVER () AS whole FROM spectrum) WHERE upto * 2 >= whole")
+def d10_occurrence_median(records: DataFrame) -> DataFrame:
+    return spectrum.occurrence_median(_spectrum(records))
+
+
+@query("d11_d13_tail_sums", "read_records", sql=f"WITH {_SPECTRUM} SELECT CAST(sum(distinct_kmers) FILTER (WHERE count >= {VALLEY}) AS BIGINT) AS distinct_above, round(sum(count * distinct_kmers) FILTER (WHERE count >= {VALLEY}) / sum(count * distinct_kmers)::DOUBLE, 9) AS instance_share FROM spectrum")
+def d11_d13_tail_sums(records: DataFrame) -> DataFrame:
+    return spectrum.tail_sums(_spectrum(records), VALLEY).withColumn("instance_share", F.round("instance_share", 9))
+
+
+@query("d12_mirrored_area", "read_records", sql=f"WITH {_SPECTRUM} SELECT round(coalesce(sum(distinct_kmers) FILTER (WHERE count BETWEEN {VALLEY} AND {2 * PEAK - VALLEY}), 0) / (sum(distinct_kmers) FILTER (WHERE count >= 2))::DOUBLE, 9) AS area FROM spectrum")
+def d12_mirrored_area(records: DataFrame) -> DataFrame:
+    return spectrum.mirrored_area(_spectrum(records), VALLEY, PEAK).select(F.round("area", 9).alias("area"))
+
+
+@query("d14_loss_guard", "read_records", sql=f"""WITH {_FILLED}, o AS (SELECT count, coalesce(sum(distinct_kmers) OVER (ORDER BY count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost, sum(distinct_kmers) OVER () AS whole FROM filled WHERE count >= {VALLEY} AND count < 8000)
+SELECT CAST(greatest(coalesce(max(count), 2), 2) AS INTEGER) AS guard FROM o WHERE count <= {PEAK} AND lost <= whole * 0.01""")
+def d14_loss_guard(records: DataFrame) -> DataFrame:
+    return spectrum.loss_guard(_spectrum(records), VALLEY, PEAK).select(F.col("guard").cast("int").alias("guard"))
+
+
+@query("d16_lobe_dispersion", "read_records", sql=f"""WITH {_SPECTRUM}, m AS (SELECT sum(distinct_kmers)::DOUBLE AS n, sum(count * distinct_kmers)::DOUBLE AS s, sum(count * count * distinct_kmers)::DOUBLE AS q FROM spectrum WHERE count >= {VALLEY} AND count < {2 * PEAK})
+SELECT round((q / n - (s / n) * (s / n)) / (s / n), 6) AS dispersion FROM m""")
+def d16_lobe_dispersion(records: DataFrame) -> DataFrame:
+    return spectrum.dispersion(_spectrum(records), VALLEY, PEAK).select(F.round("dispersion", 6).alias("dispersion"))
+
+
+@query("d17_aun", "contigs", sql=f"WITH {_CONTIGS} SELECT k, round(sum(length(seq)::DOUBLE * length(seq)) / sum(length(seq)), 6) AS aun FROM contigs_now WHERE length(seq) >= 100 GROUP BY k")
+def d17_aun(contigs: DataFrame) -> DataFrame:
+    size = F.length("seq")
+    return contigs_now(contigs).filter(size >= 100).groupBy("k").agg(F.round(F.sum(size.cast("double") * size) / F.sum(size), 6).alias("aun"))
+
+
+@query("d18_path_coverage", "contigs", sql=f"""WITH {_CONTIGS}, n AS (SELECT contig_id, unnest(serialized_contigs) AS node FROM contigs_now)
+SELECT contig_id, round(sum(node.counts::DOUBLE * len(node.abs_ind)) / sum(len(node.abs_ind)), 6) AS coverage, CAST(sum(len(node.abs_ind)) AS BIGINT) AS kmers FROM n WHERE len(node.abs_ind) > 0 AND node.counts IS NOT NULL GROUP BY 1""")
+def d18_path_coverage(contigs: DataFrame) -> DataFrame:
+    node = contigs_now(contigs).select("contig_id", F.inline("serialized_contigs")).filter("size(abs_ind) > 0 and counts is not null")
+    n = F.size("abs_ind")
+    return node.groupBy("contig_id").agg(F.round(F.sum(F.col("counts").cast("double") * n) / F.sum(n), 6).alias("coverage"), F.sum(n).alias("kmers"))
+
+
+@query("d20_neighbour_means", "read_records", sql=f"""WITH {_EDGES}, near AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)
+SELECT src AS kmer, round(avg(n), 6) AS mean FROM near JOIN nodes ON kmer = dst GROUP BY src""")
+def d20_neighbour_means(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    edges = graph.overlap_edges(nodes, K)
+    means = graph.neighbourhood_means(nodes, edges, nodes.select("nid", F.col("nid").alias("but")))
+    return means.join(nodes, "nid").select(F.col("seq").alias("kmer"), F.round("mean", 6).alias("mean"))
+
+
+_CARRIED = f"""carried AS (SELECT DISTINCT least(w, {_RC.format('w')}) AS kmer FROM (SELECT substr(s, i, {K}) AS w FROM (SELECT s, unnest(generate_series(1, length(s) - {K - 1})) AS i FROM (SELECT regexp_replace(seq, '[^ACGT]', 'N', 'g') AS s FROM contigs_now))) WHERE strpos(w, 'N') = 0)"""
+
+
+@query("d24_carry", "read_records", "contigs", sql=f"""WITH {_COUNTS}, {_CONTIGS}, {_CARRIED}
+SELECT coalesce(c.kmer, r.kmer) AS kmer, greatest(coalesce(n, 0), CASE WHEN r.kmer IS NOT NULL THEN 5 ELSE 0 END) AS n, n IS NULL AS is_new FROM counts c FULL JOIN carried r ON c.kmer = r.kmer""")
+def d24_carry(records: DataFrame, contigs: DataFrame) -> DataFrame:
+    return counting.carry(_counts(records), contigs_now(contigs).select("seq"), K, 5)
+
+
+@query("d25_components", "read_records")
+def d25_components(records: DataFrame) -> DataFrame:
+    """Contracted first, so that components are found over paths and not over k-mers."""
+    nodes, edges = _contracted(records)
+    labels = graph.components(nodes, edges).join(nodes, "nid").groupBy("component").agg(F.sum("n_kmers").alias("n"))
+    return labels.agg(F.count("*").alias("components"), F.count_if(F.col("n") == 1).alias("alone"), F.max("n").alias("largest"))
+
+
+@query("d26_graph_totals", "read_records", sql=f"WITH {_DEGREES} SELECT count(*) AS kmers, count(*) FILTER (WHERE out_plus = 0 AND out_minus = 0) AS alone, CAST(sum(out_plus + out_minus) AS BIGINT) AS edge_refs FROM degrees")
+def d26_graph_totals(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    return graph.totals(nodes, graph.overlap_edges(nodes, K))
+
+
+@query("d27_run_totals", "contigs", sql=f"WITH {_CONTIGS} SELECT k, count(*) AS contigs, CAST(coalesce(sum(length(seq)), 0) AS BIGINT) AS bases FROM contigs_now GROUP BY k")
+def d27_run_totals(contigs: DataFrame) -> DataFrame:
+    return contigs_now(contigs).groupBy("k").agg(F.count("*").alias("contigs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
+
+
+# E to G: spectrum, fit, selection
+
+
+@query("e1_smoothed", "read_records", sql=f"""WITH {_FILLED} SELECT CAST(count AS INTEGER) AS count, CAST(floor(sum(distinct_kmers) OVER w / count(*) OVER w) AS BIGINT) AS smooth FROM filled WHERE count < 8000 WINDOW w AS (ORDER BY count ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def e1_smoothed(records: DataFrame) -> DataFrame:
+    return spectrum.smoothed(_spectrum(records))
+
+
+@query("e3_highest_bin", "read_records", sql=f"WITH {_SPECTRUM} SELECT count AS peak FROM spectrum WHERE count >= {VALLEY} AND count < 8000 ORDER BY distinct_kmers DESC, count LIMIT 1")
+def e3_highest_bin(records: DataFrame) -> DataFrame:
+    return spectrum.highest_bin(_spectrum(records), VALLEY)
+
+
+@query("e4_lowest_bin", "read_records", sql=f"WITH {_FILLED} SELECT CAST(count AS INTEGER) AS valley FROM filled WHERE count BETWEEN 2 AND {PEAK} ORDER BY distinct_kmers, count LIMIT 1")
+def e4_lowest_bin(records: DataFrame) -> DataFrame:
+    return spectrum.lowest_bin(_spectrum(records), 2, PEAK)
+
+
+@query("e7_local_valleys", "read_records", sql=f"WITH {_FILLED} SELECT CAST(count AS INTEGER) AS count, distinct_kmers AS \"distinct\" FROM (SELECT *, lag(distinct_kmers) OVER (ORDER BY count) AS b, lead(distinct_kmers) OVER (ORDER BY count) AS a FROM filled) WHERE count >= 2 AND count < 7999 AND distinct_kmers < a AND distinct_kmers < b")
+def e7_local_valleys(records: DataFrame) -> DataFrame:
+    return spectrum.local_valleys(_spectrum(records))
+
+
+@query("e9_pair_sums", "read_records", sql=f"WITH {_FILLED} SELECT CAST(count AS INTEGER) AS count, pair FROM (SELECT count, distinct_kmers + lead(distinct_kmers) OVER (ORDER BY count) AS pair FROM filled) WHERE pair > 0")
+def e9_pair_sums(records: DataFrame) -> DataFrame:
+    return spectrum.pair_sums(_spectrum(records))
+
+
+@query("e11_library_estimates", "preprocessed_k")
+def e11_library_estimates(preprocessed: DataFrame) -> DataFrame:
+    return libraries.library_estimates(preprocessed)
+
+
+@query("e13_library_medians", "preprocessed_k", sql="""
+WITH runs AS (SELECT sample, histovec FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY run_at DESC) AS rn FROM preprocessed_k) WHERE rn = 1),
+bins AS (SELECT sample, i AS count, coalesce(histovec[i], 0)::BIGINT AS n FROM (SELECT *, unnest(generate_series(1, len(histovec))) AS i FROM runs)),
+mass AS (SELECT sample, count, sum(count * n) OVER (PARTITION BY sample ORDER BY count) AS upto, sum(count * n) OVER (PARTITION BY sample) AS whole FROM bins)
+SELECT sample, CAST(min(count) AS INTEGER) AS median FROM mass WHERE whole > 0 AND upto * 2 >= whole GROUP BY sample""")
+def e13_library_medians(preprocessed: DataFrame) -> DataFrame:
+    h = F.transform("histovec", lambda v: F.coalesce(v, F.lit(0)).cast("long"))
+    mass = F.transform(h, lambda v, i: v * (i + 1))
+    runs = libraries.latest_runs(preprocessed).select("sample", mass.alias("mass")).withColumn("whole", F.aggregate("mass", F.lit(0).cast("long"), lambda a, v: a + v)).filter("whole > 0")
+    scan = F.aggregate("mass", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("bins")), lambda a, v: F.when(a.upto * 2 >= F.col("whole"), a).otherwise(F.struct((a.upto + v).alias("upto"), (a.bins + 1).alias("bins"))))
+    return runs.select("sample", scan.bins.alias("median"))
+
+
+@query("f1_mixture_fit", "read_records")
+def f1_mixture_fit(records: DataFrame) -> DataFrame:
+    """Every converged fit of the reads' spectrum with its verdict; no row if no valley and peak separate."""
+    h = counting.dense(_spectrum(records))
+    found = estimator.estimate(h)
+    rows = []
+    if found.resolved:
+        best, tried = mixture.fit_spectrum(h, found.valley, found.peak, found.dispersion)
+        rows = [(f.error_model, f.genome_model, f.w_error, f.w_single, f.w_repeat, float(f.mean), f.mode, float(f.dispersion), f.bic, why or None, f is best) for f, why in tried]
+    return records.sparkSession.createDataFrame(rows, "error_model string, genome_model string, w_error double, w_single double, w_repeat double, mean double, mode int, dispersion double, bic double, rejection string, chosen boolean")
+
+
+@query("g9_choice", "read_records")
+def g9_choice(records: DataFrame) -> DataFrame:
+    counts = _counts(records)
+    choice = selection.choose({f: counting.dense(counting.histogram(counts, f"n_f{i}")) for i, f in enumerate(FLOORS)})
+    return records.sparkSession.createDataFrame([(choice.floor, choice.min_count, choice.peak, choice.source, choice.unresolved)], "floor int, min_count int, peak int, source string, unresolved boolean")
+
+
+# H: graph
+
+
+def _nodes(records: DataFrame) -> DataFrame:
+    return graph.nodes_of(counting.at_least(_counts(records), MIN_COUNT))
+
+
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges by k-mers instead of ids."""
+    a, b = nodes.select(F.col("nid").alias("src"), F.col("seq").alias("s")), nodes.select(F.col("nid").alias("dst"), F.col("seq").alias("d"))
+    return edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), "so", F.col("d").alias("dst"), F.col("do").alias("dor"))
+
+
+def _named_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = _nodes(records)
+    return nodes, _named(nodes, graph.overlap_edges(nodes, K))
+
+
+@query("h1_oriented_view", "read_records", sql=f"WITH {_NODES} SELECT kmer, o AS orient, s AS read FROM view")
+def h1_oriented_view(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    return graph.oriented_view(nodes).join(nodes.select("nid", F.col("seq").alias("kmer")), "nid").select("kmer", "orient", "read")
+
+
+@query("h3_edges", "read_records", sql=f"WITH {_EDGES} SELECT src, so, dst, dor FROM edges")
+def h3_edges(records: DataFrame) -> DataFrame:
+    return _named_graph(records)[1]
+
+
+@query("h4_lookup", "read_records", "contigs", sql=f"""WITH {_NODES}, {_CONTIGS}, q AS (SELECT DISTINCT left(seq, {K}) AS kmer FROM contigs_now WHERE length(seq) >= {K})
+SELECT q.kmer, v.o AS orient, CAST(n.n AS DOUBLE) AS cov FROM q JOIN view v ON v.s = q.kmer JOIN nodes n ON n.kmer = v.kmer""")
+def h4_lookup(records: DataFrame, contigs: DataFrame) -> DataFrame:
+    wanted = contigs_now(contigs).filter(F.length("seq") >= K).select(F.left("seq", F.lit(K)).alias("kmer")).distinct()
+    return graph.lookup(_nodes(records), wanted).select("kmer", "orient", "cov")
+
+
+@query("h6_h7_paired_edges", "read_records", sql=f"""WITH {_EDGES}, e AS (SELECT DISTINCT src, so, dst, dor FROM edges WHERE src <> dst)
+SELECT a.* FROM e a SEMI JOIN e b ON b.src = a.dst AND b.dst = a.src AND b.so <> a.dor AND b.dor <> a.so""")
+def h6_h7_paired_edges(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    return _named(nodes, graph.paired(graph.without_self_loops(graph.overlap_edges(nodes, K))))
+
+
+@query("h5_degrees", "read_records", sql=f"WITH {_DEGREES} SELECT kmer, out_plus, out_minus FROM degrees")
+def h5_degrees(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    return graph.degrees(nodes, graph.overlap_edges(nodes, K)).join(nodes, "nid").select(F.col("seq").alias("kmer"), "out_plus", "out_minus")
+
+
+@query("h9_externals", "read_records", sql=f"WITH {_DEGREES} SELECT kmer, CASE WHEN out_plus > 0 THEN '+' ELSE '-' END AS orient, greatest(out_plus, out_minus) AS exits FROM degrees WHERE (out_plus = 0) <> (out_minus = 0)")
+def h9_externals(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    return graph.externals(nodes, graph.overlap_edges(nodes, K)).join(nodes, "nid").select(F.col("seq").alias("kmer"), "orient", "exits")
+
+
+@query("h8_unitigs", "read_records")
+def h8_unitigs(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    merged, _, _ = compact.contract(nodes, graph.without_self_loops(graph.overlap_edges(nodes, K)), K)
+    return merged.select(F.least("seq", dna.reverse_complement("seq")).alias("seq"), "n_kmers", "cov")
+
+
+@query("h8_simple_edges", "read_records", sql=f"""WITH {_EDGES}, e AS (SELECT * FROM edges WHERE src <> dst),
+one AS (SELECT src, so FROM e GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT src, so, dst, dor FROM e SEMI JOIN one USING (src, so) WHERE EXISTS (SELECT 1 FROM one o WHERE o.src = e.dst AND o.so <> e.dor)""")
+def h8_simple_edges(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    links = compact.simple_edges(graph.without_self_loops(graph.overlap_edges(nodes, K)))
+    sign = lambda c: F.when(F.col(c) % 2 == 0, "+").otherwise("-")
+    return _named(nodes, links.select(F.shiftright("u", 1).alias("src"), sign("u").alias("so"), F.shiftright("v", 1).alias("dst"), sign("v").alias("do")))
+
+
+def _contracted(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = _nodes(records)
+    nodes, edges, _ = compact.contract(nodes, graph.without_self_loops(graph.overlap_edges(nodes, K)), K)
+    return nodes, graph.without_self_loops(edges)
+
+
+@query("h10_dead_ends", "read_records")
+def h10_dead_ends(records: DataFrame) -> DataFrame:
+    nodes, edges = _contracted(records)
+    return correct.dead_ends(nodes, edges, K, options.CorrectionOptions()).join(nodes, "nid").select("seq", "n_kmers", "cov")
+
+
+@query("h17_bulges", "read_records")
+def h17_bulges(records: DataFrame) -> DataFrame:
+    nodes, edges = _contracted(records)
+    return correct.bulges(nodes, edges, K, options.CorrectionOptions()).join(nodes, "nid").select("seq", "n_kmers", "cov")
+
+
+@query("h21_connectors", "read_records")
+def h21_connectors(records: DataFrame) -> DataFrame:
+    nodes, edges = _contracted(records)
+    return correct.connectors(nodes, edges, K, options.CorrectionOptions()).join(nodes, "nid").select("seq", "n_kmers", "cov")
+
+
+@query("h23_junctions", "read_records", sql=f"""WITH {_EDGES}, d AS (SELECT src, so, count(*) AS n FROM edges WHERE src <> dst GROUP BY 1, 2) SELECT DISTINCT src AS kmer FROM d WHERE n > 1""")
+def h23_junctions(records: DataFrame) -> DataFrame:
+    nodes = _nodes(records)
+    return graph.ambiguous(nodes, graph.overlap_edges(nodes, K)).join(nodes, "nid").select(F.col("seq").alias("kmer"))
+
+
+@query("h24_contigs", "read_records")
+def h24_contigs(records: DataFrame) -> DataFrame:
+    """Contigs of the uncorrected graph."""
+    nodes = _nodes(records)
+    return compact.collapse(nodes, graph.paired(graph.overlap_edges(nodes, K)), K)
+
+
+@query("h27_spelled_reads", "read_records", sql=f"WITH {_READS} SELECT read_id, upper(seq) AS seq FROM reads WHERE regexp_matches(upper(seq), '^[ACGT]{{{K + 1},}}$')")
+def h27_spelled_reads(records: DataFrame) -> DataFrame:
+    """Clean reads taken apart into canonical k-mers and spelled again; a walk reads as well backwards, so its direction is taken from the read."""
+    clean = reads_of(records).filter(F.upper("seq").rlike(f"^[ACGT]{{{K + 1},}}$"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("seq") - (K - 1)), lambda i: dna.canonical(F.substring(F.upper("seq"), i, F.lit(K))))
+    spelled = compact.spell_walks(clean.select(F.col("read_id").alias("walk_id"), parts.alias("kmers")), K)
+    return spelled.withColumnRenamed("walk_id", "read_id")
+
+
+# J: runs
+
+
+@query("j3_default_ladders", "read_records")
+def j3_default_ladders(records: DataFrame) -> DataFrame:
+    rows = [(n, options.default_ladder(n)) for n in range(20, 301, 5)]
+    return records.sparkSession.createDataFrame(rows, "longest int, ks array<int>")
+
+
+@query("j14_assembled", "read_records")
+def j14_assembled(records: DataFrame) -> DataFrame:
+    """All reads assembled at one k with chosen floor and cutoff, and corrected."""
+    result = assemble.assemble(reads_of(records).select("read_id", "seq", "qual"), options.AssemblyOptions(k=K))
+    return result.contigs

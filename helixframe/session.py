@@ -41,9 +41,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs a re-read and not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder, so that a lost executor costs a re-read and not a recomputation.
+
+    A checkpoint keeps the size estimate of the plan it replaces; in a loop
+    these estimates multiply without bound, so the rows are taken over as a
+    relation without one, and adaptive execution sees the true sizes.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    bare = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(bare, spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
