@@ -18,6 +18,7 @@ from ..operators.graph import nodes_of, overlap_edges
 from ..session import cut_lineage
 from ..sources.reads import ReadStore, quality_alphabet, statistics
 from ..sources.sinks import write_fasta
+from .mixture import fitter
 from .options import AssemblyOptions, CorrectionOptions, InputError, InvalidOptions, PreprocessingError, settled_ladder
 from .selection import Choice, choose, effective_floors
 from .spectrum import estimate, peak_source
@@ -102,7 +103,7 @@ def preprocess(reads: DataFrame, k: int, floors: list[int], options: AssemblyOpt
         if floor in used:
             h = histogram(looked_at, f"n_f{i}")
             spectra[floor] = dense(h if fraction == 1.0 else rescaled(h, fraction))
-    choice = choose(spectra, options.min_count)
+    choice = choose(spectra, options.min_count, fitter(reads.sparkSession))
     column = f"n_f{floors.index(choice.floor)}"
     table = counts.select("kmer", F.col(column).alias("n")).filter("n > 0")
     if options.first_sighting_filter:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -377,11 +377,11 @@ bins AS (SELECT sample, i AS count, coalesce(histovec[i], 0)::BIGINT AS n FROM (
 mass AS (SELECT sample, count, sum(count * n) OVER (PARTITION BY sample ORDER BY count) AS upto, sum(count * n) OVER (PARTITION BY sample) AS whole FROM bins)
 SELECT sample, CAST(min(count) AS INTEGER) AS median FROM mass WHERE whole > 0 AND upto * 2 >= whole GROUP BY sample""")
 def e13_library_medians(preprocessed: DataFrame) -> DataFrame:
-    h = F.transform("histovec", lambda v: F.coalesce(v, F.lit(0)).cast("long"))
-    mass = F.transform(h, lambda v, i: v * (i + 1))
-    runs = libraries.latest_runs(preprocessed).select("sample", mass.alias("mass")).withColumn("whole", F.aggregate("mass", F.lit(0).cast("long"), lambda a, v: a + v)).filter("whole > 0")
-    scan = F.aggregate("mass", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("bins")), lambda a, v: F.when(a.upto * 2 >= F.col("whole"), a).otherwise(F.struct((a.upto + v).alias("upto"), (a.bins + 1).alias("bins"))))
-    return runs.select("sample", scan.bins.alias("median"))
+    bins = libraries.latest_runs(preprocessed).select("sample", F.posexplode("histovec").alias("i", "n")).filter("n > 0")
+    mass = ((F.col("i") + 1).cast("long") * F.col("n")).alias("mass")
+    by_library = Window.partitionBy("sample")
+    running = bins.select("sample", "i", mass).select("sample", "i", F.sum("mass").over(by_library.orderBy("i")).alias("upto"), F.sum("mass").over(by_library).alias("whole"))
+    return running.filter("upto * 2 >= whole").groupBy("sample").agg((F.min("i") + 1).alias("median"))
 
 
 @query("f1_mixture_fit", "read_records")
@@ -391,7 +391,7 @@ def f1_mixture_fit(records: DataFrame) -> DataFrame:
     found = estimator.estimate(h)
     rows = []
     if found.resolved:
-        best, tried = mixture.fit_spectrum(h, found.valley, found.peak, found.dispersion)
+        best, tried = mixture.fit_spectrum(h, found.valley, found.peak, found.dispersion, spark=records.sparkSession)
         rows = [(f.error_model, f.genome_model, f.w_error, f.w_single, f.w_repeat, float(f.mean), f.mode, float(f.dispersion), f.bic, why or None, f is best) for f, why in tried]
     return records.sparkSession.createDataFrame(rows, "error_model string, genome_model string, w_error double, w_single double, w_repeat double, mean double, mode int, dispersion double, bic double, rejection string, chosen boolean")
 
@@ -399,7 +399,7 @@ def f1_mixture_fit(records: DataFrame) -> DataFrame:
 @query("g9_choice", "read_records")
 def g9_choice(records: DataFrame) -> DataFrame:
     counts = _counts(records)
-    choice = selection.choose({f: counting.dense(counting.histogram(counts, f"n_f{i}")) for i, f in enumerate(FLOORS)})
+    choice = selection.choose({f: counting.dense(counting.histogram(counts, f"n_f{i}")) for i, f in enumerate(FLOORS)}, fitter=mixture.fitter(records.sparkSession))
     return records.sparkSession.createDataFrame([(choice.floor, choice.min_count, choice.peak, choice.source, choice.unresolved)], "floor int, min_count int, peak int, source string, unresolved boolean")
 
 

@@ -10,11 +10,14 @@ the valid fit of lowest BIC is taken.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import SparkSession
 
 from ..functions.numbers import ln_beta_binomial, ln_negative_binomial, ln_softmax, ln_sub_exp, lse, negative_binomial_mode, sigmoid
 from .spectrum import last_open, shelf_share
@@ -213,16 +216,41 @@ def rejection(fit: Fit, observed: int, valley: int, peak: int, last: int) -> str
     return ""
 
 
-def fit_spectrum(h: np.ndarray, valley: int, peak: int, dispersion: float = float("nan"), configurations: tuple[Configuration, ...] | None = None) -> tuple[Fit | None, list[tuple[Fit, str]]]:
-    """The valid fit of lowest BIC, the earlier of equal ones; and every fit tried with its rejection."""
-    last = min(WINDOW * peak, last_open(h))
+def _refined(h: np.ndarray, peak: int, last: int, jobs: list[tuple[Configuration, np.ndarray]]) -> list[tuple[np.ndarray, float, bool]]:
     x, observed = np.arange(1, last + 1), h[:last].astype(float)
-    total = float(observed.sum())
+    return [nelder_mead(lambda theta, c=c: cost_of(theta, c, peak, x, observed), start, ITERATIONS[c.shelf]) for c, start in jobs]
+
+
+def _refined_by(spark: SparkSession, h: np.ndarray, peak: int, last: int, jobs: list[tuple[Configuration, np.ndarray]]) -> list[tuple[np.ndarray, float, bool]]:
+    """Every start as a task of its own; a few dozen rows come back."""
+
+    def run(frames):
+        for frame in frames:
+            for number in frame["number"]:
+                theta, cost, converged = _refined(h, peak, last, [jobs[number]])[0]
+                yield pd.DataFrame({"number": [number], "theta": [theta], "cost": [cost], "converged": [converged]})
+
+    numbers = spark.range(0, len(jobs), 1, len(jobs)).withColumnRenamed("id", "number")
+    rows = numbers.mapInPandas(run, "number long, theta array<double>, cost double, converged boolean").collect()
+    return [(np.array(r.theta), r.cost, r.converged) for r in sorted(rows, key=lambda r: r.number)]
+
+
+def fitter(spark: SparkSession):
+    """`fit_spectrum` with its starts spread over the cluster."""
+    return functools.partial(fit_spectrum, spark=spark)
+
+
+def fit_spectrum(h: np.ndarray, valley: int, peak: int, dispersion: float = float("nan"), configurations: tuple[Configuration, ...] | None = None, spark: SparkSession | None = None) -> tuple[Fit | None, list[tuple[Fit, str]]]:
+    """The valid fit of lowest BIC, the earlier of equal ones; and the fits tried with their rejections."""
+    last = min(WINDOW * peak, last_open(h))
+    x, total = np.arange(1, last + 1), float(h[:last].sum())
+    configurations = configurations or tuple(Configuration(w, s) for s in (False, True) for w in (False, True))
+    jobs = [(c, start) for c in configurations for start in starts_of(c, h, valley, peak, dispersion)]
+    results = _refined_by(spark, h, peak, last, jobs) if spark else _refined(h, peak, last, jobs)
     tried: list[tuple[Fit, str]] = []
     best: Fit | None = None
-    for configuration in configurations or tuple(Configuration(w, s) for s in (False, True) for w in (False, True)):
-        cost = lambda theta: cost_of(theta, configuration, peak, x, observed)  # noqa: B023, E731
-        runs = [nelder_mead(cost, start, ITERATIONS[configuration.shelf]) for start in starts_of(configuration, h, valley, peak, dispersion)]
+    for configuration in configurations:
+        runs = [r for (c, _), r in zip(jobs, results) if c == configuration]
         chosen = None
         for theta, value, converged in sorted(runs, key=lambda r: r[1]):
             if not converged or not math.isfinite(value) or value <= 0:
