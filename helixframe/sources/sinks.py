@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 LINE = 80
 REPORTED_BINS = 500
 
@@ -20,11 +22,12 @@ def numbered(contigs: DataFrame, min_length: int) -> DataFrame:
     """Contigs of at least ``min_length`` bases with consecutive numbers from 0, longest first, then by sequence.
 
     The numbers come from a range sort and the sizes of its partitions, so no
-    task sees all contigs.
+    task sees all contigs; the sorted rows are written down, as both passes
+    must see the same partitions.
     """
     spark = contigs.sparkSession
     long = contigs.select("seq", F.length("seq").alias("len")).filter(F.col("len") >= min_length).orderBy(F.desc("len"), "seq")
-    placed = long.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    placed = cut_lineage(long.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     sizes = sorted((r.p, r.n) for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect())
     first, rows = 0, []
     for p, n in sizes:
