@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .arrays import ints, mix, rechunk
 
@@ -37,7 +36,8 @@ class BottomK:
                 table = table.filter(pa.array(keys <= distinct[self.k - 1]))
                 ids, keys = ids[keys <= distinct[self.k - 1]], keys[keys <= distinct[self.k - 1]]
         order = np.lexsort((ids, keys))
-        same = np.concatenate(([False], ids[order][1:] == ids[order][:-1]))
+        same = np.zeros(len(ids), bool)
+        same[1:] = ids[order][1:] == ids[order][:-1]
         self.table = table.take(pa.array(order[~same][: self.k])).combine_chunks()
 
 
@@ -63,8 +63,6 @@ def fixed_size_sample(df: DataFrame, k: int = 256, id_column: str = "entry_id",
 
     if k == 0:
         return df.limit(0)
-    # Heaps of k rows a task; merged in two steps, so that no task reads more than a root's share of them.
-    heaps = df.mapInArrow(keep, df.schema)
-    spread = F.pmod(F.spark_partition_id(), F.lit(32))
-    merged = heaps.withColumn("_g", spread).repartition(32, "_g").drop("_g").mapInArrow(keep, df.schema)
+    # Heaps of k rows a task; merged in two steps, so that no task reads all of them.
+    merged = df.mapInArrow(keep, df.schema).repartition(32, id_column).mapInArrow(keep, df.schema)
     return merged.coalesce(1).mapInArrow(keep, df.schema)
