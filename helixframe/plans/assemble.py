@@ -152,13 +152,13 @@ class FloorMemory:
             self.last = floor
 
 
-def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sink: Callable[[DataFrame, DataFrame], None] | None = None, intermediate: Callable[[int, DataFrame], None] | None = None) -> Assembly:
+def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sink: Callable[[DataFrame, DataFrame], None] | None = None, intermediate: Callable[[int, DataFrame], None] | None = None, counted: Callable[[Preprocessed], None] | None = None) -> Assembly:
     """Contigs of reads (read_id, seq, qual) by the given k or ladder of ks.
 
     A later k ends the ladder softly if nothing can be counted or its peak is
     low; an unresolved one is kept only if it raises the auN. ``sink`` gets
     the corrected graph of the last accepted k, ``intermediate`` the contigs
-    of each k before.
+    of each k before, ``counted`` what counting gave at each k.
     """
     options.validated()
     began = time.monotonic()
@@ -186,6 +186,8 @@ def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sin
                     raise
                 stopped = (k, str(problem))
                 break
+            if counted:
+                counted(found)
             memory.saw(found.floor, found.source == "Fitted")
             step = Step(k, found.floor, found.min_count, found.peak, found.source, True)
             steps.append(step)

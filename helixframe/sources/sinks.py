@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import logging
 import math
+import struct
 import time
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -155,12 +157,35 @@ def spectrum_svg(spectrum: np.ndarray, markers: dict[str, int | None], log_scale
     return "\n".join(out)
 
 
+def spectrum_png(spectrum: np.ndarray, markers: dict[str, int | None], log_scale: bool = False, size: tuple[int, int] = (900, 500)) -> bytes:
+    """The same bars and markers as pixels, without text."""
+    width, height = size
+    peak = markers.get("peak")
+    used = np.flatnonzero(spectrum[:-1])
+    last = min(int(used[-1]) + 1 if len(used) else 10, 4 * peak if peak else REPORTED_BINS, len(spectrum))
+    bars = spectrum[:last].astype(float)
+    top = max(bars.max(initial=1), 1)
+    if peak and not log_scale:
+        top = min(top, 3 * max(spectrum[peak - 1], 1))
+    tall = np.log10(np.maximum(bars, 1)) / math.log10(max(top, 10)) if log_scale else np.minimum(bars / top, 1)
+    image = np.full((height, width, 3), 255, np.uint8)
+    column = np.minimum(np.arange(width) * last // width, last - 1)
+    image[np.arange(height)[:, None] >= height - np.round(tall[column] * (height - 20))[None, :]] = (72, 120, 168)
+    for count in markers.values():
+        if count and count <= last:
+            image[::6, min(int((count - 0.5) * width / last), width - 1)] = (51, 51, 51)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def write_spectrum_plots(spectrum: np.ndarray, markers: dict[str, int | None], base: str, fitted: np.ndarray | None = None) -> list[str]:
+    """SVG and PNG, linear and logarithmic."""
     made = []
     for log_scale, suffix in ((False, ""), (True, "_log")):
-        path = f"{base}{suffix}.svg"
-        Path(path).write_text(spectrum_svg(spectrum, markers, log_scale, fitted))
-        made.append(path)
+        for kind, content in (("svg", spectrum_svg(spectrum, markers, log_scale, fitted).encode()), ("png", spectrum_png(spectrum, markers, log_scale))):
+            Path(f"{base}{suffix}.{kind}").write_bytes(content)
+            made.append(f"{base}{suffix}.{kind}")
     return made
 
 

@@ -85,7 +85,7 @@ def test_reports(tmp_path):
     lines = (tmp_path / "s.tsv").read_text().splitlines()
     assert lines[0] == "count\tdistinct" and lines[1:] == [f"{c}\t{n}" for c, n in enumerate([50, 5, 9, 20, 8, 1], 1)]
     made = sinks.write_spectrum_plots(h, {"valley": 2, "peak": 4}, str(tmp_path / "p.q"))
-    assert [m.rsplit("/", 1)[1] for m in made] == ["p.q.svg", "p.q_log.svg"] and "peak 4" in open(made[0]).read()
+    assert [m.rsplit("/", 1)[1] for m in made] == ["p.q.svg", "p.q.png", "p.q_log.svg", "p.q_log.png"] and open(made[1], "rb").read(8) == b"\x89PNG\r\n\x1a\n" and "peak 4" in open(made[0]).read()
     info = json.loads(sinks.preprocessing_json(93, h, 2, 21, True))
     assert len(info["histo"]) == 500 and info["multik"] and info["used_min_count"] == 2
     assert sinks.step_name("o", 21, False) == "o_k21_contigs.fasta" and sinks.spectrum_name("o", 21, 20, True) == "o_k21_kmerspectrum_q20_log"
@@ -124,3 +124,13 @@ def test_streamed_counts(spark, tmp_path):
     query.stop()
     stream.to_memory(stream.arrivals(stream.reads_stream(spark, str(tmp_path / "in"))), "loads", "complete").stop()
     assert spark.sql("select sum(reads) from loads").first()[0] == 3
+
+
+def test_command_line(tmp_path):
+    from helixframe.__main__ import main, options_of, parser
+
+    a = parser().parse_args(["x.fq", "-o", str(tmp_path / "o"), "--ks", "21,31", "--min-count", "3"])
+    assert options_of(a).ks == (21, 31) and options_of(a).min_count == 3 and options_of(a).pop_ratio == 0.1
+    assert main(["x.fq", "-o", str(tmp_path / "o"), "-k", "20"]) == 2
+    with pytest.raises(SystemExit):
+        main(["-o", "x"])
