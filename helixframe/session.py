@@ -14,7 +14,7 @@ def local_session(cores: int | str = 8, partitions: int | None = None, app: str
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", str(partitions or cores))
+        .config("spark.sql.shuffle.partitions", str(partitions or (os.cpu_count() if cores == "*" else cores)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
