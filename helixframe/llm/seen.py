@@ -126,7 +126,7 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _flow(np.where(asks, key, mix(sight.view(np.uint64), 7).view(np.int64)), sight, np.where(asks, ASKED, CERTAIN))
 
 
-def _ask(error: float, first: int):
+def _ask(error: float, first: int, rows: int):
     def answers(key: np.ndarray, sight: np.ndarray, kind: int) -> pa.RecordBatch:
         n = len(key)
         columns = [pa.array(key), pa.array(sight), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
@@ -134,7 +134,7 @@ def _ask(error: float, first: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, negatives = BloomChain(error, first), 0
-        for table in rechunk(batches, 50_000):
+        for table in rechunk(batches, rows):
             route, sight, kind = (ints(table.column(c).combine_chunks()) for c in ("route", "sight", "kind"))
             certain = kind == CERTAIN
             if certain.any():
@@ -156,19 +156,19 @@ def _ask(error: float, first: int):
     return run
 
 
-def _chains(sightings: DataFrame, indexed: DataFrame | None, error: float, first: int, chains: int | None) -> tuple[DataFrame, DataFrame]:
+def _chains(sightings: DataFrame, indexed: DataFrame | None, error: float, first: int, chains: int | None, rows: int) -> tuple[DataFrame, DataFrame]:
     """The chains' answers, and of every key its first sighting (null: before all sightings)."""
     new = sightings.select(F.col("canonical_hash").alias("key"), F.col("sight_id").alias("sight")).filter("key is not null and sight is not null").mapInArrow(_sightings, FLOW)
     flow = new if indexed is None else indexed.select(F.col("canonical_hashes").alias("keys")).mapInArrow(_history, FLOW).unionByName(new)
     n = chains or int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flow = flow.repartition(n, "route")
-    answers = flow.sortWithinPartitions("sight").mapInArrow(_ask(error, first), ANSWERS)
+    answers = flow.sortWithinPartitions("sight").mapInArrow(_ask(error, first, rows), ANSWERS)
     # no filter here: one that sinks below the exchange would keep Spark from using the same one twice
     truth = flow.groupBy(F.col("route").alias("key")).agg(F.min(F.when(F.col("kind") != CERTAIN, F.col("sight"))).alias("since"))
     return answers, truth
 
 
-def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = 1 << 16, chains: int | None = None) -> DataFrame:
+def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = 1 << 16, chains: int | None = None, rows: int = 50_000) -> DataFrame:
     """sight_id of every sighting whose key stands in ``indexed`` or in a sighting with a smaller sight_id.
 
     The chains take all keys of ``indexed.canonical_hashes`` and then the
@@ -176,23 +176,24 @@ def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: f
     "yes" is compared with the exact first sighting of its key, so what is
     returned is exact and the chains' own error shows in `wrong_answers`.
     A later sighting of a key within one batch needs no question, so a key
-    that makes up a third of all sightings asks once a batch.
+    that makes up a third of all sightings asks once a batch. A chain answers
+    about ``rows`` questions at a time, before it learns their keys.
 
     A repeated sight_id is the same sighting and appears once; null keys and
     null sight_ids are never seen and not returned; null elements of the index
     are no keys. Empty tables give no rows; further columns are ignored.
     """
-    answers, truth = _chains(sightings, indexed, error, first, chains)
+    answers, truth = _chains(sightings, indexed, error, first, chains, rows)
     certain = answers.filter(F.col("kind") == CERTAIN).select(F.col("sight").alias("sight_id"))
     maybe = answers.filter(F.col("kind") == ASKED).select("key", "sight")
     right = maybe.join(truth, "key").filter("since < sight").select(F.col("sight").alias("sight_id"))
     return certain.unionByName(right).distinct()
 
 
-def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = 1 << 16, chains: int | None = None) -> DataFrame:
+def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = 1 << 16, chains: int | None = None, rows: int = 50_000) -> DataFrame:
     """One row on the chains' answers: questions, wrong (positive answers that the exact check refutes),
     rate (wrong / questions about unseen keys), bound (highest compounded bound of a chain, from its fill), layers and keys."""
-    answers, truth = _chains(sightings, indexed, error, first, chains)
+    answers, truth = _chains(sightings, indexed, error, first, chains, rows)
     told = answers.filter(F.col("kind") == ASKED).select("key", "sight").join(truth, "key")
     told = told.select(F.lit(1).cast("long").alias("questions"), (F.col("since") >= F.col("sight")).cast("long").alias("wrong"), F.lit(0).cast("long").alias("negatives"), F.lit(0).alias("layers"), F.lit(0).cast("long").alias("keys"), F.lit(0.0).alias("bound"))
     chain = answers.filter(F.col("kind") < 0).select(F.col("negatives").alias("questions"), F.lit(0).cast("long").alias("wrong"), "negatives", "layers", "keys", "bound")

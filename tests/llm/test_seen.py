@@ -48,7 +48,13 @@ def test_exact_even_with_a_bad_filter(spark):
     assert got == brute(sights, index)
     got, left, right = run(spark, sights, index, error=0.9, first=64, chains=2)
     assert got == brute(sights, index)
-    row = wrong_answers(left, right, error=0.9, first=64, chains=2).first()
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        row = wrong_answers(left, right, error=0.9, first=64, chains=2, rows=100).first()
+        assert {r.sight_id for r in seen_before(left, right, error=0.9, first=64, chains=2, rows=100).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
     assert row.wrong > 0 and 0 < row.rate <= 1 and row.questions >= row.wrong
     row = wrong_answers(left, right).first()
     assert row.rate <= row.promised and row.bound <= row.promised
