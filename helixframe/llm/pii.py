@@ -15,7 +15,8 @@ words, names and cues that no list holds are found as well.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -141,19 +142,24 @@ def candidates_of(text: str, names: frozenset[str]) -> Iterator[tuple]:
                 yield "name", "initial", start, stop, text[start:stop], "", b.lower(), *around(text, start, stop)
         elif len(a) > 1 and len(b) > 1 and _style(a, b):
             yield "name", "full", start, stop, text[start:stop], a.lower(), b.lower(), *around(text, start, stop)
-    tokens = list(LOWER_TOKENS.finditer(text)) if names else []
+    yield from lower_pairs(text, lambda a, b: a in names or b in names) if names else ()
+
+
+def lower_pairs(text: str, wanted: Callable[[str, str], bool]) -> Iterator[tuple]:
+    """The candidates made of two neighbouring lower-case words (given name, family name) that are ``wanted``."""
+    tokens = list(LOWER_TOKENS.finditer(text))
     for x, y in zip(tokens, tokens[1:]):
         a, b = x.group(0), y.group(0)
-        if (a in names or b in names) and a.islower() and b.islower() and text[x.end() : y.start()] in (" ", " ", ", "):
-            comma = text[x.end()] == ","
-            yield "name", "lower", x.start(), y.end(), text[x.start() : y.end()], b if comma else a, a if comma else b, *around(text, x.start(), y.end())
+        if (wanted(a, b) or wanted(b, a)) and a.islower() and b.islower() and text[x.end() : y.start()] in (" ", " ", ", "):
+            given, family = (b, a) if text[x.end()] == "," else (a, b)
+            if wanted(given, family):
+                yield "name", "lower", x.start(), y.end(), text[x.start() : y.end()], given, family, *around(text, x.start(), y.end())
 
 
-def candidates(documents: DataFrame, seeds: frozenset[str]) -> DataFrame:
-    """Every candidate of every text, with its place, instance class and patterns."""
+def _emitted(documents: DataFrame, rows_of: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The candidates that ``rows_of`` gives for every text, with the document they belong to."""
     names = ("kind", "form", "start", "stop", "found", "instance", "partner", "l1", "l2", "r1")
     types = (pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6)
-    lower = frozenset(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +168,7 @@ def candidates(documents: DataFrame, seeds: frozenset[str]) -> DataFrame:
                 owner, rows = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     if text:
-                        for row in candidates_of(text, lower):
+                        for row in rows_of(text):
                             owner.append(i)
                             rows.append(row)
                 columns = list(zip(*rows)) if rows else [[]] * len(names)
@@ -173,6 +179,46 @@ def candidates(documents: DataFrame, seeds: frozenset[str]) -> DataFrame:
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, CANDIDATES)
 
 
+def candidates(documents: DataFrame, seeds: frozenset[str]) -> DataFrame:
+    """Every candidate of every text, with its place, instance class and patterns."""
+    lower = frozenset(seeds)
+    return _emitted(documents, lambda text: candidates_of(text, lower))
+
+
+def lower_names(documents: DataFrame, found: DataFrame, given: DataFrame, family: DataFrame) -> DataFrame:
+    """Every pair of lower-case words that is a given and a family name of these tables (instance), in the form of candidates().
+
+    Headlines and signs also teach ordinary words, so a word that stands in lower case more often than in the
+    names of ``found`` makes no pair. Tables of up to MOST_BROADCAST words are looked up while the texts are
+    read, larger ones joined by shuffle.
+    """
+    def words(df: DataFrame) -> frozenset[str] | None:
+        rows = df.select("instance").limit(MOST_BROADCAST + 1).collect()
+        return frozenset(r.instance for r in rows) if len(rows) <= MOST_BROADCAST else None
+
+    firsts, lasts = words(given), words(family)
+    both = None if firsts is None or lasts is None else firsts | lasts
+
+    def rows_of(text: str) -> Iterator[tuple]:
+        seen = Counter(t for t in LOWER_TOKENS.findall(text) if both is None or t in both)
+        for word, n in seen.items():
+            if word.islower():
+                yield "word", "", n, 0, "", word, "", "", "", ""
+        if firsts is None or not firsts.isdisjoint(seen):
+            yield from lower_pairs(text, lambda a, b: (firsts is None or a in firsts) and (lasts is None or b in lasts))
+
+    emitted = cut_lineage(_emitted(documents, rows_of))
+    pairs = emitted.filter("kind = 'name'")
+    lower = emitted.filter("kind = 'word'").groupBy("instance").agg(F.sum("start").alias("lower"))
+    full = found.filter("kind = 'name' and form = 'full'")
+    titled = full.select("instance").union(full.select("partner")).groupBy("instance").agg(F.count("*").alias("titled"))
+    names = cut_lineage(lower.join(titled, "instance").filter("lower <= titled").select("instance"))
+    for table, column in ((given, "instance"), (family, "partner")):
+        good = names.join(table.select("instance").distinct(), "instance", "left_semi")
+        pairs = pairs.join(_small(good.withColumnRenamed("instance", column)), column, "left_semi")
+    return pairs
+
+
 #: Tables of learnt words are broadcast up to this many rows, and joined by shuffle beyond it.
 MOST_BROADCAST = 200_000
 
@@ -236,19 +282,21 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[Data
     return trusted, scores
 
 
-def accepted(found: DataFrame, frequent: DataFrame, trusted: DataFrame, scores: DataFrame, families: frozenset[str] = frozenset()) -> DataFrame:
-    """The candidates that trusted patterns or known instances confirm, with their pii_type."""
-    spark = found.sparkSession
+def learnt_names(found: DataFrame, scores: DataFrame, families: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+    """The known given names, and the family names (instance): what follows one in the same style, and the listed ones."""
+    given = cut_lineage(scores.filter("kind = 'name' and known").select("instance"))
+    after = found.filter("kind = 'name' and form = 'full'").join(_small(given), "instance", "left_semi").select(F.col("partner").alias("instance")).distinct()
+    listed = found.sparkSession.createDataFrame([(f,) for f in sorted(families)], "instance string")
+    return given, cut_lineage(after.union(listed).distinct())
+
+
+def accepted(found: DataFrame, frequent: DataFrame, trusted: DataFrame, scores: DataFrame, family: DataFrame) -> DataFrame:
+    """The candidates that trusted patterns or known instances confirm, with their pii_type; ``family`` (instance) holds the family names."""
 
     def by_kind(df: DataFrame, key: str, name: str, value) -> DataFrame:
         """One row for each key and a column ``name``_kind for each kind."""
         return _small(cut_lineage(df.groupBy(F.col(key).alias(name)).agg(*(F.max(F.when(F.col("kind") == k, value)).alias(f"{name}_{k}") for k in TRUST))))
 
-    given = scores.filter("kind = 'name' and known").select("instance")
-    # family names: what follows a known given name in the same style, and the listed ones
-    after = found.filter("kind = 'name' and form = 'full'").join(_small(given), "instance", "left_semi").select(F.col("partner").alias("instance")).distinct()
-    listed = spark.createDataFrame([(f,) for f in sorted(families)], "instance string")
-    family = cut_lineage(after.union(listed).distinct())
     out = found.join(by_kind(scores, "instance", "instance", F.when(F.col("known"), 2.0).otherwise(F.col("share"))), "instance", "left")
     out = out.join(_small(family.select(F.col("instance").alias("partner"), F.lit(True).alias("is_family"))), "partner", "left")
     left = trusted.filter("pos = 'left'")
@@ -323,7 +371,9 @@ def find_pii(documents: DataFrame, person_names: DataFrame, rounds: int = 3) ->
     words = spark.createDataFrame([("name", n) for n in sorted(given)] + [("address", w) for w in STREET_WORDS], "kind string, instance string")
     international = edges.filter("kind = 'phone' and instance like '+%'").select("kind", "instance").distinct()
     trusted, scores = bootstrap(edges, words.union(international), rounds)
-    spans = accepted(found, frequent, trusted, scores, family).withColumnRenamed("found", "pii_text").distinct()
+    learnt, families = learnt_names(found, scores, family)
+    found = found.unionByName(lower_names(documents, found, learnt, families))
+    spans = accepted(found, frequent, trusted, scores, families).withColumnRenamed("found", "pii_text").distinct()
     spans = spans.repartition("doc_id").sortWithinPartitions("doc_id", "text_key", "start", F.desc("stop"))
     return spans.select("doc_id", "text_key", "start", "stop", "pii_type", "pii_text").mapInArrow(_settle, SPANS)
 

@@ -73,3 +73,13 @@ def test_long_text(spark, frames):
     docs = spark.createDataFrame([(1, text, "x", 1)], DOCS)
     row = pii.find_pii(docs, frames[1]).first()
     assert row.pii_text == "x.y@post.example" and row.start == 300_005
+
+
+def test_lower_case_names_that_were_learnt(spark, frames, monkeypatch):
+    more = [(2000, "yesterday wanda velmare wrote, and sarkamp, bruno; the kettle by velmare sang", "x", 1)] + [(2001 + i, "Posted by Refills It on Tuesday" if i < 4 else "she refills it daily", "x", 1) for i in range(20)]
+    docs = frames[0].union(spark.createDataFrame(more, DOCS))
+    for most in (pii.MOST_BROADCAST, 6):  # the second: tables of learnt names too long to be looked up
+        monkeypatch.setattr(pii, "MOST_BROADCAST", most)
+        names = {(r.doc_id, r.pii_text) for r in pii.find_pii(docs, frames[1]).filter("pii_type = 'name' and doc_id >= 2000").collect()}
+        assert {n for n in names if n[0] == 2000} == {(2000, "wanda velmare"), (2000, "sarkamp, bruno")}
+        assert not {n for _, n in names} & {"refills it"}
