@@ -50,11 +50,16 @@ ADDRESSES = (
     ("first", re.compile(f"(?<![\\w-])([{UPPER}]{INNER}*/|{TITLED}\\.?) (?:de la |del |de los |de las |de |der |dem )?{TITLED}(?: {TITLED})?,? (?:n\\.º |nº )?\\d{{1,4}}(?: ?[a-z](?![\\w.]))?(?![\\w.,]?\\d|\\w)")),
     ("first", re.compile(f"(?<![\\w-])([а-яё]+\\.?) [А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+)?, (?:д\\. ?)?\\d{{1,4}}[а-я]?(?:, (?:кв\\. ?)\\d+)?(?!\\w)")),
 )
+#: Cyrillic letters read as two characters of windows-1252; the second may be lost.
+MISREAD = re.compile("([ÐÑ])([\u0080-¿€‚ƒ„…†‡ˆ‰Š‹Œ\u017d‘’“”•–—˜™š›œ\u017eŸ\ufffd])")
+#: Letters that look the same after that loss, by the first of them: keys of misread candidates start with MARK and hold these.
+LOST, KEPT, MARK = "нёџэяѐ", "ааассс", "~"
 NAMES = re.compile(f"(?<!{INNER})(?=({TITLED})(?:([  ](?:[{UPPER}]\\.[  ]?)?|\\.[  ]|, )({TITLED})))")
 LOWER_TOKENS = re.compile(f"{TOKEN}+")
 
 CANDIDATES = "doc_id long, text_key long, kind string, form string, start int, stop int, found string, instance string, partner string, l1 string, l2 string, r1 string"
 _NUMBERS = str.maketrans("123456789", "000000000")
+_FOLDED = str.maketrans(LOST, KEPT)
 
 
 @dataclass(frozen=True)
@@ -100,6 +105,34 @@ def street_class(how: str, m: re.Match) -> str:
     return m.group(1).lower()
 
 
+def repaired(text: str) -> tuple[str, list[int]]:
+    """The text with misread Cyrillic letters put right, lost ones as the first that they may be, and the place in ``text`` of each character."""
+    out, places = [], []
+    last = 0
+    for m in MISREAD.finditer(text):
+        first, second = m.groups()
+        if second == "\ufffd":
+            letter = "А" if first == "Ð" else "с"
+        else:
+            code = ord(second) if "\u0080" <= second <= "¿" else second.encode("cp1252")[0]
+            letter = bytes([ord(first), code]).decode()
+        out += text[last : m.start()], letter
+        places += range(last, m.start() + 1)
+        last = m.end()
+    return "".join([*out, text[last:]]), [*places, *range(last, len(text) + 1)]
+
+
+def misread_addresses(text: str) -> Iterator[tuple]:
+    """The Cyrillic addresses that only show when the text is repaired, with keys that start with MARK."""
+    clean, places = repaired(text)
+    how, pattern = ADDRESSES[-1]
+    for m in pattern.finditer(clean):
+        start, stop = places[m.start()], places[m.end()]
+        if stop - start > m.end() - m.start():
+            instance, one, two, right = (x and MARK + x.translate(_FOLDED) for x in (street_class(how, m), *around(clean, m.start(), m.end())))
+            yield "address", "misread", start, stop, text[start:stop], instance, "", one, two, right
+
+
 def _style(a: str, b: str) -> str:
     if a.isupper() and b.isupper() and len(b) > 1:
         return "U"
@@ -117,6 +150,12 @@ def candidates_of(text: str, names: frozenset[str]) -> Iterator[tuple]:
     for how, pattern in ADDRESSES:
         for m in pattern.finditer(text):
             yield "address", how, m.start(), m.end(), m.group(0), street_class(how, m), "", *around(text, m.start(), m.end())
+            words = m.group(0).split(" ")
+            if how == "last" and len(words) > 3 and words[3] != "Apt":  # the address may end before the last word
+                head = " ".join(words[:3])
+                yield "address", "head", m.start(), m.start() + len(head), head, words[2].lower(), "", *around(text, m.start(), m.start() + len(head))
+    if MISREAD.search(text):
+        yield from misread_addresses(text)
     for m in NUMBER.finditer(text):
         digits = sum(c.isdigit() for c in m.group(0))
         if digits >= 7 and free(*m.span()):
@@ -291,10 +330,13 @@ def learnt_names(found: DataFrame, scores: DataFrame, families: frozenset[str])
 
 
 def accepted(found: DataFrame, frequent: DataFrame, trusted: DataFrame, scores: DataFrame, family: DataFrame) -> DataFrame:
-    """The candidates that trusted patterns or known instances confirm, with their pii_type; ``family`` (instance) holds the family names."""
+    """The candidates that trusted patterns or known instances confirm, with their pii_type and rank, 1 for addresses that only their
+    cue confirms; ``family`` (instance) holds the family names."""
 
     def by_kind(df: DataFrame, key: str, name: str, value) -> DataFrame:
-        """One row for each key and a column ``name``_kind for each kind."""
+        """One row for each key, and for each key of misread addresses, and a column ``name``_kind for each kind."""
+        folded = F.concat(F.lit(MARK), F.translate(key, LOST, KEPT))
+        df = df.unionByName(df.filter((F.col("kind") == "address") & F.col(key).rlike("[а-яё]")).withColumn(key, folded))
         return _small(cut_lineage(df.groupBy(F.col(key).alias(name)).agg(*(F.max(F.when(F.col("kind") == k, value)).alias(f"{name}_{k}") for k in TRUST))))
 
     out = found.join(by_kind(scores, "instance", "instance", F.when(F.col("known"), 2.0).otherwise(F.col("share"))), "instance", "left")
@@ -321,20 +363,24 @@ def accepted(found: DataFrame, frequent: DataFrame, trusted: DataFrame, scores:
         .when(knows("phone") & ~(knows("id_number") & behind("id_number")), "phone")
         .when(knows("id_number") & (score("phone") == 0.0), "id_number")
     )
+    # behind a trusted cue a street class holds unless refuted; a misread one may have no other place
+    unseen = (form == "misread") & F.col("instance_address").isNull()
+    by_cue = (form != "head") & behind("address") & (unseen | (score("address") >= TRUST["address"].instance_share))
     kind = (
         F.when(F.col("kind") == "email", "email")
-        .when(F.col("kind") == "address", F.when(knows("address"), "address"))
+        .when(F.col("kind") == "address", F.when(knows("address") | by_cue, "address"))
         .when(F.col("kind") == "number", number)
         .when(by_form, "name")
     )
-    return out.select("doc_id", "text_key", "start", "stop", "found", kind.alias("pii_type")).filter("pii_type is not null")
+    rank = F.when((F.col("kind") == "address") & ~knows("address"), 1).otherwise(0)
+    return out.select("doc_id", "text_key", "start", "stop", "found", kind.alias("pii_type"), rank.alias("rank")).filter("pii_type is not null")
 
 
 SPANS = "doc_id long, text_key long, start int, stop int, pii_type string, pii_text string"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of overlapping spans of a text, sorted by start and falling length, the first holds."""
+    """Of overlapping spans of a text, sorted by start, rank and falling length, the first holds."""
     last = (None, None)
     reached = -1
     for batch in batches:
@@ -374,7 +420,7 @@ def find_pii(documents: DataFrame, person_names: DataFrame, rounds: int = 3) ->
     learnt, families = learnt_names(found, scores, family)
     found = found.unionByName(lower_names(documents, found, learnt, families))
     spans = accepted(found, frequent, trusted, scores, families).withColumnRenamed("found", "pii_text").distinct()
-    spans = spans.repartition("doc_id").sortWithinPartitions("doc_id", "text_key", "start", F.desc("stop"))
+    spans = spans.repartition("doc_id").sortWithinPartitions("doc_id", "text_key", "start", "rank", F.desc("stop"))
     return spans.select("doc_id", "text_key", "start", "stop", "pii_type", "pii_text").mapInArrow(_settle, SPANS)
 
 

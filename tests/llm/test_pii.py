@@ -83,3 +83,13 @@ def test_lower_case_names_that_were_learnt(spark, frames, monkeypatch):
         names = {(r.doc_id, r.pii_text) for r in pii.find_pii(docs, frames[1]).filter("pii_type = 'name' and doc_id >= 2000").collect()}
         assert {n for n in names if n[0] == 2000} == {(2000, "wanda velmare"), (2000, "sarkamp, bruno")}
         assert not {n for _, n in names} & {"refills it"}
+
+
+def test_addresses_behind_a_cue(spark, frames):
+    misread = lambda s: s.encode().decode("cp1252", "replace")
+    wrong = misread("Адрес: пр. Садовая, 16")
+    special = ["Address: 12 Beech Gasse", "Address: 7 Gate Road Photos", "Address: Caldmarenweg 8", wrong]
+    docs = [(3000 + i, t, "x", 1) for i, t in enumerate(special)] + [(3100 + i, f"Адрес: улица Речная, {i + 1}", "x", 1) for i in range(9)]
+    found = {(r.doc_id, r.pii_text) for r in pii.find_pii(frames[0].union(spark.createDataFrame(docs, DOCS)), frames[1]).filter("pii_type = 'address' and doc_id between 3000 and 3099").collect()}
+    assert {(3000, "12 Beech Gasse"), (3002, "Caldmarenweg 8"), (3001, "7 Gate Road"), (3003, wrong.split(" ", 1)[1])} <= found
+    assert not [t for i, t in found if i == 3001 and t != "7 Gate Road"]
