@@ -7,6 +7,8 @@ of equi-joins; steps repeat until nothing changes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,7 @@ from ..session import cut_lineage
 from .compact import contract
 from .graph import degrees, externals, isolated, neighbourhood_means, paired, without_nodes, without_self_loops
 
-#: Alternative paths: how many nodes long, and how far their length may differ.
-ALTERNATIVE_HOPS = 3
+#: Alternative paths: how far their length may differ.
 LENGTH_SLACK, LENGTH_SHARE = 3, 0.10
 
 
@@ -65,8 +66,8 @@ def _inner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bulges(nodes: DataFrame, edges: DataFrame, k: int, options: CorrectionOptions) -> DataFrame:
     """nid of every short detour with a better covered alternative between the same two junctions.
 
-    An alternative has up to three nodes, avoids the detour and is of about
-    its length; the best covered one counts, then the closest in length, then
+    An alternative has any number of nodes, avoids the detour and is of about
+    its length, which ends the search, as every node adds to it; the best covered one counts, then the closest in length, then
     the least by sequence. The detour goes if its coverage is less than
     ``pop_ratio`` of the alternative's (as 32-bit floats), or if it looks like
     an error and the alternative does not.
@@ -80,15 +81,19 @@ def bulges(nodes: DataFrame, edges: DataFrame, k: int, options: CorrectionOption
     step = edges.join(nodes.select(F.col("nid").alias("dst"), "n_kmers", "cov", "seq"), "dst").select(F.col("src").alias("at"), F.col("so").alias("ao"), F.col("dst").alias("to"), F.col("do").alias("to_o"), "n_kmers", "cov", F.when(F.col("do") == "+", F.col("seq")).otherwise(reverse_complement("seq")).alias("read"))
     slack = F.greatest(F.lit(LENGTH_SLACK), F.ceil(F.col("c_kmers") * LENGTH_SHARE))
     paths = candidates.select("nid", F.col("n_kmers").alias("c_kmers"), F.col("cov").alias("c_cov"), "e", "x", "xo", F.col("e").alias("at"), F.col("eo").alias("ao"), F.lit(0).cast("long").alias("len"), F.lit(0.0).alias("mass"), F.array().cast("array<bigint>").alias("seen"), F.lit("").alias("sign"))
-    found = None
-    for _ in range(ALTERNATIVE_HOPS):
+    found = []
+    while not paths.isEmpty():
         on = paths.join(step, ["at", "ao"]).filter((F.col("to") != F.col("nid")) & (F.col("to") != F.col("e")) & ~F.array_contains("seen", F.col("to")))
         on = on.filter(F.col("to") != F.col("x")).filter(F.col("len") + F.col("n_kmers") <= F.col("c_kmers") + slack)
         paths = cut_lineage(on.select("nid", "c_kmers", "c_cov", "e", "x", "xo", F.col("to").alias("at"), F.col("to_o").alias("ao"), (F.col("len") + F.col("n_kmers")).alias("len"), (F.col("mass") + F.col("cov") * F.col("n_kmers")).alias("mass"), F.concat("seen", F.array("to")).alias("seen"), F.concat("sign", "read").alias("sign")))
         arrived = paths.join(edges.select(F.col("src").alias("at"), F.col("so").alias("ao"), F.col("dst").alias("x"), F.col("do").alias("xo")), ["at", "ao", "x", "xo"], "left_semi").filter(F.col("len") >= F.col("c_kmers") - slack)
         arrived = arrived.select("nid", "c_kmers", "c_cov", (F.col("mass") / F.col("len")).alias("a_cov"), "len", "sign")
-        found = arrived if found is None else found.unionByName(arrived)
-    best = found.groupBy("nid").agg(F.min(F.struct((-F.col("a_cov")).alias("order"), F.abs(F.col("len") - F.col("c_kmers")).alias("away"), "sign", "a_cov", "c_cov")).alias("b")).select("nid", "b.a_cov", "b.c_cov")
+        arrived = cut_lineage(arrived)
+        if not found or not arrived.isEmpty():
+            found.append(arrived)
+    if not found:
+        return candidates.select("nid").limit(0)
+    best = reduce(DataFrame.unionByName, found).groupBy("nid").agg(F.min(F.struct((-F.col("a_cov")).alias("order"), F.abs(F.col("len") - F.col("c_kmers")).alias("away"), "sign", "a_cov", "c_cov")).alias("b")).select("nid", "b.a_cov", "b.c_cov")
     weaker = F.col("c_cov").cast("float") < F.lit(options.pop_ratio).cast("float") * F.col("a_cov").cast("float")
     ceiling = options.coverage.ceiling
     if ceiling is not None:

@@ -91,6 +91,15 @@ def test_bulge_and_coverage_rules(spark):
     assert run(4.0, 30.0, CorrectionOptions(coverage=CoverageReference(20, 2, 0.25))) == {3}
 
 
+@pytest.mark.parametrize("hops", [4, 7])
+def test_bulge_with_a_long_alternative(spark, hops):
+    chain = list(range(4, 4 + hops))
+    nodes = plain_nodes(spark, [(1, "A", 300, 30.0), (2, "C", 300, 30.0), (3, "G", 21, 2.0)] + [(i, "T", 21 // hops, 30.0) for i in chain])
+    walk = [1, *chain, 2]
+    edges = both_ways(spark, [(1, "+", 3, "+"), (3, "+", 2, "+")] + [(a, "+", b, "+") for a, b in zip(walk, walk[1:])])
+    assert {r.nid for r in correct.bulges(nodes, edges, 21, CorrectionOptions()).collect()} == {3}
+
+
 def test_connectors(spark):
     def run(c, **options):
         nodes = plain_nodes(spark, [(1, "A", 300, 30.0), (2, "C", 300, 30.0), (3, "G", 30, c), (4, "T", 300, 30.0), (5, "AA", 300, 5.0), (6, "CC", 300, 30.0)])
