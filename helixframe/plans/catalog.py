@@ -140,6 +140,27 @@ def b_base_functions(contigs: DataFrame) -> DataFrame:
     return w.select("contig_id", dna.reverse_complement("s").alias("rc"), dna.canonical("s").alias("canonical"), dna.prefix("s", 21).alias("prefix"), dna.suffix("s", 21).alias("suffix"), dna.endpoint_byte("s").cast("int").alias("ends"), word.alias("packed"), dna.unpacked(word, 21).alias("unpacked"), dna.packed_base(word, 4, 21).cast("int").alias("fifth"))
 
 
+_CONTIG_WINDOWS = f"""contig_windows AS (SELECT contig_id, CAST(i - 1 AS INTEGER) AS start, substr(seq, i, {K}) AS s FROM (SELECT *, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM contigs_now) WHERE regexp_matches(substr(seq, i, {K}), '^[ACGT]{{{K}}}$'))"""
+
+
+def _contig_windows(contigs: DataFrame) -> DataFrame:
+    """contig_id, start and s: every window of K bases of the current contigs, as it is read there."""
+    reads = contigs_now(contigs).select(F.col("contig_id").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
+    windows = kmers.kmer_windows(reads, K)
+    return windows.select(F.col("read_id").alias("contig_id"), "start", F.when(F.col("forward"), F.col("kmer")).otherwise(dna.reverse_complement("kmer")).alias("s"))
+
+
+@query("b_window_functions", "contigs", sql=f"""WITH {_CONTIGS}, {_CONTIG_WINDOWS}
+SELECT contig_id, start, {_RC.format('s')} AS rc, least(s, {_RC.format('s')}) AS canonical, left(s, {K - 1}) AS prefix, right(s, {K - 1}) AS suffix,
+  CAST((strpos('ACTG', left(s, 1)) - 1) * 4 + strpos('ACTG', right(s, 1)) - 1 AS INTEGER) AS ends,
+  CAST(list_sum(list_transform(generate_series(1, {K}), lambda i: CAST(strpos('ACTG', s[i]) - 1 AS BIGINT) << (2 * ({K} - i)))) AS BIGINT) AS packed, s AS unpacked,
+  CAST(strpos('ACTG', s[5]) - 1 AS INTEGER) AS fifth FROM contig_windows""")
+def b_window_functions(contigs: DataFrame) -> DataFrame:
+    """b_base_functions over every window of every contig, not only the first."""
+    word = dna.packed("s")
+    return _contig_windows(contigs).select("contig_id", "start", dna.reverse_complement("s").alias("rc"), dna.canonical("s").alias("canonical"), dna.prefix("s", K).alias("prefix"), dna.suffix("s", K).alias("suffix"), dna.endpoint_byte("s").cast("int").alias("ends"), word.alias("packed"), dna.unpacked(word, K).alias("unpacked"), dna.packed_base(word, 4, K).cast("int").alias("fifth"))
+
+
 @query("b7_base_qualities", "read_records", sql=f"""WITH {_READS}, pairs AS (SELECT upper(seq[i]) AS b, greatest(ascii(qual[i]) - 33, 0) AS quality FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM reads WHERE qual IS NOT NULL))
 SELECT b AS base, CAST(quality AS INTEGER) AS quality, count(*) AS bases FROM pairs GROUP BY 1, 2""")
 def b7_base_qualities(records: DataFrame) -> DataFrame:
@@ -439,6 +460,13 @@ def h4_lookup(records: DataFrame, contigs: DataFrame) -> DataFrame:
     return graph.lookup(_nodes(records), wanted).select("kmer", "orient", "cov")
 
 
+@query("h4_window_lookup", "read_records", "contigs", sql=f"""WITH {_NODES}, {_CONTIGS}, {_CONTIG_WINDOWS}, q AS (SELECT DISTINCT s AS kmer FROM contig_windows)
+SELECT q.kmer, v.o AS orient, CAST(n.n AS DOUBLE) AS cov FROM q JOIN view v ON v.s = q.kmer JOIN nodes n ON n.kmer = v.kmer""")
+def h4_window_lookup(records: DataFrame, contigs: DataFrame) -> DataFrame:
+    """h4_lookup of the distinct windows of every contig, not only the first ones."""
+    return graph.lookup(_nodes(records), _contig_windows(contigs).select(F.col("s").alias("kmer")).distinct()).select("kmer", "orient", "cov")
+
+
 @query("h6_h7_paired_edges", "read_records", sql=f"""WITH {_EDGES}, e AS (SELECT DISTINCT src, so, dst, dor FROM edges WHERE src <> dst)
 SELECT a.* FROM e a SEMI JOIN e b ON b.src = a.dst AND b.dst = a.src AND b.so <> a.dor AND b.dor <> a.so""")
 def h6_h7_paired_edges(records: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brute import canonical, counts, windows
+from brute import canonical, counts, genome, rc, windows
 from helixframe.functions import dna
 from helixframe.operators import counting, kmers
+from helixframe.plans import catalog
 from helixframe.sources import reads as source
 
 READS = [
@@ -131,3 +132,21 @@ def test_store(spark, reads):
         source.ReadStore(clean, [0, 20], two_bit=True)
     with pytest.raises(Exception, match="A, C, G and T only"):
         source.ReadStore(reads.filter("read_id = 1"), [0], two_bit=True).reads().collect()
+
+
+def test_every_window_of_the_contigs(spark, tmp_path):
+    text, old, k = genome(70, 41), genome(60, 42), catalog.K
+    dirty = text[:30].lower() + "N" + text[30:]
+    rows = [(1, old, 1), (1, dirty, 2), (2, text[5:40], 1), (3, None, 1), (4, text[:9], 1)]
+    contigs = spark.createDataFrame([(k, i, seq, 1.0, None, t) for i, seq, t in rows], "k int, contig_id long, seq string, cov double, serialized_contigs array<struct<counts: int>>, written_at int")
+    contigs.write.parquet(f"{tmp_path}/contigs.parquet")
+    want = {(i, p, w) for i, seq in ((1, dirty), (2, text[5:40])) for p, w in windows(seq, None, k, 0)}
+    assert len(want) > 40
+    got = catalog.QUERIES["b_window_functions"](spark, str(tmp_path)).collect()
+    code = {b: n for n, b in enumerate("ACTG")}
+    assert sorted((r.contig_id, r.start, r.unpacked) for r in got) == sorted(want)
+    for r in got:
+        s = r.unpacked
+        assert (r.rc, r.canonical, r.prefix, r.suffix) == (rc(s), canonical(s), s[:-1], s[1:])
+        assert (r.packed, r.ends, r.fifth) == (sum(code[b] << 2 * (k - 1 - i) for i, b in enumerate(s)), code[s[0]] * 4 + code[s[-1]], code[s[4]])
+    assert {r.contig_id for r in got if r.start > 0} == {1, 2}
