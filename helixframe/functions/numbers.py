@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from functools import lru_cache
 
@@ -10,14 +11,16 @@ import numpy as np
 
 def lse(*terms: np.ndarray) -> np.ndarray:
     """log(sum(exp(terms))), elementwise; all -inf gives -inf."""
-    stacked = np.stack(np.broadcast_arrays(*(np.asarray(t, float) for t in terms)))
-    top = stacked.max(axis=0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(np.isfinite(top), top + np.log(np.exp(stacked - np.where(np.isfinite(top), top, 0)).sum(axis=0)), top)
+    return functools.reduce(np.logaddexp, terms)
+
+
+def ln_sum(terms: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) over the last axis; all -inf gives -inf."""
+    return np.logaddexp.reduce(terms, axis=-1)
 
 
 def ln_softmax(logits: np.ndarray) -> np.ndarray:
-    return logits - lse(*logits)
+    return logits - ln_sum(logits)
 
 
 def ln_sub_exp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,6 +73,17 @@ def ln_beta_binomial(x: np.ndarray, trials: int, alpha: float, beta: float) -> n
     return np.where(inside, out, -np.inf)
 
 
+def ln_beta_binomials(last: int, trials: int, alpha: float, beta: float) -> np.ndarray:
+    """`ln_beta_binomial` at the counts 0 to ``last``, from the ratios of neighbouring ones; however many trials, only these are computed."""
+    lg = math.lgamma
+    x = np.arange(min(last, trials), dtype=float)
+    first = lg(trials + beta) + lg(alpha + beta) - lg(trials + alpha + beta) - lg(beta)
+    steps = np.log(trials - x) + np.log(x + alpha) - np.log(x + 1) - np.log(trials - x - 1 + beta)
+    out = np.full(last + 1, -np.inf)
+    out[: len(x) + 1] = first + np.concatenate(([0.0], np.cumsum(steps)))
+    return out
+
+
 def negative_binomial_mode(mean: float, dispersion: float) -> int:
     """The count of highest mass: the density of a negative binomial peaks dispersion - 1 below its mean."""
     return max(0, math.floor(mean - (dispersion - 1)))

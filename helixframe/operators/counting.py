@@ -102,7 +102,38 @@ def sample_fraction(threshold: int) -> float:
 
 def rescaled(spectrum: DataFrame, fraction: float) -> DataFrame:
     """A sampled spectrum scaled up to all k-mers."""
-    return spectrum.select("count", F.least(F.floor(F.col("distinct") / F.lit(fraction)), F.lit(2**32 - 1)).cast("long").alias("distinct"))
+    return spectrum.select("count", _scaled(fraction).alias("distinct"))
+
+
+def _scaled(fraction: float):
+    return F.least(F.floor(F.col("distinct") / F.lit(fraction)), F.lit(2**32 - 1)).cast("long")
+
+
+def sample_check(counts: DataFrame, threshold: int) -> DataFrame:
+    """One row comparing a hash sample with its table: distinct k-mers of both, the fraction, how many were to be expected, and
+    whether the difference is within five standard deviations of a binomial draw."""
+    fraction = sample_fraction(threshold)
+    inside = F.lit(True) if threshold >= 1 << 64 else F.xxhash64("kmer") < F.lit(threshold - (1 << 63))
+    sizes = counts.agg(F.count("*").alias("table"), F.count_if(inside).alias("sampled")).withColumn("fraction", F.lit(fraction))
+    expected = F.col("table") * F.col("fraction")
+    return sizes.withColumn("expected", expected).withColumn("unbiased", F.abs(F.col("sampled") - expected) <= 5 * F.sqrt(expected * (1 - F.col("fraction"))) + 1e-9)
+
+
+def floor_histograms(counts: DataFrame, floors: list[int], bins: int = BINS) -> DataFrame:
+    """floor, count and distinct: the histogram of every floor's counts (n_f0, n_f1, ... of ``floors``) in one pass."""
+    rows = F.array(*(F.struct(F.lit(f).alias("floor"), F.col(f"n_f{i}").alias("n")) for i, f in enumerate(floors)))
+    flat = counts.select(F.inline(rows)).filter("n > 0")
+    return flat.groupBy("floor", F.least("n", F.lit(bins)).cast("int").alias("count")).agg(F.count("*").alias("distinct"))
+
+
+def floor_spectra(counts: DataFrame, floors: list[int], used: list[int] | None = None, fraction: float = 1.0, bins: int = BINS) -> dict[int, np.ndarray]:
+    """The histograms as arrays, those of a sample scaled up; at most ``bins`` rows a floor are collected."""
+    h = floor_histograms(counts, floors, bins)
+    h = h if fraction == 1.0 else h.select("floor", "count", _scaled(fraction).alias("distinct"))
+    out = {f: np.zeros(bins, np.int64) for f in (used or floors)}
+    for floor, count, distinct in h.filter(F.col("floor").isin(list(out))).collect():
+        out[floor][count - 1] = distinct
+    return out
 
 
 def carry(counts: DataFrame, contigs: DataFrame, k: int, min_count: int) -> DataFrame:

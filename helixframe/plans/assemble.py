@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ..operators.compact import collapse
 from ..operators.correct import correct
-from ..operators.counting import carry, count_kmers, dense, gated_counts, histogram, rescaled, sample_fraction, sample_threshold, sampled
+from ..operators.counting import carry, count_kmers, dense, floor_spectra, gated_counts, histogram, sample_check, sample_fraction, sample_threshold, sampled
 from ..operators.graph import nodes_of, overlap_edges
 from ..session import cut_lineage
 from ..sources.reads import ReadStore, quality_alphabet, statistics
 from ..sources.sinks import write_fasta
 from .mixture import fitter
 from .options import AssemblyOptions, CorrectionOptions, InputError, InvalidOptions, PreprocessingError, settled_ladder
-from .selection import Choice, choose, effective_floors
+from .selection import Choice, choose, effective_floors, recounted
 from .spectrum import estimate, peak_source
 
 log = logging.getLogger("helixframe")
@@ -41,6 +41,7 @@ class Preprocessed:
     peak: int | None
     source: str
     unresolved: bool
+    chosen_floor_resolved: bool = True
 
 
 @dataclass
@@ -87,24 +88,31 @@ def preprocess(reads: DataFrame, k: int, floors: list[int], options: AssemblyOpt
 
     All floors are counted in one pass, so a looser floor is another column
     and no second scan. With the first-sighting filter the choice rests on a
-    hash sample of the k-mers seen twice or more, scaled up. Carried k-mers
-    never enter the spectrum.
+    hash sample of the k-mers, scaled up; if it falls on a looser floor, the
+    spectrum of all its k-mers is fitted again. Carried k-mers never enter the
+    spectrum. A fixed cutoff stays at the strictest floor.
     """
     counts = cut_lineage(count_kmers(reads, k, floors))
-    if counts.isEmpty():
-        raise PreprocessingError(f"no read holds a usable window of {k} bases")
     used = [f for f in floors if ceiling is None or f <= ceiling] or floors[:1]
+    size = counts.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"n_f{floors.index(f)}") > 0).alias(f"at_{f}") for f in used)).first()
+    if not any(size[f"at_{f}"] for f in used):
+        raise PreprocessingError(f"no read holds a usable window of {k} bases at a floor of {used}")
+    if options.min_count is not None and not size[f"at_{used[-1]}"]:
+        raise PreprocessingError(f"no read holds a usable window of {k} bases at the floor of {used[-1]}")
     fraction, looked_at = 1.0, counts
     if options.first_sighting_filter:
-        threshold = sample_threshold(gated_counts(counts).count())
+        threshold = sample_threshold(size.n)
         fraction, looked_at = sample_fraction(threshold), sampled(counts, threshold)
-    spectra = {}
-    for i, floor in enumerate(floors):
-        if floor in used:
-            h = histogram(looked_at, f"n_f{i}")
-            spectra[floor] = dense(h if fraction == 1.0 else rescaled(h, fraction))
-    choice = choose(spectra, options.min_count, fitter(reads.sparkSession))
+        log.info("k=%d: sample %s", k, sample_check(counts, threshold).first())
+    spectra = floor_spectra(looked_at, floors, used, fraction)
+    fit = fitter(reads.sparkSession)
+    first = choice = choose(spectra, options.min_count, fit, 1 / fraction)
     column = f"n_f{floors.index(choice.floor)}"
+    spectrum = spectra[choice.floor]
+    if options.min_count is None and choice.floor < used[-1]:
+        spectrum = dense(histogram(counts, column))
+        choice = recounted(choice, spectrum, fit)
+    log.info("k=%d: floor %d, cutoff %d, peak %s (%s)", k, choice.floor, choice.min_count, choice.peak, choice.source)
     table = counts.select("kmer", F.col(column).alias("n")).filter("n > 0")
     if options.first_sighting_filter:
         table = gated_counts(table)
@@ -113,7 +121,7 @@ def preprocess(reads: DataFrame, k: int, floors: list[int], options: AssemblyOpt
     kept = cut_lineage(table.filter(F.col("n") >= choice.min_count))
     if kept.isEmpty():
         raise PreprocessingError(f"no {k}-mer reaches a count of {choice.min_count}")
-    return Preprocessed(k, kept, spectra[choice.floor], choice.min_count, choice.floor, choice.peak, choice.source, _unresolved(choice, options))
+    return Preprocessed(k, kept, spectrum, choice.min_count, choice.floor, choice.peak, choice.source, _unresolved(choice, options), not _unresolved(first, options))
 
 
 def _unresolved(choice: Choice, options: AssemblyOptions) -> bool:
@@ -145,11 +153,9 @@ class FloorMemory:
     def saw(self, floor: int, resolved: bool) -> None:
         if not resolved:
             return
-        if floor < self.ceiling and self.last is not None and self.last < self.ceiling:
-            self.ceiling = max(floor, self.last)
-            self.last = None
-        else:
-            self.last = floor
+        if self.last is not None:
+            self.ceiling = min(self.ceiling, max(floor, self.last))
+        self.last = floor
 
 
 def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sink: Callable[[DataFrame, DataFrame], None] | None = None, intermediate: Callable[[int, DataFrame], None] | None = None, counted: Callable[[Preprocessed], None] | None = None) -> Assembly:
@@ -188,7 +194,8 @@ def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sin
                 break
             if counted:
                 counted(found)
-            memory.saw(found.floor, found.source == "Fitted")
+            if options.min_count is None:
+                memory.saw(found.floor, found.chosen_floor_resolved)
             step = Step(k, found.floor, found.min_count, found.peak, found.source, True)
             steps.append(step)
             if number and (found.peak or 0) < LEAST_LADDER_PEAK:

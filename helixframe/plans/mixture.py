@@ -1,11 +1,12 @@
-"""Mixture fit of a spectrum: errors, single-copy and repeated k-mers, and a shelf of lost copies.
+"""Mixture fit of a spectrum: errors, single-copy k-mers with a shelf of lost coverage, and repeats.
 
 Errors are a free share of singletons and a tail with survival
 exp(-rate ((x-1)^shape - 1) / shape) from 2 on, or its limit for shape 0, a
 power law. Single-copy and repeated k-mers are negative binomials of one
-dispersion; the shelf is a beta-binomial over the single-copy mean. Several
-starts of every configuration are refined with the Nelder-Mead simplex, and
-the valid fit of lowest BIC is taken.
+dispersion; a beta-binomial shelf may hold a part of the single-copy ones.
+Every component is a distribution over the fitted counts, so its weight is its
+share of the k-mers seen there. Several starts of every configuration are
+refined with the Nelder-Mead simplex, and the valid fit of lowest BIC is taken.
 """
 
 from __future__ import annotations
@@ -19,19 +20,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
-from ..functions.numbers import ln_beta_binomial, ln_negative_binomial, ln_softmax, ln_sub_exp, lse, negative_binomial_mode, sigmoid
+from ..functions.numbers import ln_beta_binomials, ln_negative_binomial, ln_softmax, ln_sub_exp, ln_sum, lse, negative_binomial_mode, sigmoid
 from .spectrum import last_open, shelf_share
 
 # Fixed values of the fit.
 WINDOW = 6
-MODE_RANGE = (0.75, 1.33)
+MODE_LEAST, MODE_SPAN = 0.75, 0.58
 REPEAT_RANGE = (1.5, 2.0)
-DISPERSIONS = (2.0, 8.0, 15.0)
+DISPERSIONS, NO_HINT = (2.0, 8.0, 15.0), 2.0
+ERROR_STARTS = {False: ((1.5, 0.8, 0.0), (2.5, 0.95, 0.0)), True: ((1.5, 0.8, 0.05), (2.5, 0.9, 0.5), (2.0, 0.95, 1.0))}  # rate, singletons, shape
+SHELF_STARTS = ((0.5, 3.0), (0.75, 4.0))  # kept coverage, concentration
+LN_REPEAT_START, REPEAT_START = -3.0, 1.9
 SIMPLEX_STEP, SIMPLEX_TOLERANCE = 0.5, 1e-4
 ITERATIONS = {False: 1000, True: 2000}
 SHELF_MOST_SHARE, SHELF_LEAST_KEPT, SHELF_MOST_CONCENTRATION = 0.5, 0.3, 20.0
 MOST_MASS = 1.10
 MODE_SLACK = 0.5
+MODE_RATIOS, MODE_RATIO_PEAKS = (1.25, 1.40), (100, 200)
+LEAST_REPEAT_RATIO = 1.4
+HOLES = 1.0
 
 
 def nelder_mead(cost: Callable[[np.ndarray], float], start: np.ndarray, iterations: int) -> tuple[np.ndarray, float, bool]:
@@ -75,6 +82,22 @@ class Configuration:
         return 7 + self.weibull + 3 * self.shelf
 
 
+@dataclass(frozen=True)
+class Shelf:
+    """A beta-binomial part of the single-copy k-mers, which kept only a part of the coverage."""
+
+    share: float
+    alpha: float
+    beta: float
+
+    @property
+    def valid(self) -> bool:
+        most, eps = self.alpha + self.beta, 1e-9
+        if not (math.isfinite(most) and self.beta > 0 and 0 < self.share < SHELF_MOST_SHARE):
+            return False
+        return self.alpha >= 1 - eps and self.alpha / most >= SHELF_LEAST_KEPT - eps and most <= SHELF_MOST_CONCENTRATION + eps
+
+
 @dataclass(frozen=True)
 class Parts:
     """Decoded parameters."""
@@ -83,49 +106,66 @@ class Parts:
     singletons: float
     rate: float
     shape: float
-    mode: float
+    target: float
     dispersion: float
     ratio: float
-    kept: float = 0.0
-    concentration: float = 0.0
+    shelf: Shelf | None = None
 
     @property
     def mean(self) -> float:
-        return self.mode + self.dispersion - 1
+        return self.target + self.dispersion - 1
+
+
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def _exp(x: float) -> float:
+    return math.exp(min(x, 700.0))
 
 
 def decode(theta: np.ndarray, configuration: Configuration, peak: float) -> Parts:
     """Weights by softmax with the errors' logit 0; the mode stays near the peak seen."""
-    logits = np.concatenate(([0.0], theta[:2], theta[-3:-2] if configuration.shelf else []))
-    at = 2
-    singletons, rate = sigmoid(theta[at]), math.exp(min(theta[at + 1], 50))
-    at += 2
-    shape = math.exp(min(theta[at], 5)) if configuration.weibull else 0.0
-    at += configuration.weibull
-    low, high = MODE_RANGE
-    mode = peak * (low + (high - low) * sigmoid(theta[at]))
-    dispersion = 1 + math.exp(min(theta[at + 1], 50))
-    ratio = REPEAT_RANGE[0] + (REPEAT_RANGE[1] - REPEAT_RANGE[0]) * sigmoid(theta[at + 2])
-    kept = SHELF_LEAST_KEPT + (1 - SHELF_LEAST_KEPT) * sigmoid(theta[-2]) if configuration.shelf else 0.0
-    concentration = 1 + (SHELF_MOST_CONCENTRATION - 1) * sigmoid(theta[-1]) if configuration.shelf else 0.0
-    return Parts(ln_softmax(logits), singletons, rate, shape, mode, dispersion, ratio, kept, concentration)
+    single, repeat, mode, spread, rate, singletons, *rest = (float(t) for t in theta)
+    shape = _exp(rest.pop(0)) if configuration.weibull else 0.0
+    low, high = REPEAT_RANGE
+    ratio = low + (high - low) * sigmoid(rest.pop(0))
+    shelf = None
+    if configuration.shelf:
+        share, kept, tight = (sigmoid(t) for t in rest)
+        kept = SHELF_LEAST_KEPT + (1 - SHELF_LEAST_KEPT) * kept
+        total = 1 / kept + (SHELF_MOST_CONCENTRATION - 1 / kept) * tight
+        shelf = Shelf(SHELF_MOST_SHARE * share, kept * total, (1 - kept) * total)
+    return Parts(ln_softmax(np.array([0.0, single, repeat])), sigmoid(singletons), _exp(rate), shape, peak * (MODE_LEAST + MODE_SPAN * sigmoid(mode)), 1 + _exp(spread), ratio, shelf)
 
 
 def ln_errors(x: np.ndarray, p: Parts) -> np.ndarray:
     def survival(v: np.ndarray) -> np.ndarray:
-        y = np.maximum(v - 1.0, 1.0)
-        return -p.rate * (np.log(y) if p.shape == 0 else np.expm1(np.minimum(p.shape * np.log(y), 700)) / p.shape)
+        y = np.log(np.maximum(v - 1.0, 1.0))
+        return -p.rate * (y if p.shape == 0 else np.expm1(np.minimum(p.shape * y, 700)) / p.shape)
 
     tail = ln_sub_exp(survival(x), survival(x + 1)) + math.log1p(-p.singletons) if p.singletons < 1 else np.full(len(x), -np.inf)
     return np.where(x == 1, math.log(max(p.singletons, 1e-300)), tail)
 
 
-def ln_components(x: np.ndarray, p: Parts) -> np.ndarray:
-    """Weighted log masses: errors, single copy, repeats, and the shelf if there is one."""
-    rows = [ln_errors(x, p), ln_negative_binomial(x, p.mean, p.dispersion), ln_negative_binomial(x, p.mean * p.ratio, p.dispersion)]
-    if p.concentration:
-        rows.append(ln_beta_binomial(x, max(1, round(p.mean)), max(p.kept * p.concentration, 1.0), max((1 - p.kept) * p.concentration, 1e-3)))
-    return np.stack(rows) + p.ln_weights[:, None]
+def trials(mean: float) -> int:
+    return max(1, math.floor(mean + 0.5))
+
+
+def ln_single_copy(last: int, p: Parts) -> np.ndarray:
+    """Log density of the single-copy k-mers at the counts 0 to ``last``."""
+    lobe = ln_negative_binomial(np.arange(last + 1), p.mean, p.dispersion)
+    if p.shelf is None:
+        return lobe
+    shelf = ln_beta_binomials(last, trials(p.mean), p.shelf.alpha, p.shelf.beta)
+    return lse(math.log1p(-p.shelf.share) + lobe, math.log(p.shelf.share) + shelf)
+
+
+def ln_components(x: np.ndarray, p: Parts) -> tuple[np.ndarray, np.ndarray]:
+    """Log densities of errors, single copy and repeats at the counts 1 to the last of ``x``, each over its mass there; and these masses."""
+    rows = np.stack([ln_errors(x, p), ln_single_copy(int(x[-1]), p)[1:], ln_negative_binomial(x, p.mean * p.ratio, p.dispersion)])
+    masses = ln_sum(rows)
+    return rows - masses[:, None], masses
 
 
 def cost_of(theta: np.ndarray, configuration: Configuration, peak: float, x: np.ndarray, observed: np.ndarray) -> float:
@@ -134,84 +174,135 @@ def cost_of(theta: np.ndarray, configuration: Configuration, peak: float, x: np.
         return math.inf
     with np.errstate(all="ignore"):
         p = decode(theta, configuration, peak)
-        mixed = lse(*ln_components(x, p))
-        value = -float((observed * (mixed - lse(*mixed))).sum())
-    return value if math.isfinite(value) else math.inf
+        if not (p.rate > 0 and p.singletons < 1 and math.isfinite(p.mean) and abs(p.mean - (p.dispersion - 1) - p.target) <= MODE_SLACK) or (p.shelf and not p.shelf.valid):
+            return math.inf
+        rows, masses = ln_components(x, p)
+        if not np.isfinite(masses).all():
+            return math.inf
+        value = -float((observed * ln_sum((rows + p.ln_weights[:, None]).T))[observed > 0].sum())
+    return value if math.isfinite(value) and value >= 0 else math.inf
 
 
 @dataclass(frozen=True)
 class Fit:
-    error_model: str
-    genome_model: str
-    w_error: float
-    w_single: float
-    w_repeat: float
-    w_shelf: float
-    mean: float
-    mode: int
-    dispersion: float
-    repeat_ratio: float
+    """A refined start; ``heights`` are the k-mers of errors, single copy and repeats expected at the counts 1, 2, ...
+    of the window, ``totals`` those over all counts, both of the whole library."""
+
+    configuration: Configuration
+    parts: Parts
+    heights: np.ndarray
+    totals: np.ndarray
     cost: float
     bic: float
-    heights: np.ndarray  # fitted k-mers of each component at counts 1, 2, ...
+    deviance: float
+    distinct: float
+    window: int
 
     @property
     def errors(self) -> np.ndarray:
         return self.heights[0]
 
+    @property
+    def single(self) -> np.ndarray:
+        return self.heights[1]
+
     @property
     def genome(self) -> np.ndarray:
-        return self.heights[1:].sum(axis=0)
+        return self.heights[1] + self.heights[2]
+
+    @property
+    def weights(self) -> np.ndarray:
+        return np.exp(self.parts.ln_weights)
+
+    @property
+    def mean(self) -> float:
+        return self.parts.mean
 
-    def crossover(self) -> int:
-        """The first count from which the genome outweighs errors up to its mode."""
-        below = np.flatnonzero(self.genome[: max(self.mode, 1)] <= self.errors[: max(self.mode, 1)])
-        return int(below[-1]) + 2 if len(below) else 1
+    @property
+    def dispersion(self) -> float:
+        return self.parts.dispersion
 
-    def hole_cutoff(self, budget: float = 1.0) -> int:
-        """The largest cutoff below which at most ``budget`` genomic k-mers are expected to be lost."""
-        lost = np.cumsum(self.genome)
-        return int(np.searchsorted(lost, budget, "right")) + 1
+    @property
+    def mode(self) -> int:
+        return negative_binomial_mode(self.mean, self.dispersion)
 
-    def error_floor(self, budget: float = 1.0) -> int:
-        """The smallest cutoff from which on at most ``budget`` erroneous k-mers a bin are expected, up to the crossover."""
-        few = np.flatnonzero(self.errors[: max(self.crossover(), 1)] <= budget)
-        return int(few[0]) + 1 if len(few) else self.crossover()
+    @property
+    def repeat_mode(self) -> int:
+        return negative_binomial_mode(self.mean * self.parts.ratio, self.dispersion)
+
+    def crossover(self) -> int | None:
+        """The first count below the mean at which single-copy k-mers outnumber errors, 2 at least; none if they never do."""
+        over = np.flatnonzero((self.single > self.errors)[: max(0, min(max(trials(self.mean), 2), self.window) - 1)])
+        return max(int(over[0]) + 1, 2) if len(over) and self.mean >= 2 else None
+
+    def hole_cutoff(self, budget: float = HOLES) -> int | None:
+        """The largest cutoff below which at most ``budget`` single-copy k-mers are lost, those never seen included, 2 at
+        least; none if every cutoff up to the mean stays within it."""
+        last = min(trials(self.mean), self.window)
+        if self.totals[1] <= 0 or self.mean < 2 or last < 2:
+            return None
+        lost = self.totals[1] * np.cumsum(np.exp(ln_single_copy(last - 1, self.parts)))
+        beyond = np.flatnonzero(lost[1:] > budget)
+        return max(int(beyond[0]) + 1, 2) if len(beyond) else None
+
+    def error_floor(self) -> int:
+        """One past the last count at which errors alone reach the height of the single-copy mode; 2 at least."""
+        reached = np.flatnonzero(self.errors >= self.single[min(max(self.mode, 1), self.window) - 1])
+        return max(int(reached[-1]) + 2, 2) if len(reached) else 2
+
+    def guarded(self, cutoff: int) -> int:
+        """A cutoff lowered to what loses at most one single-copy k-mer, but never below the error floor."""
+        hole = self.hole_cutoff()
+        return max(min(cutoff, hole) if hole is not None else cutoff, self.error_floor())
+
+
+def fit_of(configuration: Configuration, p: Parts, last: int, observed: np.ndarray, cost: float, scale: float, distinct: float) -> Fit:
+    """What the parameters say about a library of which ``observed`` (at the counts 1 to ``last``) is one part in ``scale``."""
+    with np.errstate(all="ignore"):
+        rows, masses = ln_components(np.arange(1, last + 1), p)
+        seen = float(observed.sum())
+        heights = np.exp(rows + p.ln_weights[:, None]) * seen * scale
+        expected = heights.sum(axis=0) / scale
+        some = observed > 0
+        deviance = 2 * float((observed[some] * np.log(observed[some] / expected[some])).sum())
+        return Fit(configuration, p, heights, np.exp(p.ln_weights + math.log(seen * scale) - masses), cost, 2 * cost + configuration.parameters * math.log(seen), deviance, distinct, last)
 
 
 def starts_of(configuration: Configuration, h: np.ndarray, valley: int, peak: int, dispersion: float) -> list[np.ndarray]:
-    hint = [dispersion] if math.isfinite(dispersion) and dispersion > 1 else []
-    seeds = [*DISPERSIONS, *hint] if hint else [*DISPERSIONS, 4.0]
-    total, errors = max(h.sum(), 1), max(h[: valley - 1].sum(), 1)
-    genome = max(total - errors, 1)
-    singles = float(np.clip(h[0] / errors, 0.05, 0.95))
-    shapes = [(math.log(1.5), math.log(0.3)), (math.log(1.0), 0.0), (math.log(3.0), math.log(1.2))] if configuration.weibull else [(math.log(1.5),), (math.log(3.0),)]
-    shelves = [(math.log(shelf_share(h, valley, peak) * genome / errors), 0.0, -1.0), (math.log(0.05 * genome / errors), 1.0, 0.0)] if configuration.shelf else [()]
+    """Every dispersion with every error start, and with every form of the shelf."""
+    hint = dispersion if math.isfinite(dispersion) and dispersion > 1 else NO_HINT
+    low, high = REPEAT_RANGE
+    ratio = _logit((REPEAT_START - low) / (high - low))
+    share = _logit(shelf_share(h, valley, peak) / SHELF_MOST_SHARE)
+    shelves = [(share, _logit((kept - SHELF_LEAST_KEPT) / (1 - SHELF_LEAST_KEPT)), _logit((tight - 1 / kept) / (SHELF_MOST_CONCENTRATION - 1 / kept))) for kept, tight in SHELF_STARTS] if configuration.shelf else [()]
+    errors = [(math.log(rate), _logit(singletons), *([math.log(shape)] if configuration.weibull else [])) for rate, singletons, shape in ERROR_STARTS[configuration.weibull]]
     return [
-        np.array([math.log(0.9 * genome / errors), math.log(0.1 * genome / errors), math.log(singles / (1 - singles)), *shape, 0.0, math.log(max(d - 1, 0.05)), 0.0, *shelf])
-        for d in seeds for shape in shapes for shelf in shelves
+        np.array([0.0, LN_REPEAT_START, 0.0, math.log(max(d - 1, 1e-3)), *error, ratio, *shelf])
+        for d in (*DISPERSIONS, hint) for error in errors for shelf in shelves
     ]
 
 
-def rejection(fit: Fit, observed: int, valley: int, peak: int, last: int) -> str:
+def rejection(fit: Fit, valley: int, peak: int) -> str:
     """Empty, or the first reason not to trust a fit."""
-    heights = fit.heights
-    if not np.isfinite(heights).all():
+    p = fit.parts
+    if not (math.isfinite(fit.cost) and math.isfinite(fit.deviance) and math.isfinite(fit.bic)):
         return "not finite"
-    if abs(fit.w_error + fit.w_single + fit.w_repeat + fit.w_shelf - 1) > 1e-6:
-        return "weights do not add up"
-    if (heights.sum(axis=1) > MOST_MASS * observed).any():
-        return "a component holds more than there is"
-    if abs(negative_binomial_mode(fit.mean, fit.dispersion) - fit.mode) > MODE_SLACK:
+    if fit.cost < 0:
+        return "a likelihood above one"
+    if abs(fit.weights.sum() - 1) > 1e-8 or not np.isfinite(fit.totals).all() or not (math.isfinite(p.mean) and p.mean > 0 and p.dispersion > 1) or (p.shelf and not p.shelf.valid):
+        return "invalid components"
+    if fit.totals.sum() > MOST_MASS * fit.distinct:
+        return "the components hold more than there is"
+    if abs(p.mean - (p.dispersion - 1) - p.target) > MODE_SLACK:
         return "mode and mean disagree"
-    if fit.mode < 1 or fit.mode > last or fit.mean * fit.repeat_ratio < 1:
+    if fit.mode > fit.window or fit.repeat_mode > fit.window:
         return "a lobe lies outside the window"
-    if int(np.argmax(heights[0])) + 1 >= max(valley, 2):
+    if len(fit.errors) - int(np.argmax(fit.errors[::-1])) >= valley:
         return "errors peak above the valley"
-    limit = float(np.interp(peak, [100, 200], [1.25, 1.40]))
-    if not 1 / limit <= fit.mode / peak <= limit:
+    limit = float(np.interp(peak, MODE_RATIO_PEAKS, MODE_RATIOS))
+    if fit.mode <= 0 or peak <= 0 or max(fit.mode / peak, peak / fit.mode) > limit:
         return "the mode is far from the peak"
-    if negative_binomial_mode(fit.mean * fit.repeat_ratio, fit.dispersion) < 1.4 * fit.mode:
+    if fit.repeat_mode < LEAST_REPEAT_RATIO * fit.mode:
         return "repeats are not apart from single copies"
     return ""
 
@@ -240,31 +331,31 @@ def fitter(spark: SparkSession):
     return functools.partial(fit_spectrum, spark=spark)
 
 
-def fit_spectrum(h: np.ndarray, valley: int, peak: int, dispersion: float = float("nan"), configurations: tuple[Configuration, ...] | None = None, spark: SparkSession | None = None) -> tuple[Fit | None, list[tuple[Fit, str]]]:
-    """The valid fit of lowest BIC, the earlier of equal ones; and the fits tried with their rejections."""
+def fit_spectrum(h: np.ndarray, valley: int, peak: int, dispersion: float = float("nan"), configurations: tuple[Configuration, ...] | None = None, spark: SparkSession | None = None, scale: float = 1.0) -> tuple[Fit | None, list[tuple[Fit, str]]]:
+    """The valid fit of lowest BIC, the earlier of equal ones; and the fits tried with their rejections.
+
+    ``h`` is the spectrum of the whole library; where it was scaled up from a
+    sample, ``scale`` is by how much, and likelihoods count the sample itself.
+    """
+    scale = scale if math.isfinite(scale) and scale >= 1 else 1.0
+    sample = np.floor(h / scale + 0.5).astype(np.int64)
     last = min(WINDOW * peak, last_open(h))
-    x, total = np.arange(1, last + 1), float(h[:last].sum())
+    observed, distinct = sample[:last].astype(float), float(h.sum())
+    if peak < 2 or valley < 2 or not observed.sum():
+        return None, []
     configurations = configurations or tuple(Configuration(w, s) for s in (False, True) for w in (False, True))
-    jobs = [(c, start) for c in configurations for start in starts_of(c, h, valley, peak, dispersion)]
-    results = _refined_by(spark, h, peak, last, jobs) if spark else _refined(h, peak, last, jobs)
+    jobs = [(c, start) for c in configurations for start in starts_of(c, sample, valley, peak, dispersion)]
+    results = _refined_by(spark, sample, peak, last, jobs) if spark else _refined(sample, peak, last, jobs)
     tried: list[tuple[Fit, str]] = []
     best: Fit | None = None
     for configuration in configurations:
-        runs = [r for (c, _), r in zip(jobs, results) if c == configuration]
-        chosen = None
-        for theta, value, converged in sorted(runs, key=lambda r: r[1]):
-            if not converged or not math.isfinite(value) or value <= 0:
-                continue
-            p = decode(theta, configuration, peak)
-            ln = ln_components(x, p)
-            inside = math.exp(float(lse(*lse(*ln))))
-            weights = np.exp(p.ln_weights)
-            fit = Fit(*configuration.name, float(weights[0]), float(weights[1]), float(weights[2]), float(weights[3]) if configuration.shelf else 0.0, p.mean, negative_binomial_mode(p.mean, p.dispersion), p.dispersion, p.ratio, value, 2 * value + configuration.parameters * math.log(max(total, 1)), np.exp(ln) * total / inside)
-            why = rejection(fit, int(total), valley, peak, last)
+        runs = [r for (c, _), r in zip(jobs, results) if c == configuration and r[2] and math.isfinite(r[1]) and r[1] > 0]
+        for theta, value, _ in sorted(runs, key=lambda r: r[1]):
+            fit = fit_of(configuration, decode(theta, configuration, peak), last, observed, value, scale, distinct)
+            why = rejection(fit, valley, peak)
             tried.append((fit, why))
             if not why:
-                chosen = fit
+                if best is None or fit.bic < best.bic - 1e-9 * (1 + max(abs(fit.bic), abs(best.bic))):
+                    best = fit
                 break
-        if chosen and (best is None or chosen.bic < best.bic):
-            best = chosen
     return best, tried

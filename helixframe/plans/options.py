@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 # Anchors and steps of the default ladder, and the defaults of the options below.
@@ -44,13 +45,16 @@ def check_ladder(ks: list[int]) -> None:
 
 
 def default_ladder(longest_read: int) -> list[int]:
-    """21 and further steps up to ten bases below the longest read."""
+    """21 and further steps up to ten bases below the longest read.
+
+    Where the next step would pass that, the largest odd k below it is the
+    last one if it gains enough, or is the largest k there is.
+    """
     ceiling = min(longest_read - LONGEST_SLACK, MOST_K)
-    ks = [k for k in ANCHORS if k <= ceiling] or [ANCHORS[0]]
-    while ks[-1] >= ANCHORS[-1] and ks[-1] + STEP <= ceiling:
-        ks.append(ks[-1] + STEP)
-    last = ceiling if ceiling % 2 else ceiling - 1
-    if last > ks[-1] and ks[-1] >= ANCHORS[-1] and (last - ks[-1] >= LEAST_LAST_GAIN or last == MOST_K):
+    steps = [*ANCHORS, *range(ANCHORS[-1] + STEP, MOST_K + 1, STEP)]
+    ks = [k for k in steps if k <= ceiling] or [ANCHORS[0]]
+    last = ceiling - 1 + ceiling % 2
+    if last > ks[-1] and (last - ks[-1] >= LEAST_LAST_GAIN or last == MOST_K):
         ks.append(last)
     return ks
 
@@ -68,7 +72,7 @@ def short_path_limit(bases: int, k: int) -> int:
 
 
 def dead_end_bases(flat: int, k_multiple: float, k: int) -> int:
-    return flat if k_multiple <= 0 else max(flat, round(k_multiple * k))
+    return flat if k_multiple <= 0 else max(flat, math.floor(k_multiple * k + 0.5))
 
 
 def bulge_kmers(k: int) -> int:
@@ -107,6 +111,7 @@ class CorrectionOptions:
     pop_ratio: float = 0.1
     connector_ratio: float = 4.0
     connector_both: bool = False
+    alternatives_tried: int | None = 131  # partial paths a search for alternatives goes on from, shortest first; None: all
     remove_dead_ends: bool = True
     remove_bulges: bool = True
     remove_connectors: bool = True
@@ -160,7 +165,7 @@ class AssemblyOptions:
     def correction_for(self, source: str, peak: int | None, min_count: int) -> CorrectionOptions:
         """The correction at one k; what is error-like depends on where the peak comes from."""
         fraction = self.peak_ratio if self.peak_ratio is not None else (0.25 if source == "Fitted" else 0.15)
-        return CorrectionOptions(self.dead_end_bases, self.dead_end_k_multiple, self.dead_end_covered_k_multiple, self.dead_end_ratio, self.pop_ratio, self.connector_ratio, self.connector_both, self.correct, self.correct, self.correct, CoverageReference(peak, min_count, fraction))
+        return CorrectionOptions(self.dead_end_bases, self.dead_end_k_multiple, self.dead_end_covered_k_multiple, self.dead_end_ratio, self.pop_ratio, self.connector_ratio, self.connector_both, remove_dead_ends=self.correct, remove_bulges=self.correct, remove_connectors=self.correct, coverage=CoverageReference(peak, min_count, fraction))
 
     def with_(self, **changes) -> "AssemblyOptions":
         return replace(self, **changes)

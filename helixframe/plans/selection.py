@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from .mixture import Fit, fit_spectrum
-from .spectrum import Estimate, estimate, fallback_pair, last_open, occurrence_median, peak_source, primary_pair
+from .spectrum import UNRESOLVED_MIN_COUNT, Estimate, estimate, last_open, occurrence_median, peak_source
 
 # Fixed values of the selection.
 DEFAULT_FLOOR, LOOSE_GAP, LOOSE_LEAST = 20, 5, 10
@@ -37,47 +37,57 @@ def effective_floors(alphabet: list[int], fixed: int | None = None, two_bit: boo
 
 @dataclass(frozen=True)
 class FloorVerdict:
+    """What the spectrum of one floor says; ``error_tail`` is None where no fit or no count above the cutoff tells it."""
+
     floor: int
     estimate: Estimate
     fit: Fit | None
     min_count: int
-    peak: int | None
-    error_tail: float
+    error_tail: float | None = None
     empty: bool = False
 
     @property
-    def trusted(self) -> bool:
-        return self.fit is not None
+    def peak(self) -> int:
+        """The peak seen in the spectrum, 0 without one."""
+        return self.estimate.peak or 0
+
+    @property
+    def clean(self) -> bool:
+        return self.error_tail is not None and self.error_tail <= MOST_ERROR_TAIL
 
 
-def error_tail(h: np.ndarray, fit: Fit, cutoff: int) -> float:
+def error_tail(h: np.ndarray, fit: Fit, cutoff: int) -> float | None:
     """Share of fitted errors in what is observed from the cutoff to six times the mode."""
-    last = min(6 * max(fit.mode, 1), len(fit.errors), last_open(h))
+    last = min(6 * fit.mode, fit.window, last_open(h))
     observed = h[cutoff - 1 : last].sum()
-    return float(fit.errors[cutoff - 1 : last].sum() / observed) if observed else 1.0
+    return float(fit.errors[cutoff - 1 : last].sum() / observed) if observed else None
+
 
+def evaluate(h: np.ndarray, floor: int, fitter: Callable = fit_spectrum, scale: float = 1.0) -> FloorVerdict:
+    """Estimate, fit and cutoff of one floor.
 
-def evaluate(h: np.ndarray, floor: int, fitter: Callable = fit_spectrum) -> FloorVerdict:
-    """Estimate, fit and cutoff of one floor."""
+    The fit guards the cutoff: it is lowered to what loses at most one
+    single-copy k-mer, and never lies below the error floor.
+    """
     found = estimate(h)
     if not h.sum():
-        return FloorVerdict(floor, found, None, 2, None, 1.0, True)
-    fit = fitter(h, found.valley, found.peak, found.dispersion)[0] if found.resolved else None
-    cutoff, peak = found.min_count, found.peak
-    if fit:
-        hole = fit.hole_cutoff()
-        cutoff = max(max(hole, 2) if hole < cutoff else cutoff, min(fit.error_floor(), max(found.min_count, 2)))
-        peak = fit.mode
-    return FloorVerdict(floor, found, fit, cutoff, peak, error_tail(h, fit, cutoff) if fit else 1.0)
+        return FloorVerdict(floor, found, None, found.min_count, empty=True)
+    fit = fitter(h, found.valley, found.peak, found.dispersion, **({} if scale == 1.0 else {"scale": scale}))[0] if found.resolved else None
+    if fit is None:
+        return FloorVerdict(floor, found, None, found.min_count)
+    cutoff = fit.guarded(found.min_count)
+    return FloorVerdict(floor, found, fit, cutoff, error_tail(h, fit, cutoff))
 
 
 def needs_review(strict: FloorVerdict) -> bool:
     """Whether looser floors must be looked at: no windows, no fit, a long error tail or a low peak."""
-    return strict.empty or not strict.trusted or strict.error_tail > MOST_ERROR_TAIL or (strict.peak or 0) < LOW_PEAK
+    return strict.empty or strict.fit is None or not strict.clean or strict.peak < LOW_PEAK
 
 
 @dataclass(frozen=True)
 class Choice:
+    """``verdicts`` are those of the floors that had a say; `floor_report` gives all."""
+
     floor: int
     min_count: int
     peak: int | None
@@ -86,49 +96,68 @@ class Choice:
     verdicts: tuple[FloorVerdict, ...] = ()
 
 
-def choose(spectra: dict[int, np.ndarray], fixed_min_count: int | None = None, fitter: Callable = fit_spectrum) -> Choice:
+def _preferred(verdicts: list[FloorVerdict]) -> FloorVerdict | None:
+    """Of the floors with a fit the strictest with a short error tail, else that of the largest fitted mode; without a fit
+    that of the largest peak, found by the primary pair if any is."""
+    fitted = [v for v in verdicts if v.fit]
+    if len(fitted) > 1:
+        clean = [v for v in fitted if v.clean]
+        return max(clean, key=lambda v: v.floor) if clean else max(fitted, key=lambda v: (v.fit.mode, v.floor))
+    if fitted:
+        return fitted[0]
+    resolved = [v for v in verdicts if v.estimate.resolved]
+    return max(resolved, key=lambda v: (v.estimate.primary, v.peak, v.floor), default=None)
+
+
+def choose(spectra: dict[int, np.ndarray], fixed_min_count: int | None = None, fitter: Callable = fit_spectrum, scale: float = 1.0) -> Choice:
     """Floor and cutoff from the spectrum of each floor.
 
-    The strictest floor decides unless it needs review. Then the strictest
-    trusted floor with a short error tail does, else the one of the largest
-    fitted mode; without any fit the one of the largest peak. While the peak
-    is low, a looser floor is taken if it raises the peak by a tenth and does
-    not lose a fit. If nothing resolves, the loosest floor with k-mers is
-    kept with a cutoff of 2. A fixed cutoff only takes the peak from here.
+    The strictest floor decides unless it needs review; then all of them do.
+    While the peak seen is low, the next looser floor is taken if its peak is
+    a tenth higher and no fit is lost by it. If nothing resolves, the loosest
+    floor with k-mers is kept with a cutoff of 2. The peak reported is the
+    fitted mode, without a fit what the strictest spectrum tells.
+
+    A fixed cutoff, 0 included, keeps the strictest floor and only takes the
+    peak from its spectrum. ``scale`` is by how much spectra of a sample were
+    scaled up.
     """
     floors = sorted(spectra)
-    strict = evaluate(spectra[floors[-1]], floors[-1], fitter)
-    verdicts = (strict,)
-    chosen: FloorVerdict | None = strict
-    if needs_review(strict) and len(floors) > 1:
-        verdicts = tuple(evaluate(spectra[f], f, fitter) for f in floors[:-1]) + (strict,)
-        fits = [v for v in verdicts if v.trusted]
-        short = [v for v in fits if v.error_tail <= MOST_ERROR_TAIL]
-        resolved = [v for v in verdicts if v.estimate.resolved]
-        if len(fits) == 1:
-            chosen = fits[0]
-        elif short:
-            chosen = max(short, key=lambda v: v.floor)
-        elif fits:
-            chosen = max(fits, key=lambda v: (v.fit.mode, v.floor))
-        elif resolved:
-            chosen = max(resolved, key=lambda v: (v.estimate.primary, v.peak, v.floor))
-        else:
-            chosen = None
-        while chosen and (chosen.peak or 0) < LOW_PEAK:
-            looser = [v for v in verdicts if v.floor < chosen.floor]
-            if not looser or (looser[-1].peak or 0) < STEP_GAIN * (chosen.peak or 0) or (chosen.trusted and not looser[-1].trusted) or not looser[-1].peak:
-                break
-            chosen = looser[-1]
-    if chosen is None or not chosen.estimate.resolved:
+    top = floors[-1]
+    if fixed_min_count is not None:
+        source, peak = peak_source(spectra[top], estimate(spectra[top]))
+        return Choice(top, fixed_min_count, peak, source, False)
+    judged = {top: evaluate(spectra[top], top, fitter, scale)}
+    if needs_review(judged[top]):
+        judged |= {f: evaluate(spectra[f], f, fitter, scale) for f in floors[:-1] if spectra[f].sum()}
+    chosen = _preferred(list(judged.values()))
+    if chosen is None:
         loosest = next((f for f in floors if spectra[f].sum()), floors[0])
-        h = spectra[loosest]
-        median = occurrence_median(h)
-        return Choice(loosest, fixed_min_count or 2, median, "Fallback" if median else "Unknown", fixed_min_count is None, verdicts)
-    source, _ = peak_source(spectra[chosen.floor], chosen.estimate)
-    return Choice(chosen.floor, fixed_min_count or chosen.min_count, chosen.peak, source, False, verdicts)
-
-
-def empirical_peak(h: np.ndarray) -> int | None:
-    pair = primary_pair(h) or fallback_pair(h)
-    return pair[1] if pair else None
+        median = occurrence_median(spectra[top]) or occurrence_median(spectra[loosest])
+        return Choice(loosest, UNRESOLVED_MIN_COUNT, median, "Fallback" if median else "Unknown", True, tuple(judged.values()))
+    for looser in reversed(floors[: floors.index(chosen.floor)]):
+        if chosen.peak >= LOW_PEAK or not spectra[looser].sum():
+            break
+        if looser not in judged:
+            judged[looser] = evaluate(spectra[looser], looser, fitter, scale)
+        lower = judged[looser]
+        if not lower.estimate.resolved or lower.peak < STEP_GAIN * chosen.peak or (chosen.fit and not lower.fit):
+            break
+        chosen = lower
+    source, peak = ("Fitted", chosen.fit.mode) if chosen.fit else peak_source(spectra[top], chosen.estimate)
+    return Choice(chosen.floor, chosen.min_count, peak, source, False, tuple(judged.values()))
+
+
+def recounted(choice: Choice, h: np.ndarray, fitter: Callable = fit_spectrum) -> Choice:
+    """The choice after all k-mers of its floor were counted, not only a sample: that of their spectrum ``h``, with the peak
+    seen in it, unless only the sample separated signal from errors."""
+    again = evaluate(h, choice.floor, fitter)
+    source, peak = peak_source(h, again.estimate)
+    if choice.source == "Fitted" and source != "Fitted":
+        return choice
+    return Choice(choice.floor, again.min_count, peak, source, choice.unresolved and source != "Fitted", choice.verdicts)
+
+
+def floor_report(spectra: dict[int, np.ndarray], fitter: Callable = fit_spectrum, scale: float = 1.0) -> list[FloorVerdict]:
+    """The verdict on every floor with k-mers, strictest first, whichever of them decides."""
+    return [evaluate(spectra[f], f, fitter, scale) for f in sorted(spectra, reverse=True) if spectra[f].sum()]

@@ -120,7 +120,7 @@ def mirrored_area(h: np.ndarray, valley: int, peak: int) -> float | None:
     """Share of the k-mers seen twice or more that lie between the valley and its mirror image behind the peak."""
     mirror = 2 * peak - valley
     total = int(h[1:].sum())
-    if valley < 1 or peak < valley or mirror > last_open(h) or not total:
+    if valley < 2 or peak <= valley or mirror > last_open(h) or not total:
         return None
     return float(h[valley - 1 : mirror].sum() / total)
 
@@ -161,7 +161,7 @@ def lobe_dispersion(h: np.ndarray, valley: int, peak: int) -> float:
 
 def shelf_share(h: np.ndarray, valley: int, peak: int) -> float:
     """First guess of the share of k-mers on a shelf below the peak."""
-    lobe = h[valley - 1 : min(2 * peak, last_open(h))].sum()
+    lobe = h[valley - 1 : 2 * peak].sum()
     return float(np.clip(2 * h[valley - 1 : max(peak // 2, valley - 1)].sum() / lobe, 0.01, 0.4)) if lobe else 0.05
 
 
@@ -203,7 +203,7 @@ def _verdict(h: np.ndarray, valley: int, peak: int) -> str:
     """Empty if valley and peak separate, else what speaks against it."""
     if instances_from(h, valley) < LEAST_INSTANCES:
         return "too few occurrences lie above the valley"
-    if at(h, peak) < LEAST_HEIGHT * at(h, valley):
+    if at(h, peak) < LEAST_HEIGHT * max(at(h, valley), 1):
         return "the peak hardly rises above the valley"
     return ""
 

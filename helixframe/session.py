@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ def local_session(cores: int | str = 8, partitions: int | None = None, app: str
         .config("spark.driver.memory", os.environ.get("HELIX_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -36,6 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="helixframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 
@@ -45,7 +48,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the size estimate of the plan it replaces; in a loop
     these estimates multiply without bound, so the rows are taken over as a
-    relation without one, and adaptive execution sees the true sizes.
+    relation without one, and adaptive execution sees the true sizes. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` a checkpoint goes
+    when nothing refers to it any more.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -53,7 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     bare = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
     return DataFrame(bare, spark)
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a written intermediate table."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

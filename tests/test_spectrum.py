@@ -65,7 +65,7 @@ def test_fit_and_choice():
     plain = (M.Configuration(False, False),)
     fit, tried = M.fit_spectrum(h, found.valley, found.peak, found.dispersion, plain)
     assert fit and abs(fit.mode - 30) <= 3 and fit.errors[0] > fit.genome[0]
-    assert 1 < fit.crossover() <= fit.mode and fit.hole_cutoff() >= 1
+    assert 1 < fit.crossover() <= fit.mode and fit.hole_cutoff() >= 2
     quick = lambda *a: M.fit_spectrum(*a, plain)
     choice = G.choose({0: h, 20: h}, fitter=quick)
     assert choice.floor == 20 and choice.source == "Fitted" and not choice.unresolved
@@ -81,11 +81,30 @@ def test_floor_ladder(alphabet, want):
     assert G.floor_ladder(alphabet) == want
 
 
-@pytest.mark.parametrize("longest,want", [(20, [21]), (50, [21, 31]), (100, [21, 31, 41, 55, 71, 89]), (150, [21, 31, 41, 55, 71, 91, 111, 131, 139]), (90, [21, 31, 41, 55, 71, 79])])
+@pytest.mark.parametrize("longest,want", [(20, [21]), (50, [21, 31, 39]), (100, [21, 31, 41, 55, 71, 89]), (150, [21, 31, 41, 55, 71, 91, 111, 131, 139]), (90, [21, 31, 41, 55, 71, 79])])
 def test_default_ladder(longest, want):
     assert O.default_ladder(longest) == want
 
 
+def ladder_by_rule(ceiling: int) -> list[int]:
+    """Step by step: 21, 31, 41, 55, 71, then every 20; a step past the ceiling becomes the largest odd k below it."""
+    ceiling = min(ceiling, 255)
+    ks, steps = [21], [31, 41, 55, 71] + [71 + 20 * i for i in range(1, 11)]
+    for step in steps:
+        if step > ceiling:
+            top = max(k for k in range(1, ceiling + 1) if k % 2)
+            if top - ks[-1] >= 8 or (top == 255 and ks[-1] < 255):
+                ks.append(top)
+            break
+        ks.append(step)
+    return ks
+
+
+@pytest.mark.parametrize("ceiling", [20, 60, 65, 78, 90, 135, 138, 141, 225, 240, 254, 270, 1000])
+def test_default_ladder_by_rule(ceiling):
+    assert O.default_ladder(ceiling + 10) == ladder_by_rule(ceiling)
+
+
 def test_ladder_limits():
     assert O.default_ladder(1000)[-1] == 255
     assert O.settled_ladder([101, 121], 100) == [101] and O.settled_ladder([21, 99, 101], 100) == [21, 99]
@@ -104,6 +123,7 @@ def test_option_arithmetic():
     O.AssemblyOptions(min_count=1, first_sighting_filter=False).validated()
     assert O.short_path_limit(100, 21) == 80 and O.short_path_limit(10, 21) == 0
     assert O.dead_end_bases(100, 0, 21) == 100 and O.dead_end_bases(100, 10, 21) == 210
+    assert O.dead_end_bases(100, 2.5, 81) == 203 and O.dead_end_bases(100, 2.5, 31) == 100
     assert O.bulge_kmers(21) == 121 - 20 and O.bulge_kmers(99) == 297 - 98 and O.connector_kmers(21) == 189
     c = O.AssemblyOptions().correction_for("Fitted", 40, 3).coverage
     assert c.ceiling == 10 and c.error_like(9) and c.genomic(10)
@@ -111,3 +131,91 @@ def test_option_arithmetic():
     none = O.CoverageReference(None, 2, 0.25)
     assert not none.error_like(0) and none.genomic(0)
     assert str(O.QualityChoice(3, 20)) == "min count 3, minimum quality 20 (5)"
+
+
+def fit_with(mode: float, weights, observed: float = 1e7, singletons: float = 0.85, rate: float = 2.0, dispersion: float = 6.0, shape: float = 0.0, last: int | None = None) -> M.Fit:
+    parts = M.Parts(np.log(np.array(weights)), singletons, rate, shape, mode, dispersion, 1.9)
+    last = last or int(6 * mode)
+    spread = np.zeros(last)
+    spread[0] = observed
+    return M.fit_of(M.Configuration(shape > 0, False), parts, last, spread, 1.0, 1.0, observed)
+
+
+def brute_cutoffs(fit: M.Fit) -> tuple[int | None, int]:
+    """Hole cutoff and error floor count by count."""
+    p, ln = fit.parts, lambda c, mean: float(np.exp(N.ln_negative_binomial(np.array([c]), mean, fit.dispersion)[0]))
+    hole, lost = None, ln(0, p.mean)
+    for c in range(1, min(round(p.mean), fit.window)):
+        lost += ln(c, p.mean)
+        if lost * fit.totals[1] > 1:
+            hole = max(c, 2)
+            break
+    reached = [c for c in range(1, fit.window + 1) if fit.errors[c - 1] >= fit.single[fit.mode - 1]]
+    return hole, max([c + 1 for c in reached] + [2])
+
+
+@pytest.mark.parametrize("mode,weights,shape", [(50, (0.99, 0.0099, 0.0001), 0.0), (100, (0.8, 0.19, 0.01), 0.0), (100, (0.8, 0.19, 0.01), 0.5), (40, (0.001, 0.989, 0.01), 0.0), (30, (0.4, 0.55, 0.05), 0.0)])
+def test_cutoffs_of_a_fit(mode, weights, shape):
+    fit = fit_with(mode, weights, shape=shape)
+    hole, floor = brute_cutoffs(fit)
+    assert (fit.hole_cutoff(), fit.error_floor()) == (hole, floor)
+    # the hole guard only lowers, and the error floor is a hard minimum
+    for cutoff in (2, hole - 1, hole, hole + 4, 50):
+        assert fit.guarded(cutoff) == max(min(cutoff, hole), floor)
+    cross = fit.crossover()
+    assert cross is None or (fit.single[cross - 1] > fit.errors[cross - 1] and (cross == 2 or fit.single[cross - 2] <= fit.errors[cross - 2]))
+
+
+def test_error_floor_beats_the_hole_guard():
+    fit = fit_with(50, (0.99, 0.0099, 0.0001))
+    assert 2 < fit.hole_cutoff() < fit.error_floor() == fit.guarded(20)
+    shallow = fit_with(3, (0.001, 0.989, 0.01), dispersion=1.5, last=60)
+    assert shallow.hole_cutoff() == 2 and shallow.error_floor() == 2 and shallow.guarded(9) == 2
+
+
+def verdict(floor, peak, fitted=None, tail=0.0, primary=True):
+    class Mode:
+        mode = fitted
+
+    found = S.Estimate(2, peak, 2, peak is not None, primary) if peak else S.Estimate(None, None, 2, False)
+    return G.FloorVerdict(floor, found, Mode() if fitted else None, 3, tail if fitted else None)
+
+
+def chosen(monkeypatch, **verdicts):
+    table = {int(f[1:]): v for f, v in verdicts.items()}
+    monkeypatch.setattr(G, "evaluate", lambda h, floor, *a: table[floor])
+    h = np.zeros(8000, np.int64)
+    h[4] = 9
+    return G.choose({f: h for f in table})
+
+
+def test_selection_rules(monkeypatch):
+    pick = lambda **v: chosen(monkeypatch, **{f: verdict(int(f[1:]), *x) if isinstance(x, tuple) else verdict(int(f[1:]), x) for f, x in v.items()}).floor
+    assert pick(f0=(40, 40), f20=(30, 30)) == 20
+    assert pick(f0=(40, 40, 0.01), f11=(35, 35, 0.01), f20=(30, 30, 0.2)) == 11
+    assert pick(f0=(40, 40, 0.2), f20=(30, 30, 0.3)) == 0
+    assert pick(f0=(40, 40), f20=30) == 0
+    assert pick(f0=25, f11=(None, None), f20=20) == 0
+    # step down by the peaks seen, not the fitted modes, and never losing a fit
+    assert pick(f0=(9, 20), f20=(9, 8)) == 20 and pick(f0=(10, 8), f20=(9, 12)) == 0 and pick(f0=30, f20=(9, 8)) == 20
+    last = chosen(monkeypatch, f0=verdict(0, None), f20=verdict(20, None))
+    assert (last.floor, last.min_count, last.peak, last.source) == (0, 2, 5, "Fallback")
+
+
+def test_fixed_and_recounted():
+    h = spectrum(30)
+    quick = lambda *a, **o: M.fit_spectrum(*a, (M.Configuration(False, False),), **o)
+    assert G.choose({0: h, 20: h}, fixed_min_count=0, fitter=quick).min_count == 0
+    prior = G.Choice(11, 4, 28, "Fitted", False)
+    assert G.recounted(prior, np.zeros(8000, np.int64), quick) == prior
+    again = G.recounted(G.Choice(11, 4, 28, "Fallback", True), h, quick)
+    assert again.source == "Fitted" and again.peak == 30 and not again.unresolved
+    assert [v.floor for v in G.floor_report({0: h, 20: np.zeros(8000, np.int64), 30: h}, quick)] == [30, 0]
+
+
+def test_a_sample_is_fitted_at_its_own_size():
+    h = spectrum(30)
+    plain = (M.Configuration(False, False),)
+    whole, _ = M.fit_spectrum(h, 6, 30, 1.0, plain)
+    part, _ = M.fit_spectrum((h // 16) * 16, 6, 30, 1.0, plain, scale=16.0)
+    assert abs(part.mode - whole.mode) <= 1 and abs(part.totals[1] / whole.totals[1] - 1) < 0.02 and part.bic < whole.bic / 10
