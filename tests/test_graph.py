@@ -53,15 +53,30 @@ def test_cycle_spells_the_overlap_again(spark):
     assert seq[: K - 1] == seq[-(K - 1) :] and (seq[:20] in ring * 3 or rc(seq[:20]) in ring * 3)
 
 
-def test_ranking(spark):
+@pytest.mark.parametrize("local", [compact.LOCAL_KEYS, 0])
+def test_ranking(spark, local):
     keys = spark.range(0, 300).withColumnRenamed("id", "key")
     links = keys.filter("key < 99 or key between 100 and 162 or key = 163").select(F.col("key").alias("u"), F.when(F.col("key") == 163, 100).otherwise(F.col("key") + 1).alias("v"))
-    rows = {r.key: r for r in rank_paths(keys, links).collect()}
+    rows = {r.key: r for r in rank_paths(keys, links, local).collect()}
     assert all(rows[i].head == 0 and rows[i].rank == i and not rows[i].cyclic for i in range(100))
     assert all(rows[i].head == 100 and rows[i].rank == i - 100 and rows[i].cyclic for i in range(100, 164))
     assert rows[250].head == 250 and len(rows) == 300
 
 
+def test_ranking_over_id_partitions(spark, monkeypatch):
+    monkeypatch.setattr(compact, "ID_PARTITION_SHIFT", 4)  # pieces of sixteen keys, as if ids came from many partitions
+    n = 200
+    order = [(37 * i) % n for i in range(n)]  # a path through all keys that leaves its partition at every step
+    pairs = list(zip(order, order[1:])) + [(a, a + 1) for a in range(300, 399)] + [(a, a + 1) for a in range(500, 577)] + [(577, 500), (640, 641), (641, 640)]
+    keys = spark.range(0, 700).withColumnRenamed("id", "key")
+    links = spark.createDataFrame(pairs, "u long, v long")
+    rows = {r.key: r for r in rank_paths(keys, links, 0).collect()}
+    assert len(rows) == 700 and all(rows[k].head == order[0] and rows[k].rank == i and not rows[k].cyclic for i, k in enumerate(order))
+    assert all(rows[300 + i].head == 300 and rows[300 + i].rank == i for i in range(100))
+    assert all(rows[500 + i].head == 500 and rows[500 + i].rank == i and rows[500 + i].cyclic for i in range(78))
+    assert rows[641].head == 640 and rows[641].rank == 1 and rows[641].cyclic and rows[450].head == 450
+
+
 def plain_nodes(spark, rows):
     return spark.createDataFrame(rows, graph.NODES)
 
@@ -109,6 +124,57 @@ def test_connectors(spark):
     assert run(3.0) == {3} and run(8.0) == set() and run(3.0, connector_both=True) == set() and run(1.0, connector_both=True) == {3}
 
 
+def test_connector_flanks_follow_the_only_way_on(spark):
+    def run(extra, flank=8.0):
+        # 1 -3-> 2, beside it 1 -> 4 and 5 -> 2; 4 alone is weak, but goes on to 7 (and 8) without a choice
+        nodes = plain_nodes(spark, [(1, "A", 300, 30.0), (2, "C", 300, 30.0), (3, "G", 30, 3.0), (4, "T", 100, flank), (5, "AA", 300, 5.0), (6, "CC", 300, 30.0), (7, "GG", 300, 30.0), (8, "TT", 300, 30.0), (9, "ACA", 300, 30.0)])
+        edges = both_ways(spark, [(1, "+", 3, "+"), (3, "+", 2, "+"), (1, "+", 4, "+"), (5, "+", 2, "+"), (2, "+", 6, "+"), (4, "+", 7, "-"), *extra])
+        table = {r.nid: r for r in correct.connector_verdicts(nodes, edges, 21, CorrectionOptions()).collect()}
+        return table, {r.nid for r in correct.connectors(nodes, edges, 21, CorrectionOptions()).collect()}
+
+    table, gone = run([(9, "+", 7, "-")])  # 7 has two ways in, which does not stop the walk
+    assert gone == {3} and abs(table[3].left_mean - (100 * 8 + 300 * 30) / 400) < 1e-9 and table[3].right_mean == 5.0
+    table, gone = run([(7, "-", 8, "+"), (7, "-", 9, "+")])  # the walk ends before the fork
+    assert abs(table[3].left_mean - (100 * 8 + 300 * 30) / 400) < 1e-9
+    table, gone = run([(7, "-", 8, "+"), (8, "+", 7, "-")])  # a circle: given up
+    assert 3 not in table and gone == set()
+
+
+def test_detours_wait_for_lesser_ones(spark):
+    """Three ways from 1 to 60: 10 is judged by 20 alone (4 k-mers against 1), 20 by 40 (7 against 4)."""
+
+    def run(x, y):
+        nodes = plain_nodes(spark, [(1, "CCC", 20, 20.0), (10, x, 1, 1.0), (20, y, 4, 3.0), (40, "GGA", 7, 9.0), (60, "CAC", 20, 20.0)])
+        edges = both_ways(spark, [e for m in (10, 20, 40) for e in ((1, "+", m, "+"), (m, "+", 60, "+"))])
+        options = CorrectionOptions(pop_ratio=0.5)
+        gone, here = [], (nodes, edges)
+        while True:
+            now = sorted(r.nid for r in correct.bulges(*here, 31, options).collect())
+            if not now:
+                return gone
+            gone.append(now)
+            here = graph.without_nodes(*here, spark.createDataFrame([(n,) for n in now], "nid long"))
+
+    assert run("AAA", "ACA") == [[10, 20]]  # the lesser sequence is judged while its alternative stands
+    assert run("ACA", "AAA") == [[20]]  # with the alternative gone first, nothing is left to judge it by
+
+
+def test_alternatives_tried(spark):
+    # seven short spurs before the alternative: a search that goes on from few partial paths does not get there
+    nodes = plain_nodes(spark, [(1, "A", 300, 30.0), (2, "C", 300, 30.0), (3, "G", 10, 1.0), (4, "TA", 5, 30.0), (5, "TC", 5, 30.0)] + [(10 + i, "G" + "ACT"[i % 3] * (i + 1), 1, 30.0) for i in range(7)])
+    edges = both_ways(spark, [(1, "+", 3, "+"), (3, "+", 2, "+"), (1, "+", 4, "+"), (4, "+", 5, "+"), (5, "+", 2, "+")] + [(1, "+", 10 + i, "+") for i in range(7)])
+    run = lambda n: {r.nid for r in correct.bulges(nodes, edges, 21, CorrectionOptions(alternatives_tried=n)).collect()}
+    assert run(8) == set() and run(9) == {3} == run(None) == run(131)
+
+
+def test_only_what_was_cut_off_counts_as_isolated(spark):
+    options = CorrectionOptions(remove_bulges=False, remove_connectors=False)
+    nodes = plain_nodes(spark, [(1, "ACGTTGCA", 30, 9.0)])
+    left, _, removed = correct.correct(nodes, both_ways(spark, [(1, "+", 1, "+")]), 21, options)
+    assert [r.nid for r in left.collect()] == [1] and removed["dead ends"] == 0
+    assert [r.nid for r in correct.dead_ends(nodes, spark.createDataFrame([], graph.EDGES), 21, options).collect()] == [1]
+
+
 def test_spelling(spark):
     text = genome(40, 11)
     walk = [canonical(text[i : i + K]) for i in range(len(text) - K + 1)]
@@ -135,6 +201,8 @@ def test_floor_memory():
     m.saw(0, False)
     m.saw(0, True)
     assert m.ceiling == 11
+    m.saw(0, True)  # the choice before stays the last one
+    assert m.ceiling == 0
 
 
 def test_assembly(spark):
