@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import filters
 from . import frequency, heavy, leaks, pii, sampling, seen, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +96,23 @@ def p4_wrong_answers(kmer_sightings: DataFrame, indexed_kmers: DataFrame) -> Dat
     return seen.wrong_answers(kmer_sightings, indexed_kmers)
 
 
+_MIXED = f"((CAST(xor(key, key >> {filters.SHIFT}) AS UHUGEINT) * {filters.MULTIPLIER}) % 18446744073709551616)"
+_BITS = " | ".join(f"(1::UBIGINT << ((key >> {shift}) & 63))" for shift in filters.FINGERPRINT_SHIFTS)
+
+
+@query("p4_filters", "kmer_sightings", "indexed_kmers", "bloom_bits", sql=f"""
+WITH kept AS (SELECT coalesce(sample, '') AS library, buffer FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(sample, '') ORDER BY saved_at DESC NULLS LAST, buffer DESC NULLS LAST) AS rn FROM bloom_bits) WHERE rn = 1),
+asked AS (SELECT DISTINCT coalesce(sample, '') AS library, canonical_hash AS hash FROM kmer_sightings WHERE canonical_hash IS NOT NULL),
+held AS (SELECT DISTINCT coalesce(sample, '') AS library, unnest(canonical_hashes) AS hash FROM indexed_kmers),
+questions AS (SELECT a.library, CAST(CASE WHEN a.hash < 0 THEN a.hash::HUGEINT + 18446744073709551616 ELSE a.hash END AS UBIGINT) AS key, h.hash IS NOT NULL AS held, buffer
+  FROM asked a LEFT JOIN held h ON h.library = a.library AND h.hash = a.hash LEFT JOIN kept k ON k.library = a.library),
+placed AS (SELECT library, held, {_BITS} AS bits, coalesce(buffer[CAST(CAST({_MIXED} AS HUGEINT) * len(buffer) // 18446744073709551616 AS BIGINT) + 1], 0)::HUGEINT AS word FROM questions),
+told AS (SELECT library, held, (CAST(CASE WHEN word < 0 THEN word + 18446744073709551616 ELSE word END AS UBIGINT) & bits) = bits AS yes FROM placed)
+SELECT library AS sample, count(*) AS keys, count(*) FILTER (WHERE held) AS held, count(*) FILTER (WHERE yes) AS yes, count(*) FILTER (WHERE yes AND NOT held) AS wrong, count(*) FILTER (WHERE held AND NOT yes) AS missed FROM told GROUP BY 1""")
+def p4_filters(kmer_sightings: DataFrame, indexed_kmers: DataFrame, bloom_bits: DataFrame) -> DataFrame:
+    return seen.saved_filter_answers(kmer_sightings, indexed_kmers, bloom_bits)
+
+
 @query("p5_sample", "spectrum_sketch")
 def p5_sample(spectrum_sketch: DataFrame) -> DataFrame:
     return sampling.fixed_size_sample(spectrum_sketch, 256, columns=["entry_id", "sample", "canonical_hash", "threshold", "counts"])

@@ -3,7 +3,10 @@
 Method: keys are spread over chains by their hash. A chain is a list of Bloom
 filters; once the newest one is half full, another with twice the capacity and
 half the error rate is added, so the compounded rate of wrong answers stays
-below twice the first layer's however long the history grows.
+below the promised one however long the history grows. The chains of the
+history are built once and can be written down, loaded and grown; sightings
+then ask them in order of arrival. "No" is final. Of the "yes" answers the
+exact check takes those apart that a chain cannot vouch for.
 """
 
 from __future__ import annotations
@@ -13,16 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import filters
 from .arrays import flat_lists, ints, mix, rechunk
 
-#: Kinds of rows on their way to a chain.
-HISTORY, ASKED, CERTAIN = 0, 1, 2
-FLOW = "route long, sight long, kind int"
-ANSWERS = "key long, sight long, kind int, negatives long, layers int, keys long, bound double"
+#: Kinds of rows on their way to a chain, and of those that come from it.
+LOADED, ASKED, CERTAIN = 0, 1, 2
+NO, YES, SURE, STATE = 0, 1, 2, 3
 BEFORE_ALL = np.iinfo(np.int64).min
+#: Keys that the first layer of a chain takes.
+FIRST = 4096
+CHAINS = "route long, layer int, capacity long, error double, keys long, words binary, chains int"
+FLOW = "route long, sight long, kind int, layer int, capacity long, error double, keys long, words binary"
+ANSWERS = "key long, sight long, kind int, layers int, keys long, bound double"
 
 
 class Layer:
@@ -100,20 +108,45 @@ class BloomChain:
             right *= 1 - layer.fill**layer.probes
         return 1 - right
 
+    def rows(self) -> list[tuple]:
+        """layer, capacity, error, keys of the whole chain and words of every layer; `loaded` makes a chain of them again."""
+        return [(i, layer.capacity, layer.error, self.keys, layer.words.tobytes()) for i, layer in enumerate(self.layers)]
 
-def _flow(route: np.ndarray, sight: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(sight), pa.array(kind.astype(np.int32))], names=["route", "sight", "kind"])
+    def load(self, layer: int, capacity: int, error: float, keys: int, words: bytes) -> None:
+        """Put a written layer in place; layers may come in any order."""
+        while len(self.layers) <= layer:
+            self.layers.append(Layer(64, 0.5, 0))
+        self.layers[layer] = Layer(capacity, error, 2 * layer)
+        self.layers[layer].words[:] = np.frombuffer(words, np.uint64)
+        self.layers[layer].set_bits = int(np.bitwise_count(self.layers[layer].words).sum())
+        self.keys = keys
 
 
-def _history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """A batch of the given columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+_FLOW = pa.schema([("route", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary())])
+_CHAINS = pa.schema([("route", pa.int64()), ("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary()), ("chains", pa.int32())])
+_ANSWERS = pa.schema([("key", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("layers", pa.int32()), ("keys", pa.int64()), ("bound", pa.float64())])
+
+
+def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in rechunk(batches, 4000):
         _, _, flat = flat_lists(table.column("keys").combine_chunks())
         keys = np.unique(ints(flat.drop_null()))
-        yield _flow(keys, np.full(len(keys), BEFORE_ALL), np.full(len(keys), HISTORY))
+        yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["route"])
+
+
+def _history(indexed: DataFrame, chains: int) -> DataFrame:
+    """The history's keys (route) by chain. Its filter keeps one from being added on the way to a join, which would make it another exchange."""
+    keys = indexed.select(F.col("canonical_hashes").alias("keys")).mapInArrow(_distinct_keys, "route long")
+    return keys.filter("route is not null").repartition(chains, "route")
 
 
 def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key only a batch's first sighting must ask; a later one in the batch is certainly a repetition."""
+    """A batch asks once for each of its keys, with the first sighting; the later ones are certain repetitions."""
     for table in rechunk(batches, 200_000):
         key, sight = ints(table.column("key").combine_chunks()), ints(table.column("sight").combine_chunks())
         order = np.lexsort((sight, key))
@@ -123,80 +156,197 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks = leads | (sight == first)
         again = ~leads & asks  # the same sighting delivered again
         key, sight, asks = key[~again], sight[~again], asks[~again]
-        yield _flow(np.where(asks, key, mix(sight.view(np.uint64), 7).view(np.int64)), sight, np.where(asks, ASKED, CERTAIN))
+        yield _batch(_FLOW, len(key), route=np.where(asks, key, mix(sight.view(np.uint64), 7).view(np.int64)), sight=sight, kind=np.where(asks, ASKED, CERTAIN))
 
 
-def _ask(error: float, first: int, rows: int):
-    def answers(key: np.ndarray, sight: np.ndarray, kind: int) -> pa.RecordBatch:
-        n = len(key)
-        columns = [pa.array(key), pa.array(sight), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "sight", "kind", "negatives", "layers", "keys", "bound"])
+def _taken(chain: BloomChain, table: pa.Table) -> None:
+    for row in table.select(["layer", "capacity", "error", "keys", "words"]).to_pylist():
+        chain.load(**row)
+
+
+def _build(error: float, first: int, chains: int):
+    """Keys, and layers of an older chain before them, to the layers of a chain; they go by one of the chain's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, route = BloomChain(error, first), None
+        for table in rechunk(batches, 100_000):
+            written = pa.compute.is_valid(table.column("layer")) if "layer" in table.column_names else None
+            if written is not None:
+                _taken(chain, table.filter(written))
+                route = ints(table.column("route").combine_chunks())[0] if route is None else route
+                table = table.filter(pa.compute.invert(written))
+            keys = np.unique(ints(table.column("route").combine_chunks()))
+            if len(keys):
+                route = keys[0] if route is None else route
+                chain.add(keys[~chain.holds(keys)])
+        if chain.layers:
+            layer, capacity, errors, keys, words = zip(*chain.rows())
+            n = len(layer)
+            yield _batch(_CHAINS, n, route=[int(route)] * n, layer=layer, capacity=capacity, error=errors, keys=keys, words=words, chains=[chains] * n)
+
+    return run
+
+
+def chain_count(df: DataFrame) -> int:
+    """As many chains as shuffle partitions: what a chain takes is a fraction of what its partition holds."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+
+def build_chains(indexed: DataFrame, error: float = 0.001, first: int = FIRST, chains: int | None = None, saved: DataFrame | None = None) -> DataFrame:
+    """The layers of the chains that hold all of ``indexed.canonical_hashes``, and what ``saved`` chains held before.
+
+    The table can be written and read again; `seen_before` takes it as
+    ``saved``. Every chain's rows carry one of its keys (route), by which they
+    find the sightings they are asked by, and the number of chains. Null
+    elements are no keys, an empty history has no rows.
+    """
+    if saved is not None:
+        chains = saved.agg(F.max("chains")).first()[0] or chains
+    chains = chains or chain_count(indexed)
+    keys = _history(indexed, chains)
+    if saved is not None:
+        older = saved.select("route", "layer", "capacity", "error", "keys", "words")
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("layer", "int"), ("capacity", "long"), ("error", "double"), ("keys", "long"), ("words", "binary"))]
+        keys = keys.select("route", *empty).unionByName(older).repartition(chains, "route").sortWithinPartitions(F.col("layer").asc_nulls_last())
+    return keys.mapInArrow(_build(error, first, chains), CHAINS)
+
+
+def _ask(error: float, first: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, negatives = BloomChain(error, first), 0
+        chain, last = BloomChain(error, first), None
+        answer = lambda key, sight, kind: _batch(_ANSWERS, len(key), key=key, sight=sight, kind=np.full(len(key), kind, np.int32))
         for table in rechunk(batches, rows):
-            route, sight, kind = (ints(table.column(c).combine_chunks()) for c in ("route", "sight", "kind"))
+            kind = ints(table.column("kind").combine_chunks())
+            if (kind == LOADED).any():
+                _taken(chain, table.filter(pa.array(kind == LOADED)))
+            route, sight = ints(table.column("route").combine_chunks()), ints(table.column("sight").combine_chunks())
             certain = kind == CERTAIN
             if certain.any():
-                yield answers(route[certain], sight[certain], CERTAIN)
-            key, sight, asked = route[~certain], sight[~certain], kind[~certain] == ASKED
+                yield answer(route[certain], sight[certain], SURE)
+            key, sight = route[kind == ASKED], sight[kind == ASKED]
             if not len(key):
                 continue
+            same = np.concatenate(([last == (key[0], sight[0])], (key[1:] == key[:-1]) & (sight[1:] == sight[:-1])))
+            last = (key[-1], sight[-1])
+            key, sight = key[~same], sight[~same]  # without repeated deliveries
             known = chain.holds(key)
             # rows come in order of arrival, so within a batch a key's first row is its first sighting
             _, at, back = np.unique(key, return_index=True, return_inverse=True)
-            maybe = asked & (known | (sight > sight[at][back]))
-            negatives += int((asked & ~maybe).sum())
+            maybe = known | (np.arange(len(key)) > at[back])
+            if not maybe.all():
+                yield _batch(_ANSWERS, int((~maybe).sum()), key=key[~maybe], kind=np.full(int((~maybe).sum()), NO, np.int32))
             if maybe.any():
-                yield answers(key[maybe], sight[maybe], ASKED)
+                yield answer(key[maybe], sight[maybe], YES)
             chain.add(key[at][~known[at]])
-        if chain.keys or negatives:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (-1, pa.int32()), (negatives, pa.int64()), (len(chain.layers), pa.int32()), (chain.keys, pa.int64()), (chain.bound, pa.float64()))], names=["key", "sight", "kind", "negatives", "layers", "keys", "bound"])
+        yield _batch(_ANSWERS, 1, kind=[STATE], layers=[len(chain.layers)], keys=[chain.keys], bound=[chain.bound])
 
     return run
 
 
-def _chains(sightings: DataFrame, indexed: DataFrame | None, error: float, first: int, chains: int | None, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The chains' answers, and of every key its first sighting (null: before all sightings)."""
-    new = sightings.select(F.col("canonical_hash").alias("key"), F.col("sight_id").alias("sight")).filter("key is not null and sight is not null").mapInArrow(_sightings, FLOW)
-    flow = new if indexed is None else indexed.select(F.col("canonical_hashes").alias("keys")).mapInArrow(_history, FLOW).unionByName(new)
-    n = chains or int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flow = flow.repartition(n, "route")
-    answers = flow.sortWithinPartitions("sight").mapInArrow(_ask(error, first, rows), ANSWERS)
-    # no filter here: one that sinks below the exchange would keep Spark from using the same one twice
-    truth = flow.groupBy(F.col("route").alias("key")).agg(F.min(F.when(F.col("kind") != CERTAIN, F.col("sight"))).alias("since"))
-    return answers, truth
+def _answers(sightings: DataFrame, indexed: DataFrame | None, saved: DataFrame | None, error: float, first: int, chains: int | None, rows: int) -> tuple[DataFrame, int]:
+    """What the chains answer: NO with the key, YES with key and sighting, SURE, and one STATE of each chain."""
+    if saved is not None:
+        chains = saved.agg(F.max("chains")).first()[0] or chains
+    chains = chains or chain_count(sightings)
+    flow = sightings.select(F.col("canonical_hash").alias("key"), F.col("sight_id").alias("sight")).filter("key is not null and sight is not null").mapInArrow(_sightings, FLOW)
+    if saved is None and indexed is not None:
+        saved = build_chains(indexed, error, first, chains)
+    if saved is not None:
+        loaded = saved.select("route", F.lit(int(BEFORE_ALL)).alias("sight"), F.lit(LOADED).alias("kind"), "layer", "capacity", "error", "keys", "words")
+        flow = flow.unionByName(loaded)
+    flow = flow.repartition(chains, "route").sortWithinPartitions(F.col("kind") != LOADED, "sight", "route")
+    return flow.mapInArrow(_ask(error, first, rows), ANSWERS), chains
+
+
+def _checked(answers: DataFrame, indexed: DataFrame | None, chains: int, vouched: bool) -> DataFrame:
+    """key, sight and right of every YES.
+
+    A chain forgets nothing, so behind a NO every later sighting of the key
+    repeats it; so does every one behind the key's first YES. Only that first
+    YES of a key without a NO must stand in the history. Answers and history
+    are both split by key into as many parts, so they meet in place.
+    """
+    by_key = Window.partitionBy("key")
+    told = answers.filter(F.col("kind").isin(NO, YES)).select("key", "sight", "kind")
+    told = told.withColumn("began", F.min(F.when(F.col("kind") == NO, F.lit(int(BEFORE_ALL))).otherwise(F.col("sight"))).over(by_key)).filter(F.col("kind") == YES)
+    if indexed is None:
+        return told.select("key", "sight", ((F.col("sight") > F.col("began")) | F.lit(vouched)).alias("right"))
+    history = _history(indexed, chains).withColumnRenamed("route", "key").groupBy("key").agg(F.lit(True).alias("known"))
+    return told.join(history, "key", "left").select("key", "sight", ((F.col("sight") > F.col("began")) | F.coalesce("known", F.lit(False))).alias("right"))
 
 
-def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = 1 << 16, chains: int | None = None, rows: int = 50_000) -> DataFrame:
+def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = FIRST, chains: int | None = None, rows: int = 50_000, saved: DataFrame | None = None) -> DataFrame:
     """sight_id of every sighting whose key stands in ``indexed`` or in a sighting with a smaller sight_id.
 
-    The chains take all keys of ``indexed.canonical_hashes`` and then the
-    sightings in order of sight_id. "No" is always right and ends there; a
-    "yes" is compared with the exact first sighting of its key, so what is
-    returned is exact and the chains' own error shows in `wrong_answers`.
-    A later sighting of a key within one batch needs no question, so a key
-    that makes up a third of all sightings asks once a batch. A chain answers
-    about ``rows`` questions at a time, before it learns their keys.
+    The chains are built from ``indexed.canonical_hashes``, or taken from
+    ``saved`` (`build_chains`), and asked by the sightings in order of
+    sight_id, whose keys they learn. "No" is always right and ends there. A
+    "yes" is right if the key had a "no" or another "yes" before; the others
+    are looked up in ``indexed``. With ``saved`` and no ``indexed`` there is
+    nothing to look up in, and these are wrong at most at the promised rate.
+
+    Before it is shuffled, a batch of sightings is put together to one
+    question for each of its keys, so a key that makes up a third of all
+    sightings asks once a batch. A chain answers about ``rows`` questions at a
+    time, before it learns their keys.
 
     A repeated sight_id is the same sighting and appears once; null keys and
     null sight_ids are never seen and not returned; null elements of the index
     are no keys. Empty tables give no rows; further columns are ignored.
     """
-    answers, truth = _chains(sightings, indexed, error, first, chains, rows)
-    certain = answers.filter(F.col("kind") == CERTAIN).select(F.col("sight").alias("sight_id"))
-    maybe = answers.filter(F.col("kind") == ASKED).select("key", "sight")
-    right = maybe.join(truth, "key").filter("since < sight").select(F.col("sight").alias("sight_id"))
-    return certain.unionByName(right).distinct()
+    answers, n = _answers(sightings, indexed, saved, error, first, chains, rows)
+    sure = answers.filter(F.col("kind") == SURE).select(F.col("sight").alias("sight_id"))
+    right = _checked(answers, indexed, n, saved is not None).filter("right").select(F.col("sight").alias("sight_id"))
+    return sure.unionByName(right).distinct()
 
 
-def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = 1 << 16, chains: int | None = None, rows: int = 50_000) -> DataFrame:
-    """One row on the chains' answers: questions, wrong (positive answers that the exact check refutes),
+def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = FIRST, chains: int | None = None, rows: int = 50_000, saved: DataFrame | None = None) -> DataFrame:
+    """One row on the chains' answers: questions, wrong (positive answers that the exact check refutes), negatives,
     rate (wrong / questions about unseen keys), bound (highest compounded bound of a chain, from its fill), layers and keys."""
-    answers, truth = _chains(sightings, indexed, error, first, chains, rows)
-    told = answers.filter(F.col("kind") == ASKED).select("key", "sight").join(truth, "key")
-    told = told.select(F.lit(1).cast("long").alias("questions"), (F.col("since") >= F.col("sight")).cast("long").alias("wrong"), F.lit(0).cast("long").alias("negatives"), F.lit(0).alias("layers"), F.lit(0).cast("long").alias("keys"), F.lit(0.0).alias("bound"))
-    chain = answers.filter(F.col("kind") < 0).select(F.col("negatives").alias("questions"), F.lit(0).cast("long").alias("wrong"), "negatives", "layers", "keys", "bound")
-    summed = told.unionByName(chain).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("questions", "wrong", "negatives", "keys")), *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("layers", "bound")))
+    answers, n = _answers(sightings, indexed, saved, error, first, chains, rows)
+    one = F.lit(1).cast("long")
+    none = F.lit(0).cast("long")
+    told = _checked(answers, indexed, n, saved is not None).select(one.alias("questions"), (~F.col("right")).cast("long").alias("wrong"), none.alias("negatives"), F.lit(0).alias("layers"), none.alias("keys"), F.lit(0.0).alias("bound"))
+    no = F.col("kind") == NO
+    rest = answers.filter(F.col("kind").isin(NO, STATE)).select(F.when(no, one).otherwise(none).alias("questions"), none.alias("wrong"), F.when(no, one).otherwise(none).alias("negatives"), F.coalesce("layers", F.lit(0)).alias("layers"), F.coalesce("keys", none).alias("keys"), F.coalesce("bound", F.lit(0.0)).alias("bound"))
+    summed = told.unionByName(rest).agg(*(F.coalesce(F.sum(c), none).alias(c) for c in ("questions", "wrong", "negatives", "keys")), *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("layers", "bound")))
     unseen = F.col("wrong") + F.col("negatives")
-    return summed.select("questions", "wrong", F.when(unseen > 0, F.col("wrong") / unseen).otherwise(F.lit(0.0)).alias("rate"), F.col("bound").cast("double").alias("bound"), F.lit(error).alias("promised"), F.col("layers").cast("int").alias("layers"), "keys")
+    return summed.select("questions", "wrong", "negatives", F.when(unseen > 0, F.try_divide("wrong", unseen)).otherwise(F.lit(0.0)).alias("rate"), F.col("bound").cast("double").alias("bound"), F.lit(error).alias("promised"), F.col("layers").cast("int").alias("layers"), "keys")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word of its library's filter that each key asks, and the bits that must be set there."""
+    for table in rechunk(batches, 50_000):
+        keys, words = ints(table.column("key").combine_chunks()).view(np.uint64), ints(table.column("words").combine_chunks())
+        word = np.full(len(keys), -1, np.int64)
+        for n in np.unique(words[words > 0]).tolist():
+            word[words == n] = filters.location(keys[words == n], n)
+        yield pa.RecordBatch.from_arrays([table.column("library").combine_chunks(), table.column("key").combine_chunks(), table.column("held").combine_chunks(), pa.array(word), pa.array(filters.fingerprint(keys).view(np.int64))], names=["library", "key", "held", "word_no", "bits"])
+
+
+def saved_filter_answers(sightings: DataFrame, indexed: DataFrame, bloom_bits: DataFrame) -> DataFrame:
+    """sample, keys, held, yes, wrong and missed: what every library's saved filter answers to the distinct keys sighted in
+    it, against the hashes its blocks hold.
+
+    ``held`` counts the keys that stand in the library's blocks, ``wrong`` those answered yes that do
+    not (false positives), ``missed`` those that do but are answered no, which happens
+    where a buffer was zeroed or cut. Of several saved filters of a library
+    the latest holds (nulls oldest, ties by the greatest buffer). A null or
+    empty buffer, and a library without a filter, answer no to everything;
+    null words are 0. Null samples are one library, null keys no keys.
+
+    A key's bits lie in one word, so keys and words meet by an equi-join on
+    library and word, and no filter is sent anywhere as a whole.
+    """
+    row = F.max(F.struct("saved_at", "buffer")).alias("r")
+    kept = bloom_bits.groupBy(F.coalesce("sample", F.lit("")).alias("library")).agg(row).select("library", F.col("r.buffer").alias("buffer"))
+    of = lambda df: F.coalesce(df["sample"], F.lit("")).alias("library")
+    asked = sightings.select(of(sightings), F.col("canonical_hash").alias("key")).filter("key is not null").distinct()
+    held = indexed.select(of(indexed), F.explode("canonical_hashes").alias("key")).filter("key is not null").distinct().withColumn("held", F.lit(True))
+    questions = asked.join(held, ["library", "key"], "left").join(kept.select("library", F.coalesce(F.size("buffer"), F.lit(0)).alias("words")), "library", "left")
+    questions = questions.select("library", "key", F.coalesce("held", F.lit(False)).alias("held"), F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+    placed = questions.mapInArrow(_places, "library string, key long, held boolean, word_no long, bits long")
+    words = kept.select("library", F.posexplode("buffer").alias("word_no", "word")).select("library", F.col("word_no").cast("long").alias("word_no"), F.coalesce("word", F.lit(0)).alias("word"))
+    told = placed.join(words, ["library", "word_no"], "left").withColumn("yes", F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)))
+    count = lambda c: F.count_if(c)
+    return told.groupBy(F.col("library").alias("sample")).agg(F.count("*").alias("keys"), count(F.col("held")).alias("held"), count(F.col("yes")).alias("yes"), count(F.col("yes") & ~F.col("held")).alias("wrong"), count(F.col("held") & ~F.col("yes")).alias("missed"))
