@@ -29,7 +29,8 @@ BEFORE_ALL = np.iinfo(np.int64).min
 #: Keys that the first layer of a chain takes.
 FIRST = 4096
 CHAINS = "route long, layer int, capacity long, error double, keys long, words binary, chains int"
-FLOW = "route long, sight long, kind int, layer int, capacity long, error double, keys long, words binary"
+LAYER = "struct<layer: int, capacity: bigint, error: double, keys: bigint, words: binary>"
+FLOW = f"route long, sight long, kind int, chain {LAYER}"
 ANSWERS = "key long, sight long, kind int, layers int, keys long, bound double"
 
 
@@ -127,7 +128,8 @@ def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-_FLOW = pa.schema([("route", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary())])
+_LAYER = pa.struct([("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary())])
+_FLOW = pa.schema([("route", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("chain", _LAYER)])
 _CHAINS = pa.schema([("route", pa.int64()), ("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary()), ("chains", pa.int32())])
 _ANSWERS = pa.schema([("key", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("layers", pa.int32()), ("keys", pa.int64()), ("bound", pa.float64())])
 
@@ -159,8 +161,8 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_FLOW, len(key), route=np.where(asks, key, mix(sight.view(np.uint64), 7).view(np.int64)), sight=sight, kind=np.where(asks, ASKED, CERTAIN))
 
 
-def _taken(chain: BloomChain, table: pa.Table) -> None:
-    for row in table.select(["layer", "capacity", "error", "keys", "words"]).to_pylist():
+def _taken(chain: BloomChain, layers: pa.ChunkedArray) -> None:
+    for row in layers.drop_null().to_pylist():
         chain.load(**row)
 
 
@@ -170,9 +172,9 @@ def _build(error: float, first: int, chains: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, route = BloomChain(error, first), None
         for table in rechunk(batches, 100_000):
-            written = pa.compute.is_valid(table.column("layer")) if "layer" in table.column_names else None
-            if written is not None:
-                _taken(chain, table.filter(written))
+            if "chain" in table.column_names:
+                written = pa.compute.is_valid(table.column("chain"))
+                _taken(chain, table.column("chain"))
                 route = ints(table.column("route").combine_chunks())[0] if route is None else route
                 table = table.filter(pa.compute.invert(written))
             keys = np.unique(ints(table.column("route").combine_chunks()))
@@ -187,6 +189,10 @@ def _build(error: float, first: int, chains: int):
     return run
 
 
+def _layers(saved: DataFrame) -> DataFrame:
+    return saved.select("route", F.struct("layer", "capacity", "error", "keys", "words").alias("chain"))
+
+
 def chain_count(df: DataFrame) -> int:
     """As many chains as shuffle partitions: what a chain takes is a fraction of what its partition holds."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -205,9 +211,7 @@ def build_chains(indexed: DataFrame, error: float = 0.001, first: int = FIRST, c
     chains = chains or chain_count(indexed)
     keys = _history(indexed, chains)
     if saved is not None:
-        older = saved.select("route", "layer", "capacity", "error", "keys", "words")
-        empty = [F.lit(None).cast(t).alias(c) for c, t in (("layer", "int"), ("capacity", "long"), ("error", "double"), ("keys", "long"), ("words", "binary"))]
-        keys = keys.select("route", *empty).unionByName(older).repartition(chains, "route").sortWithinPartitions(F.col("layer").asc_nulls_last())
+        keys = keys.select("route", F.lit(None).cast(LAYER).alias("chain")).unionByName(_layers(saved)).repartition(chains, "route").sortWithinPartitions(F.col("chain").isNull())
     return keys.mapInArrow(_build(error, first, chains), CHAINS)
 
 
@@ -218,7 +222,7 @@ def _ask(error: float, first: int, rows: int):
         for table in rechunk(batches, rows):
             kind = ints(table.column("kind").combine_chunks())
             if (kind == LOADED).any():
-                _taken(chain, table.filter(pa.array(kind == LOADED)))
+                _taken(chain, table.column("chain"))
             route, sight = ints(table.column("route").combine_chunks()), ints(table.column("sight").combine_chunks())
             certain = kind == CERTAIN
             if certain.any():
@@ -234,7 +238,7 @@ def _ask(error: float, first: int, rows: int):
             _, at, back = np.unique(key, return_index=True, return_inverse=True)
             maybe = known | (np.arange(len(key)) > at[back])
             if not maybe.all():
-                yield _batch(_ANSWERS, int((~maybe).sum()), key=key[~maybe], kind=np.full(int((~maybe).sum()), NO, np.int32))
+                yield answer(key[~maybe], np.full(int((~maybe).sum()), BEFORE_ALL), NO)
             if maybe.any():
                 yield answer(key[maybe], sight[maybe], YES)
             chain.add(key[at][~known[at]])
@@ -244,7 +248,7 @@ def _ask(error: float, first: int, rows: int):
 
 
 def _answers(sightings: DataFrame, indexed: DataFrame | None, saved: DataFrame | None, error: float, first: int, chains: int | None, rows: int) -> tuple[DataFrame, int]:
-    """What the chains answer: NO with the key, YES with key and sighting, SURE, and one STATE of each chain."""
+    """What the chains answer: YES with key and sighting, NO with the key, SURE with a key of its own, and one STATE of each chain."""
     if saved is not None:
         chains = saved.agg(F.max("chains")).first()[0] or chains
     chains = chains or chain_count(sightings)
@@ -252,14 +256,14 @@ def _answers(sightings: DataFrame, indexed: DataFrame | None, saved: DataFrame |
     if saved is None and indexed is not None:
         saved = build_chains(indexed, error, first, chains)
     if saved is not None:
-        loaded = saved.select("route", F.lit(int(BEFORE_ALL)).alias("sight"), F.lit(LOADED).alias("kind"), "layer", "capacity", "error", "keys", "words")
+        loaded = _layers(saved).select("route", F.lit(int(BEFORE_ALL)).alias("sight"), F.lit(LOADED).alias("kind"), "chain")
         flow = flow.unionByName(loaded)
     flow = flow.repartition(chains, "route").sortWithinPartitions(F.col("kind") != LOADED, "sight", "route")
     return flow.mapInArrow(_ask(error, first, rows), ANSWERS), chains
 
 
 def _checked(answers: DataFrame, indexed: DataFrame | None, chains: int, vouched: bool) -> DataFrame:
-    """key, sight and right of every YES.
+    """key, sight, kind and right of every YES and SURE.
 
     A chain forgets nothing, so behind a NO every later sighting of the key
     repeats it; so does every one behind the key's first YES. Only that first
@@ -267,12 +271,13 @@ def _checked(answers: DataFrame, indexed: DataFrame | None, chains: int, vouched
     are both split by key into as many parts, so they meet in place.
     """
     by_key = Window.partitionBy("key")
-    told = answers.filter(F.col("kind").isin(NO, YES)).select("key", "sight", "kind")
-    told = told.withColumn("began", F.min(F.when(F.col("kind") == NO, F.lit(int(BEFORE_ALL))).otherwise(F.col("sight"))).over(by_key)).filter(F.col("kind") == YES)
+    told = answers.filter(F.col("kind") != STATE).select("key", "sight", "kind")
+    told = told.withColumn("began", F.min("sight").over(by_key)).filter(F.col("kind") != NO)
+    repeats = (F.col("sight") > F.col("began")) | (F.col("kind") == SURE)
     if indexed is None:
-        return told.select("key", "sight", ((F.col("sight") > F.col("began")) | F.lit(vouched)).alias("right"))
+        return told.select("key", "sight", "kind", (repeats | F.lit(vouched)).alias("right"))
     history = _history(indexed, chains).withColumnRenamed("route", "key").groupBy("key").agg(F.lit(True).alias("known"))
-    return told.join(history, "key", "left").select("key", "sight", ((F.col("sight") > F.col("began")) | F.coalesce("known", F.lit(False))).alias("right"))
+    return told.join(history, "key", "left").select("key", "sight", "kind", (repeats | F.coalesce("known", F.lit(False))).alias("right"))
 
 
 def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = FIRST, chains: int | None = None, rows: int = 50_000, saved: DataFrame | None = None) -> DataFrame:
@@ -295,9 +300,7 @@ def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: f
     are no keys. Empty tables give no rows; further columns are ignored.
     """
     answers, n = _answers(sightings, indexed, saved, error, first, chains, rows)
-    sure = answers.filter(F.col("kind") == SURE).select(F.col("sight").alias("sight_id"))
-    right = _checked(answers, indexed, n, saved is not None).filter("right").select(F.col("sight").alias("sight_id"))
-    return sure.unionByName(right).distinct()
+    return _checked(answers, indexed, n, saved is not None).filter("right").select(F.col("sight").alias("sight_id")).distinct()
 
 
 def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = FIRST, chains: int | None = None, rows: int = 50_000, saved: DataFrame | None = None) -> DataFrame:
@@ -306,7 +309,7 @@ def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error:
     answers, n = _answers(sightings, indexed, saved, error, first, chains, rows)
     one = F.lit(1).cast("long")
     none = F.lit(0).cast("long")
-    told = _checked(answers, indexed, n, saved is not None).select(one.alias("questions"), (~F.col("right")).cast("long").alias("wrong"), none.alias("negatives"), F.lit(0).alias("layers"), none.alias("keys"), F.lit(0.0).alias("bound"))
+    told = _checked(answers, indexed, n, saved is not None).filter(F.col("kind") == YES).select(one.alias("questions"), (~F.col("right")).cast("long").alias("wrong"), none.alias("negatives"), F.lit(0).alias("layers"), none.alias("keys"), F.lit(0.0).alias("bound"))
     no = F.col("kind") == NO
     rest = answers.filter(F.col("kind").isin(NO, STATE)).select(F.when(no, one).otherwise(none).alias("questions"), none.alias("wrong"), F.when(no, one).otherwise(none).alias("negatives"), F.coalesce("layers", F.lit(0)).alias("layers"), F.coalesce("keys", none).alias("keys"), F.coalesce("bound", F.lit(0.0)).alias("bound"))
     summed = told.unionByName(rest).agg(*(F.coalesce(F.sum(c), none).alias(c) for c in ("questions", "wrong", "negatives", "keys")), *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("layers", "bound")))
