@@ -2,13 +2,15 @@
 
 A document leaks an item if it holds at least ``least`` (12) consecutive words
 of the item's text. Method: size-partitioned MinHash containment search with
-exact verification. Texts shorter than the least passage fall out; every other
-text, of whatever length, is partitioned into passages of exactly that size,
-so a short item inside a long document is a question between sets of equal
-size, the 8 five-word shingles of a passage. Containment of 1 there is a
-Jaccard similarity of 1, for which the MinHash under one permutation collides
-with certainty: no leak is missed. Colliding passages are verified by their
-shingles as a whole and then word by word.
+exact verification. A passage of an item is a set of 8 five-word shingles; the
+signature of a whole document could not show it among thousands. So every text
+of whatever length is partitioned into overlapping windows of bounded size, in
+one of which each passage lies as a whole: with windows that begin every 8
+shingles and hold 15, a contained passage is 8/15 of the window at least. Under each
+permutation its MinHash is that window's with this probability, so 16
+permutations miss one passage in 200,000; with windows of the passage's own
+size (``stride`` 1) one permutation misses none. Windows and passages that
+share a MinHash are compared word by word.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import ints
+from .arrays import mix
 from .text import Words, in_chunks, plain
 
-#: Passages of items sent to the workers at a time; more are searched for block by block.
-BLOCK_PASSAGES = 500_000
+#: log2 of the bits of the filter that all workers hold: 8 MB, whatever the number of items.
+FILTER_BITS = 26
+STRIDE, PERMUTATIONS = 8, 16
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def minhashes(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -39,67 +43,137 @@ def minhashes(shingles: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:count], least[width - span : width - span + count])
 
 
-def passages(words: Words, least: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, MinHash and hash of every passage of ``least`` words that lies in one text."""
-    if len(words) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    signature = minhashes(words.shingles(shingle), least - shingle + 1)
-    first = np.flatnonzero(words.text[: len(signature)] == words.text[least - 1 :])
-    return first, signature[first], words.shingles(least)[first]
+def permuted(shingles: np.ndarray, number: int) -> np.ndarray:
+    """The hashes under one of the permutations: an exclusive or and an odd factor."""
+    salt, factor = (int(x) for x in mix(np.array([2 * number, 2 * number + 1], np.uint64), 99))
+    with np.errstate(over="ignore"):
+        return (shingles ^ np.uint64(salt)) * np.uint64(factor | 1)
+
+
+class Shingles:
+    """The shingles of many texts, each text's at the beginning of blocks of ``stride``, with empty places behind them."""
+
+    def __init__(self, words: Words, size: int, width: int, stride: int):
+        held = words.shingles(size)
+        inside = np.flatnonzero(words.text[: len(held)] == words.text[size - 1 :]) if len(held) else np.zeros(0, np.int64)
+        text = words.text[inside]
+        self.width, self.stride = width, stride
+        first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
+        counts = np.diff(np.concatenate((first, [len(text)]))) if len(text) else np.zeros(0, np.int64)
+        blocks = -(-counts // stride) + -(-width // stride)
+        offset = (np.cumsum(blocks) - blocks) * stride
+        place = np.repeat(offset, counts) + np.arange(len(text)) - np.repeat(first, counts)
+        self.hashes = np.full(int(blocks.sum()) * stride, NONE, np.uint64)
+        self.filled = np.zeros(len(self.hashes), bool)
+        self.hashes[place], self.filled[place] = held[inside], True
+        # windows: one for every stride of a text's shingles that a passage may begin in
+        windows = np.where(counts >= width, (counts - width) // stride + 1, 0)
+        number = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.start = np.repeat(offset, windows) + number * stride
+        self.first_word = inside[np.repeat(first, windows) + number * stride] if len(number) else np.zeros(0, np.int64)
+        self.left = np.repeat(counts, windows) - number * stride  # shingles of the text from here on
+
+    def signature(self, number: int) -> np.ndarray:
+        """The MinHash of every window under one permutation: of ``width + stride - 1`` shingles, fewer at a text's end."""
+        h = np.where(self.filled, permuted(self.hashes, number), NONE)
+        reach = self.width + self.stride - 1
+        if self.stride > 1 and reach < 2 * self.stride:
+            blocks = h.reshape(-1, self.stride)
+            at = self.start // self.stride
+            return np.minimum(blocks.min(axis=1)[at], blocks[:, : reach - self.stride].min(axis=1)[at + 1])
+        return minhashes(np.concatenate((h, np.full(reach, NONE, np.uint64))), reach)[self.start]
+
+
+def item_passages(items: DataFrame, least: int = 12, shingle: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
+    """value, words and item_id: of every item each MinHash that one of its passages has, and the stretch of words over which it holds."""
+    width = least - shingle + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [plain(t or "") for t in batch.column(1).to_pylist()]
+            for a, b in in_chunks(texts):
+                words = Words(texts[a:b])
+                parts = Shingles(words, shingle, width, 1)
+                for number in range(permutations):
+                    value, first = parts.signature(number), parts.first_word
+                    owner = words.text[first]
+                    begins = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))) if len(value) else np.zeros(0, np.int64)
+                    ends = np.concatenate((begins[1:], [len(value)])) - 1 if len(begins) else begins
+                    stretches = [words.phrase(int(first[i]), int(first[j] - first[i]) + least) for i, j in zip(begins.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(value[begins].view(np.int64)), pa.array(stretches, pa.string()), batch.column(0).take(pa.array(owner[begins] + a)).cast(pa.int64())], names=["value", "words", "item_id"])
+
+    return items.select("item_id", "text").mapInArrow(run, "value long, words string, item_id long").distinct()
+
+
+def _filter(spark: SparkSession, passages: DataFrame, bits: int):
+    """A broadcast bitmap of the top ``bits`` bits of all values; its size does not depend on how many there are."""
+    place = F.shiftrightunsigned("value", 64 - bits)
+    words = passages.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(value, {64 - bits}) & 63 as int))")).alias("set")).toArrow()
+    bitmap = np.zeros(max(1, 1 << (bits - 6)), np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return spark.sparkContext.broadcast(bitmap)
 
-def item_passages(items: DataFrame, least: int = 12, shingle: int = 5, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """signature, passage (hash), words and item_id of every passage of every item."""
+
+def _search(sent, bits: int, least: int, shingle: int, stride: int, permutations: int):
+    """The windows of every text that have a MinHash that passages may have."""
+    width = least - shingle + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value.view(np.uint64)
         for batch in batches:
-            texts = [plain(t or "") for t in batch.column(1).to_pylist()]
+            texts = [plain(t) if t else "" for t in batch.column(1).to_pylist()]
             for a, b in in_chunks(texts):
                 words = Words(texts[a:b])
-                first, signature, passage = passages(words, least, shingle)
-                phrases = pa.array([words.phrase(i, least) for i in first.tolist()], pa.string())
-                owner = batch.column(0).take(pa.array(words.text[first] + a))
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(passage.view(np.int64)), phrases, owner.cast(pa.int64())], names=["signature", "passage", "words", "item_id"])
-
-    return items.select(id_column, text_column).mapInArrow(run, "signature long, passage long, words string, item_id long")
-
-
-class Index:
-    """Passages of items by MinHash; a table of the top bits sorts out nearly all others at once."""
-
-    BITS = 18
-
-    def __init__(self, signature: np.ndarray, passage: np.ndarray, words: list[str], item: list[int]):
-        self.signatures = np.unique(signature)
-        self.top = np.zeros(1 << self.BITS, bool)
-        self.top[(self.signatures >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-        self.owners: dict[int, list[tuple[str, int]]] = {}
-        for p, w, i in zip(passage.tolist(), words, item):
-            self.owners.setdefault(p, []).append((w, i))
-        self.passages = np.unique(passage)
-
-    def find(self, words: Words, least: int, shingle: int) -> set[tuple[int, int]]:
-        """Text number and item of every passage that is an item's."""
-        first, signature, passage = passages(words, least, shingle)
-        near = np.flatnonzero(self.top[(signature >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        near = near[np.isin(signature[near], self.signatures)]
-        near = near[np.isin(passage[near], self.passages)]
-        found = set()
-        for i in near.tolist():
-            text = int(words.text[first[i]])
-            phrase = words.phrase(int(first[i]), least)
-            found.update((text, item) for held, item in self.owners[int(passage[i])] if held == phrase)
-        return found
-
-
-def leaked(documents: DataFrame, items: DataFrame, least: int = 12, shingle: int = 5, block: int = BLOCK_PASSAGES) -> DataFrame:
+                parts = Shingles(words, shingle, width, stride)
+                if not len(parts.start):
+                    continue
+                met, values = [], []
+                for number in range(permutations):
+                    value = parts.signature(number)
+                    top = value >> np.uint64(64 - bits)
+                    hit = np.flatnonzero((bitmap[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
+                    met.append(hit)
+                    values.append(value[hit])
+                window, value = np.concatenate(met), np.concatenate(values)
+                if len(window):
+                    held = np.minimum(parts.left[window], width + stride - 1) + shingle - 1
+                    phrases = {}
+                    out = [phrases.get(w) or phrases.setdefault(w, words.phrase(int(parts.first_word[w]), int(n))) for w, n in zip(window.tolist(), held.tolist())]
+                    docs = batch.column(0).take(pa.array(words.text[parts.first_word[window]] + a))
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), docs.cast(pa.int64()), pa.array(out, pa.string())], names=["value", "doc_id", "phrase"])
+
+    return run
+
+
+def _verified(least: int):
+    """Candidates whose window holds ``least`` consecutive words, and so all their shingles, of the passages' stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, known = [], {}
+            for i, pair in enumerate(zip(batch.column("phrase").to_pylist(), batch.column("words").to_pylist())):
+                if pair not in known:
+                    phrase, words = f" {pair[0]} ", pair[1].split(" ")
+                    known[pair] = any(f" {' '.join(words[j : j + least])} " in phrase for j in range(len(words) - least + 1))
+                if known[pair]:
+                    keep.append(i)
+            yield batch.select(["doc_id", "item_id"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def leaked(documents: DataFrame, items: DataFrame, least: int = 12, shingle: int = 5, stride: int = STRIDE, permutations: int = PERMUTATIONS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id and item_id of every document that holds ``least`` consecutive words of an item.
 
     Words are maximal runs of letters and digits, compared in lower case, after
     character references are read as their characters and soft hyphens and
-    zero-width spaces are dropped. Documents are read once for each ``block``
-    passages of items, so what is sent to the workers stays bounded and
-    nothing but found pairs is shuffled.
+    zero-width spaces are dropped. Documents are read once, however many items
+    there are: a filter of fixed size sorts out nearly all windows where they
+    are read, the others meet the items by an equi-join on their MinHash.
+
+    A passage is missed with probability (1 - p / (p + stride - 1)) to the
+    power of ``permutations``, p being its shingles: 5e-6 by default. ``stride``
+    1 with one permutation is the exact way, at the cost of a window a word.
 
     Null and empty texts, and items of fewer than ``least`` words, match
     nothing. Repeated rows give one pair; items of equal text are all
@@ -108,31 +182,13 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 12, shingle: int
     """
     if not 0 < shingle <= least:
         raise ValueError("a passage must hold at least one shingle")
-    spark = documents.sparkSession
-    held = item_passages(items, least, shingle)
-    blocks = max(1, -(-held.count() // block))
-    result = None
-    for number in range(blocks):
-        part = held if blocks == 1 else held.filter(F.pmod(F.col("signature"), F.lit(blocks)) == number)
-        table = part.distinct().toArrow()
-        columns = (ints(table.column("signature").combine_chunks()).view(np.uint64), ints(table.column("passage").combine_chunks()).view(np.uint64), table.column("words").to_pylist(), table.column("item_id").to_pylist())
-        pairs = documents.select("doc_id", "text").mapInArrow(_search(spark.sparkContext.broadcast(columns), least, shingle), "doc_id long, item_id long")
-        result = pairs if result is None else result.unionByName(pairs)
-    return result.distinct()
-
-
-def _search(sent, least: int, shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*sent.value)
-        for batch in batches:
-            texts = [plain(t) if t else "" for t in batch.column(1).to_pylist()]
-            for a, b in in_chunks(texts):
-                found = sorted(index.find(Words(texts[a:b]), least, shingle), key=lambda p: (p[0], p[1] is None, p[1] or 0))
-                if found:
-                    rows = batch.column(0).take(pa.array([a + t for t, _ in found]))
-                    yield pa.RecordBatch.from_arrays([rows.cast(pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["doc_id", "item_id"])
-
-    return run
+    if stride < 1 or permutations < 1 or not 6 <= filter_bits <= 30:
+        raise ValueError("stride and permutations must be positive, filter_bits between 6 and 30")
+    held = item_passages(items, least, shingle, permutations)
+    sent = _filter(documents.sparkSession, held, filter_bits)
+    windows = documents.select("doc_id", "text").mapInArrow(_search(sent, filter_bits, least, shingle, stride, permutations), "value long, doc_id long, phrase string")
+    met = windows.join(held, "value").select("doc_id", "item_id", "phrase", "words").distinct()
+    return met.mapInArrow(_verified(least), "doc_id long, item_id long").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:

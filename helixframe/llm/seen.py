@@ -23,15 +23,15 @@ from ..functions import filters
 from .arrays import flat_lists, ints, mix, rechunk
 
 #: Kinds of rows on their way to a chain, and of those that come from it.
-LOADED, ASKED, CERTAIN = 0, 1, 2
-NO, YES, SURE, STATE = 0, 1, 2, 3
+LOADED, ASKED = 0, 1
+NO, YES, STATE, AGAIN = 0, 1, 2, 3
 BEFORE_ALL = np.iinfo(np.int64).min
 #: Keys that the first layer of a chain takes.
 FIRST = 4096
 CHAINS = "route long, layer int, capacity long, error double, keys long, words binary, chains int"
 LAYER = "struct<layer: int, capacity: bigint, error: double, keys: bigint, words: binary>"
-FLOW = f"route long, sight long, kind int, chain {LAYER}"
-ANSWERS = "key long, sight long, kind int, layers int, keys long, bound double"
+FLOW = f"route long, sight long, kind int, more array<bigint>, chain {LAYER}"
+ANSWERS = "key long, sight long, kind int, more array<bigint>, layers int, keys long, bound double"
 
 
 class Layer:
@@ -125,13 +125,14 @@ class BloomChain:
 
 def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     """A batch of the given columns, the others null."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    given = {c: v if isinstance(v, pa.Array) else pa.array(v, schema.field(c).type) for c, v in columns.items()}
+    return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 _LAYER = pa.struct([("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary())])
-_FLOW = pa.schema([("route", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("chain", _LAYER)])
+_FLOW = pa.schema([("route", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("more", pa.list_(pa.int64())), ("chain", _LAYER)])
 _CHAINS = pa.schema([("route", pa.int64()), ("layer", pa.int32()), ("capacity", pa.int64()), ("error", pa.float64()), ("keys", pa.int64()), ("words", pa.binary()), ("chains", pa.int32())])
-_ANSWERS = pa.schema([("key", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("layers", pa.int32()), ("keys", pa.int64()), ("bound", pa.float64())])
+_ANSWERS = pa.schema([("key", pa.int64()), ("sight", pa.int64()), ("kind", pa.int32()), ("more", pa.list_(pa.int64())), ("layers", pa.int32()), ("keys", pa.int64()), ("bound", pa.float64())])
 
 
 def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,17 +149,19 @@ def _history(indexed: DataFrame, chains: int) -> DataFrame:
 
 
 def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch asks once for each of its keys, with the first sighting; the later ones are certain repetitions."""
+    """A batch asks once for each of its keys, with the first sighting; the later ones, which repeat it for certain, go along (more)."""
     for table in rechunk(batches, 200_000):
         key, sight = ints(table.column("key").combine_chunks()), ints(table.column("sight").combine_chunks())
         order = np.lexsort((sight, key))
         key, sight = key[order], sight[order]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (sight[1:] != sight[:-1])))  # without repeated deliveries
+        key, sight = key[once], sight[once]
         leads = np.concatenate(([True], key[1:] != key[:-1]))
-        first = sight[np.flatnonzero(leads)][np.cumsum(leads) - 1]
-        asks = leads | (sight == first)
-        again = ~leads & asks  # the same sighting delivered again
-        key, sight, asks = key[~again], sight[~again], asks[~again]
-        yield _batch(_FLOW, len(key), route=np.where(asks, key, mix(sight.view(np.uint64), 7).view(np.int64)), sight=sight, kind=np.where(asks, ASKED, CERTAIN))
+        first = np.flatnonzero(leads)
+        sizes = np.diff(np.concatenate((first, [len(key)]))) - 1
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sight[~leads]), mask=pa.array(sizes == 0))
+        yield _batch(_FLOW, len(first), route=key[first], sight=sight[first], kind=np.full(len(first), ASKED), more=more)
 
 
 def _taken(chain: BloomChain, layers: pa.ChunkedArray) -> None:
@@ -218,29 +221,24 @@ def build_chains(indexed: DataFrame, error: float = 0.001, first: int = FIRST, c
 def _ask(error: float, first: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, last = BloomChain(error, first), None
-        answer = lambda key, sight, kind: _batch(_ANSWERS, len(key), key=key, sight=sight, kind=np.full(len(key), kind, np.int32))
         for table in rechunk(batches, rows):
             kind = ints(table.column("kind").combine_chunks())
             if (kind == LOADED).any():
                 _taken(chain, table.column("chain"))
-            route, sight = ints(table.column("route").combine_chunks()), ints(table.column("sight").combine_chunks())
-            certain = kind == CERTAIN
-            if certain.any():
-                yield answer(route[certain], sight[certain], SURE)
-            key, sight = route[kind == ASKED], sight[kind == ASKED]
-            if not len(key):
+            table = table.filter(pa.array(kind == ASKED))
+            if not table.num_rows:
                 continue
+            key, sight = ints(table.column("route").combine_chunks()), ints(table.column("sight").combine_chunks())
             same = np.concatenate(([last == (key[0], sight[0])], (key[1:] == key[:-1]) & (sight[1:] == sight[:-1])))
             last = (key[-1], sight[-1])
-            key, sight = key[~same], sight[~same]  # without repeated deliveries
             known = chain.holds(key)
             # rows come in order of arrival, so within a batch a key's first row is its first sighting
             _, at, back = np.unique(key, return_index=True, return_inverse=True)
             maybe = known | (np.arange(len(key)) > at[back])
-            if not maybe.all():
-                yield answer(key[~maybe], np.full(int((~maybe).sum()), BEFORE_ALL), NO)
-            if maybe.any():
-                yield answer(key[maybe], sight[maybe], YES)
+            maybe[0] |= same[0]
+            told = np.where(maybe, YES, NO).astype(np.int32)
+            # a delivery of the sighting before it is no sighting; what it brings along still is
+            yield _batch(_ANSWERS, len(key), key=key, sight=np.where(told == YES, sight, BEFORE_ALL), kind=np.where(same, AGAIN, told), more=table.column("more").combine_chunks())
             chain.add(key[at][~known[at]])
         yield _batch(_ANSWERS, 1, kind=[STATE], layers=[len(chain.layers)], keys=[chain.keys], bound=[chain.bound])
 
@@ -248,7 +246,7 @@ def _ask(error: float, first: int, rows: int):
 
 
 def _answers(sightings: DataFrame, indexed: DataFrame | None, saved: DataFrame | None, error: float, first: int, chains: int | None, rows: int) -> tuple[DataFrame, int]:
-    """What the chains answer: YES with key and sighting, NO with the key, SURE with a key of its own, and one STATE of each chain."""
+    """What the chains answer: YES with key and sighting or NO with the key, either with the sightings that go along, and one STATE of each chain."""
     if saved is not None:
         chains = saved.agg(F.max("chains")).first()[0] or chains
     chains = chains or chain_count(sightings)
@@ -256,28 +254,28 @@ def _answers(sightings: DataFrame, indexed: DataFrame | None, saved: DataFrame |
     if saved is None and indexed is not None:
         saved = build_chains(indexed, error, first, chains)
     if saved is not None:
-        loaded = _layers(saved).select("route", F.lit(int(BEFORE_ALL)).alias("sight"), F.lit(LOADED).alias("kind"), "chain")
+        loaded = _layers(saved).select("route", F.lit(int(BEFORE_ALL)).alias("sight"), F.lit(LOADED).alias("kind"), F.lit(None).cast("array<bigint>").alias("more"), "chain")
         flow = flow.unionByName(loaded)
     flow = flow.repartition(chains, "route").sortWithinPartitions(F.col("kind") != LOADED, "sight", "route")
     return flow.mapInArrow(_ask(error, first, rows), ANSWERS), chains
 
 
 def _checked(answers: DataFrame, indexed: DataFrame | None, chains: int, vouched: bool) -> DataFrame:
-    """key, sight, kind and right of every YES and SURE.
+    """key, sight, kind, more and right of every answer; only a YES can be right.
 
     A chain forgets nothing, so behind a NO every later sighting of the key
     repeats it; so does every one behind the key's first YES. Only that first
     YES of a key without a NO must stand in the history. Answers and history
     are both split by key into as many parts, so they meet in place.
     """
-    by_key = Window.partitionBy("key")
-    told = answers.filter(F.col("kind") != STATE).select("key", "sight", "kind")
-    told = told.withColumn("began", F.min("sight").over(by_key)).filter(F.col("kind") != NO)
-    repeats = (F.col("sight") > F.col("began")) | (F.col("kind") == SURE)
+    told = answers.filter(F.col("kind") != STATE).select("key", "sight", "kind", "more")
+    told = told.withColumn("began", F.min("sight").over(Window.partitionBy("key")))
+    yes = F.col("kind") == YES
+    repeats = F.col("sight") > F.col("began")
     if indexed is None:
-        return told.select("key", "sight", "kind", (repeats | F.lit(vouched)).alias("right"))
+        return told.select("key", "sight", "kind", "more", (yes & (repeats | F.lit(vouched))).alias("right"))
     history = _history(indexed, chains).withColumnRenamed("route", "key").groupBy("key").agg(F.lit(True).alias("known"))
-    return told.join(history, "key", "left").select("key", "sight", "kind", (repeats | F.coalesce("known", F.lit(False))).alias("right"))
+    return told.join(history, "key", "left").select("key", "sight", "kind", "more", (yes & (repeats | F.coalesce("known", F.lit(False)))).alias("right"))
 
 
 def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = FIRST, chains: int | None = None, rows: int = 50_000, saved: DataFrame | None = None) -> DataFrame:
@@ -300,7 +298,9 @@ def seen_before(sightings: DataFrame, indexed: DataFrame | None = None, error: f
     are no keys. Empty tables give no rows; further columns are ignored.
     """
     answers, n = _answers(sightings, indexed, saved, error, first, chains, rows)
-    return _checked(answers, indexed, n, saved is not None).filter("right").select(F.col("sight").alias("sight_id")).distinct()
+    checked = _checked(answers, indexed, n, saved is not None).filter("right or more is not null")
+    own = F.when(F.col("right"), F.array("sight")).otherwise(F.array().cast("array<bigint>"))
+    return checked.select(F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<bigint>")))).alias("sight_id")).distinct()
 
 
 def wrong_answers(sightings: DataFrame, indexed: DataFrame | None = None, error: float = 0.001, first: int = FIRST, chains: int | None = None, rows: int = 50_000, saved: DataFrame | None = None) -> DataFrame:
