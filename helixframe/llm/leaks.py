@@ -187,7 +187,7 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 12, shingle: int
     held = item_passages(items, least, shingle, permutations)
     sent = _filter(documents.sparkSession, held, filter_bits)
     windows = documents.select("doc_id", "text").mapInArrow(_search(sent, filter_bits, least, shingle, stride, permutations), "value long, doc_id long, phrase string")
-    met = windows.join(held, "value").select("doc_id", "item_id", "phrase", "words").distinct()
+    met = windows.join(held, "value").select("doc_id", "item_id", "phrase", "words")
     return met.mapInArrow(_verified(least), "doc_id long, item_id long").distinct()
 
 
