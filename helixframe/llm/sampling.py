@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from .arrays import ints, mix, rechunk
 
 
+#: Tasks that the first step of the merge is spread over.
+MERGERS = 32
+
+
 class BottomK:
     """The ``k`` distinct ids with the smallest keys."""
 
@@ -63,6 +67,6 @@ def fixed_size_sample(df: DataFrame, k: int = 256, id_column: str = "entry_id",
 
     if k == 0:
         return df.limit(0)
-    # Heaps of k rows a task; merged in two steps, so that no task reads all of them.
-    merged = df.mapInArrow(keep, df.schema).repartition(32, id_column).mapInArrow(keep, df.schema)
-    return merged.coalesce(1).mapInArrow(keep, df.schema)
+    # Heaps of k rows a task, merged in two steps; only the second reads them in one task, k rows from each of the first.
+    merged = df.mapInArrow(keep, df.schema).repartition(MERGERS, id_column).mapInArrow(keep, df.schema)
+    return merged.repartition(1).mapInArrow(keep, df.schema)

@@ -38,3 +38,11 @@ def test_small_and_empty(spark):
     assert fixed_size_sample(frame(spark, [1]), columns=["entry_id", "counts"]).columns == ["entry_id", "counts"]
     with pytest.raises(ValueError):
         fixed_size_sample(frame(spark, [1]), -1)
+
+
+def test_no_task_reads_all_heaps(spark):
+    df = fixed_size_sample(frame(spark, list(range(5000)), 7), 16)
+    assert df.count() == 16
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") - plan.count("ReusedExchange") >= 3 and "Coalesce" not in plan  # repartition of the frame, to the mergers, to one
