@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CODE_ORDER = "ACTG"
 BASES, COMPLEMENTS = "ACGT", "TGCA"
 PHRED_OFFSET = 33
+#: Bases that one LONG holds.
+PACKED_K = 31
 
 
 def _col(c: Column | str) -> Column:

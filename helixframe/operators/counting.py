@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import unpacked
-from .kmers import PACKED_K, Batch, _floors, _one_byte, check_k, kmer_windows
+from ..functions.dna import PACKED_K, unpacked
+from .kmers import Batch, _floors, _one_byte, check_k, kmer_windows
 
 #: Bins of a spectrum; the last one holds every higher count.
 BINS = 8000
@@ -126,6 +126,13 @@ def floor_histograms(counts: DataFrame, floors: list[int], bins: int = BINS) ->
     return flat.groupBy("floor", F.least("n", F.lit(bins)).cast("int").alias("count")).agg(F.count("*").alias("distinct"))
 
 
+def floor_totals(counts: DataFrame, floors: list[int]) -> DataFrame:
+    """floor, distinct k-mers and windows that clear it, of every floor that any window clears."""
+    totals = counts.agg(*(x for i in range(len(floors)) for x in (F.count_if(F.col(f"n_f{i}") > 0).alias(f"k{i}"), F.sum(f"n_f{i}").alias(f"w{i}"))))
+    rows = F.array(*(F.struct(F.lit(f).alias("floor"), F.col(f"k{i}").alias("kmers"), F.col(f"w{i}").alias("windows")) for i, f in enumerate(floors)))
+    return totals.select(F.inline(rows)).filter("kmers > 0")
+
+
 def floor_spectra(counts: DataFrame, floors: list[int], used: list[int] | None = None, fraction: float = 1.0, bins: int = BINS) -> dict[int, np.ndarray]:
     """The histograms as arrays, those of a sample scaled up; at most ``bins`` rows a floor are collected."""
     h = floor_histograms(counts, floors, bins)
@@ -138,8 +145,8 @@ def floor_spectra(counts: DataFrame, floors: list[int], used: list[int] | None =
 
 def carry(counts: DataFrame, contigs: DataFrame, k: int, min_count: int) -> DataFrame:
     """Counts after the k-mers of previous contigs were raised to ``min_count``, or added with it."""
-    carried = kmer_windows(contigs.select(F.monotonically_increasing_id().alias("read_id"), "seq", F.lit(None).cast("string").alias("qual")), k)
-    carried = carried.select("kmer").distinct().withColumn("carried", F.lit(min_count).cast("long"))
+    carried = count_kmers(contigs.select(F.lit(0).alias("read_id"), "seq", F.lit(None).cast("string").alias("qual")), k)
+    carried = carried.select("kmer", F.lit(min_count).cast("long").alias("carried"))
     joined = counts.select("kmer", "n").join(carried, "kmer", "full_outer")
     return joined.select("kmer", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("carried", F.lit(0))).alias("n"), F.col("n").isNull().alias("is_new"))
 

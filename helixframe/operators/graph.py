@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import flip, reverse_complement
+from ..functions.dna import PACKED_K, flip, packed, reverse_complement
 from ..session import cut_lineage
 
 NODES = "nid long, seq string, n_kmers long, cov double"
@@ -33,12 +33,16 @@ def overlap_edges(nodes: DataFrame, k: int) -> DataFrame:
     """All edges by an equi-join of the last and the first k-1 bases of oriented nodes.
 
     A k-1-mer is followed by at most four bases and preceded by at most four,
-    so no join key has more than sixteen pairs.
+    so no join key has more than sixteen pairs. Up to 31 bases the key is one
+    LONG; only the ends of a node are ever reversed.
     """
-    view = oriented_view(nodes)
-    left = view.select(F.col("nid").alias("src"), F.col("orient").alias("so"), F.right("read", F.lit(k - 1)).alias("overlap"))
-    right = view.select(F.col("nid").alias("dst"), F.col("orient").alias("do"), F.left("read", F.lit(k - 1)).alias("overlap"))
-    return left.join(right, "overlap").select("src", "so", "dst", "do")
+    key = packed if k - 1 <= PACKED_K else (lambda c: c)
+    first, last = F.left("seq", F.lit(k - 1)), F.right("seq", F.lit(k - 1))
+    ends = lambda forward, backward: F.inline(F.array(F.struct((F.col("nid") * 2).alias("end"), key(forward).alias("overlap")), F.struct((F.col("nid") * 2 + 1).alias("end"), key(reverse_complement(backward)).alias("overlap"))))
+    left = nodes.select(ends(last, first)).withColumnRenamed("end", "u")
+    right = nodes.select(ends(first, last)).withColumnRenamed("end", "v")
+    sign = lambda c: F.when(F.col(c) % 2 == 0, "+").otherwise("-")
+    return left.join(right, "overlap").select(F.shiftright("u", 1).alias("src"), sign("u").alias("so"), F.shiftright("v", 1).alias("dst"), sign("v").alias("do"))
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -55,6 +59,36 @@ def paired(edges: DataFrame) -> DataFrame:
     return distinct.join(mirrored(distinct), ["src", "so", "dst", "do"], "left_semi")
 
 
+def consecutive(ordered: DataFrame, name: str = "number") -> DataFrame:
+    """Rows of an ordered table with consecutive numbers from 0.
+
+    The numbers come from the range sort's partitions and their sizes, so no
+    task sees all rows; the sorted rows are written down, as both passes must
+    see the same partitions.
+    """
+    at = F.spark_partition_id()
+    placed = cut_lineage(ordered.withColumn("_p", at).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(at.cast("long"), 33)))
+    first, rows = 0, []
+    for p, n in sorted((r._p, r.n) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        rows.append((p, first))
+        first += n
+    offsets = ordered.sparkSession.createDataFrame(rows, "_p int, _first long")  # one row a partition
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_first") + F.col("_i")).drop("_p", "_i", "_first")
+
+
+def renumbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with ids from 0 in the order of sequences, every node in its lesser orientation: the same however it was built."""
+    least = F.least("seq", reverse_complement("seq"))
+    turned = nodes.select(F.col("nid").alias("was"), (F.col("seq") != least).alias("turned"), least.alias("seq"), "n_kmers", "cov")
+    new = cut_lineage(consecutive(turned.orderBy("seq", "was"), "nid"))
+
+    def end(df: DataFrame, node: str, sign: str) -> DataFrame:
+        names = new.select(F.col("was").alias(node), F.col("nid").alias("_n"), F.col("turned").alias("_t"))
+        return df.join(names, node).withColumn(node, F.col("_n")).withColumn(sign, F.when(F.col("_t"), flip(sign)).otherwise(F.col(sign))).drop("_n", "_t")
+
+    return new.select("nid", "seq", "n_kmers", "cov"), end(end(edges, "src", "so"), "dst", "do").select("src", "so", "dst", "do")
+
+
 def lookup(nodes: DataFrame, kmers: DataFrame) -> DataFrame:
     """The node, orientation and coverage of given k-mers, in whichever orientation they are given."""
     view = oriented_view(nodes).join(nodes.select("nid", "cov"), "nid")

@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: k-mers up to this length are counted as one LONG.
-PACKED_K = 31
 WINDOWS = "read_id long, start int, kmer string, forward boolean, grp int"
 
 _CODES = np.full(256, 4, np.uint8)
@@ -173,8 +171,29 @@ def usable_runs(reads: DataFrame, k: int, floor: int = 0) -> DataFrame:
     return reads.select("read_id", F.posexplode(F.filter(runs, lambda r: F.length(r) >= k)).alias("run_no", "run"))
 
 
-def floor_presence(windows: DataFrame, floors: list[int]) -> DataFrame:
-    """For each floor whether any window clears it."""
-    most = windows.agg(F.max("grp").alias("m"))
+def window_groups(reads: DataFrame, k: int, floors: list[int] | None = None) -> DataFrame:
+    """grp, windows and reads: how many windows of `kmer_windows` have each group, and in how many reads. Every batch is summed
+    where it is read."""
+    check_k(k)
+    floors = _floors(floors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5000):
+                part = whole.slice(at, 5000)
+                batch = Batch(part.column("seq"), part.column("qual"))
+                starts = batch.starts(k, floors[0])
+                group, owner = batch.groups(starts, k, floors), batch.read[starts]
+                rows = [(g, int((group == g).sum()), len(np.unique(owner[group == g]))) for g in np.unique(group).tolist()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["grp", "windows", "reads"])
+
+    parts = _one_byte(reads).mapInArrow(run, "grp int, windows long, reads long")
+    return parts.groupBy("grp").agg(F.sum("windows").alias("windows"), F.sum("reads").alias("reads"))
+
+
+def floor_presence(groups: DataFrame, floors: list[int]) -> DataFrame:
+    """For each floor whether any window (rows with a column grp) clears it."""
+    most = groups.agg(F.max("grp").alias("m"))
     rows = F.array(*(F.struct(F.lit(f).alias("floor"), (F.coalesce(F.col("m"), F.lit(-1)) >= i).alias("has_kmers")) for i, f in enumerate(floors)))
     return most.select(F.inline(rows))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,16 @@ def a13_quality_alphabet(records: DataFrame) -> DataFrame:
     return read_source.quality_alphabet(reads_of(records).filter("qual is not null"))
 
 
+@query("a13_alphabet_rule", "read_records", sql=f"""WITH {_READS}, first AS (SELECT * FROM reads WHERE seq IS NOT NULL ORDER BY read_id LIMIT 5000),
+pairs AS (SELECT upper(seq[i]) AS b, greatest(ascii(qual[i]) - 33, 0) AS quality FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM first WHERE qual IS NOT NULL))
+SELECT (SELECT count(*) FILTER (WHERE qual IS NULL) FROM first) > 0 AS unrated, CASE WHEN (SELECT count(*) FILTER (WHERE qual IS NULL) FROM first) > 0 THEN 0 ELSE count(DISTINCT quality) FILTER (WHERE b IN ('A','C','G','T') AND quality < 64) END AS qualities FROM pairs""")
+def a13_alphabet_rule(records: DataFrame) -> DataFrame:
+    """Over all reads: one without qualities among the first leaves no alphabet."""
+    reads = reads_of(records)
+    first = reads.filter("seq is not null").orderBy("read_id").limit(read_source.PEEKED_READS)
+    return first.agg((F.count_if(F.col("qual").isNull()) > 0).alias("unrated")).crossJoin(read_source.quality_alphabet(reads).agg(F.count("*").alias("qualities")))
+
+
 _CONTIGS = "contigs_now AS (SELECT k, contig_id, upper(seq) AS seq, cov, serialized_contigs FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY written_at DESC) AS rn FROM contigs) WHERE rn = 1)"
 
 
@@ -112,12 +123,52 @@ def a16_gfa_links(records: DataFrame) -> DataFrame:
     return edges.select(F.concat(value, F.lit(f"\t{K - 1}M")).alias("value")).distinct()
 
 
-@query("a16_gfa_lines", "read_records")
-def a16_gfa_lines(records: DataFrame) -> DataFrame:
+_ONE = "e AS (SELECT DISTINCT src, so, dst, dor FROM edges WHERE src <> dst), one AS (SELECT src, so FROM e GROUP BY 1, 2 HAVING count(*) = 1)"
+_SPELLED = """spelled AS (SELECT head, ho, string_agg(CASE WHEN rank = 0 THEN v.s ELSE right(v.s, 1) END, '' ORDER BY rank) AS seq, count(*) AS n_kmers, CAST(sum(n.n) AS BIGINT) AS mass
+  FROM walk w JOIN view v ON v.kmer = w.kmer AND v.o = w.o JOIN nodes n ON n.kmer = w.kmer GROUP BY head, ho)"""
+_UNITIGS = f"""WITH RECURSIVE {_EDGES}, {_ONE},
+simple AS (SELECT src, so, dst, dor FROM e SEMI JOIN one USING (src, so) WHERE EXISTS (SELECT 1 FROM one o WHERE o.src = e.dst AND o.so <> e.dor)),
+walk AS (SELECT kmer AS head, o AS ho, kmer, o, 0 AS rank FROM view v WHERE NOT EXISTS (SELECT 1 FROM simple s WHERE s.dst = v.kmer AND s.dor = v.o)
+  UNION ALL SELECT head, ho, s.dst, s.dor, rank + 1 FROM walk w JOIN simple s ON s.src = w.kmer AND s.so = w.o),
+{_SPELLED}, unitigs AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS id, * FROM (SELECT DISTINCT least(seq, {_RC.format('seq')}) AS seq, n_kmers, mass FROM spelled)),
+ends AS (SELECT id, '+' AS o, seq AS s FROM unitigs UNION ALL SELECT id, '-', {_RC.format('seq')} FROM unitigs),
+links AS (SELECT a.id AS src, a.o AS so, b.id AS dst, b.o AS dor FROM ends a JOIN ends b ON right(a.s, {K - 1}) = left(b.s, {K - 1})
+  WHERE least(right(a.s, {K}), {_RC.format(f'right(a.s, {K})')}) <> least(left(b.s, {K}), {_RC.format(f'left(b.s, {K})')}))"""
+
+
+def _contracted(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = _nodes(records)
-    edges = graph.overlap_edges(nodes, K)
-    new_nodes, new_edges, _ = compact.contract(nodes, edges, K)
-    return sinks.gfa_lines(new_nodes, new_edges, K)
+    nodes, edges, _ = compact.contract(nodes, graph.without_self_loops(graph.overlap_edges(nodes, K)), K)
+    return nodes, edges
+
+
+@query("a16_gfa_lines", "read_records", sql=f"""{_UNITIGS}
+SELECT CAST(0 AS INTEGER) AS part, 'H' || chr(9) || 'VN:Z:1.1' AS value
+UNION ALL SELECT 1, 'S' || chr(9) || id || chr(9) || seq || chr(9) || 'LN:i:' || length(seq) || chr(9) || 'KC:i:' || mass FROM unitigs
+UNION ALL SELECT DISTINCT 2, CASE WHEN (src, so, dst, dor) <= (dst, f_dor, src, f_so) THEN 'L' || chr(9) || src || chr(9) || so || chr(9) || dst || chr(9) || dor ELSE 'L' || chr(9) || dst || chr(9) || f_dor || chr(9) || src || chr(9) || f_so END || chr(9) || '{K - 1}M'
+  FROM (SELECT *, CASE so WHEN '+' THEN '-' ELSE '+' END AS f_so, CASE dor WHEN '+' THEN '-' ELSE '+' END AS f_dor FROM links)""")
+def a16_gfa_lines(records: DataFrame) -> DataFrame:
+    return sinks.gfa_lines(*graph.renumbered(*_contracted(records)), K)
+
+
+@query("a16_gfa2_lines", "read_records", sql=f"""{_UNITIGS}
+SELECT CAST(0 AS INTEGER) AS part, 'H' || chr(9) || 'VN:Z:2.0' AS value
+UNION ALL SELECT 1, 'S' || chr(9) || id || chr(9) || length(seq) || chr(9) || seq FROM unitigs
+UNION ALL SELECT DISTINCT 2, 'E' || chr(9) || '*' || chr(9) || src || so || chr(9) || dst || dor || chr(9) ||
+  CASE WHEN so = '+' THEN (sl - {K - 1}) || chr(9) || sl || '$' ELSE '0' || chr(9) || {K - 1} END || chr(9) || CASE WHEN dor = '-' THEN (dl - {K - 1}) || chr(9) || dl || '$' ELSE '0' || chr(9) || {K - 1} END || chr(9) || '*'
+  FROM (SELECT l.*, length(a.seq) AS sl, length(b.seq) AS dl FROM (SELECT CASE WHEN keep THEN src ELSE dst END AS src, CASE WHEN keep THEN so ELSE f_dor END AS so, CASE WHEN keep THEN dst ELSE src END AS dst, CASE WHEN keep THEN dor ELSE f_so END AS dor
+    FROM (SELECT *, (src, so, dst, dor) <= (dst, f_dor, src, f_so) AS keep FROM (SELECT *, CASE so WHEN '+' THEN '-' ELSE '+' END AS f_so, CASE dor WHEN '+' THEN '-' ELSE '+' END AS f_dor FROM links))) l
+    JOIN unitigs a ON a.id = l.src JOIN unitigs b ON b.id = l.dst)""")
+def a16_gfa2_lines(records: DataFrame) -> DataFrame:
+    return sinks.gfa2_lines(*graph.renumbered(*_contracted(records)), K)
+
+
+@query("a16_dot_lines", "read_records", sql=f"""{_UNITIGS}
+SELECT CAST(0 AS INTEGER) AS part, 'digraph {{' AS value UNION ALL SELECT 3, '}}'
+UNION ALL SELECT 1, '  ' || id || ' [label="' || id || ': ' || length(seq) || ' bases, ' || printf('%.1f', mass / n_kmers::DOUBLE) || '"]' FROM unitigs
+UNION ALL SELECT 2, '  ' || src || ' -> ' || dst || ' [label="' || so || dor || '"]' FROM (SELECT DISTINCT * FROM links)""")
+def a16_dot_lines(records: DataFrame) -> DataFrame:
+    return sinks.dot_lines(*graph.renumbered(*_contracted(records)))
 
 
 @query("a18_spectrum_rows", "read_records", sql=f"WITH {_FILLED} SELECT count, distinct_kmers AS \"distinct\" FROM filled WHERE count <= (SELECT max(count) FROM spectrum)")
@@ -128,18 +179,6 @@ def a18_spectrum_rows(records: DataFrame) -> DataFrame:
 # B: scalar functions
 
 
-@query("b_base_functions", "contigs", sql=f"""WITH {_CONTIGS}, w AS (SELECT contig_id, left(seq, 21) AS s FROM contigs_now WHERE regexp_matches(left(seq, 21), '^[ACGT]{{21}}$'))
-SELECT contig_id, {_RC.format('s')} AS rc, least(s, {_RC.format('s')}) AS canonical, left(s, 20) AS prefix, right(s, 20) AS suffix,
-  CAST((strpos('ACTG', left(s, 1)) - 1) * 4 + strpos('ACTG', right(s, 1)) - 1 AS INTEGER) AS ends,
-  CAST(list_sum(list_transform(generate_series(1, 21), lambda i: CAST(strpos('ACTG', s[i]) - 1 AS BIGINT) << (2 * (21 - i)))) AS BIGINT) AS packed, s AS unpacked,
-  CAST(strpos('ACTG', s[5]) - 1 AS INTEGER) AS fifth FROM w""")
-def b_base_functions(contigs: DataFrame) -> DataFrame:
-    s = F.left("seq", F.lit(21))
-    w = contigs_now(contigs).select("contig_id", s.alias("s")).filter(F.col("s").rlike("^[ACGT]{21}$"))
-    word = dna.packed("s")
-    return w.select("contig_id", dna.reverse_complement("s").alias("rc"), dna.canonical("s").alias("canonical"), dna.prefix("s", 21).alias("prefix"), dna.suffix("s", 21).alias("suffix"), dna.endpoint_byte("s").cast("int").alias("ends"), word.alias("packed"), dna.unpacked(word, 21).alias("unpacked"), dna.packed_base(word, 4, 21).cast("int").alias("fifth"))
-
-
 _CONTIG_WINDOWS = f"""contig_windows AS (SELECT contig_id, CAST(i - 1 AS INTEGER) AS start, substr(seq, i, {K}) AS s FROM (SELECT *, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM contigs_now) WHERE regexp_matches(substr(seq, i, {K}), '^[ACGT]{{{K}}}$'))"""
 
 
@@ -156,7 +195,6 @@ SELECT contig_id, start, {_RC.format('s')} AS rc, least(s, {_RC.format('s')}) AS
   CAST(list_sum(list_transform(generate_series(1, {K}), lambda i: CAST(strpos('ACTG', s[i]) - 1 AS BIGINT) << (2 * ({K} - i)))) AS BIGINT) AS packed, s AS unpacked,
   CAST(strpos('ACTG', s[5]) - 1 AS INTEGER) AS fifth FROM contig_windows""")
 def b_window_functions(contigs: DataFrame) -> DataFrame:
-    """b_base_functions over every window of every contig, not only the first."""
     word = dna.packed("s")
     return _contig_windows(contigs).select("contig_id", "start", dna.reverse_complement("s").alias("rc"), dna.canonical("s").alias("canonical"), dna.prefix("s", K).alias("prefix"), dna.suffix("s", K).alias("suffix"), dna.endpoint_byte("s").cast("int").alias("ends"), word.alias("packed"), dna.unpacked(word, K).alias("unpacked"), dna.packed_base(word, 4, K).cast("int").alias("fifth"))
 
@@ -189,15 +227,21 @@ def c2_masked_reads(records: DataFrame) -> DataFrame:
 
 @query("c5_window_groups", "read_records", sql=f"WITH {_WINDOWS} SELECT CAST(grp AS INTEGER) AS grp, count(*) AS windows, count(DISTINCT read_id) AS reads FROM windows GROUP BY 1")
 def c5_window_groups(records: DataFrame) -> DataFrame:
-    return kmers.kmer_windows(reads_of(records), K, FLOORS).groupBy("grp").agg(F.count("*").alias("windows"), F.countDistinct("read_id").alias("reads"))
+    return kmers.window_groups(reads_of(records), K, FLOORS)
 
 
 @query("c8_floor_presence", "read_records", sql=f"WITH {_WINDOWS}, m AS (SELECT coalesce(max(grp), -1) AS m FROM windows) " + " UNION ALL ".join(f"SELECT {f} AS floor, m >= {i} AS has_kmers FROM m" for i, f in enumerate(FLOORS)))
 def c8_floor_presence(records: DataFrame) -> DataFrame:
-    return kmers.floor_presence(kmers.kmer_windows(reads_of(records), K, FLOORS), FLOORS)
+    return kmers.floor_presence(kmers.window_groups(reads_of(records), K, FLOORS), FLOORS)
 
 
-@query("c9_floor_ladder", "read_records")
+@query("c9_floor_ladder", "read_records", sql=f"""WITH {_READS}, first AS (SELECT * FROM reads WHERE qual IS NOT NULL ORDER BY read_id LIMIT 5000),
+pairs AS (SELECT upper(seq[i]) AS b, greatest(ascii(qual[i]) - 33, 0) AS quality FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM first)),
+alphabet AS (SELECT DISTINCT quality FROM pairs WHERE b IN ('A','C','G','T') AND quality < 64),
+facts AS (SELECT count(*) AS n, min(quality) AS lowest, coalesce(min(quality) FILTER (WHERE quality >= 20), 20) AS strict FROM alphabet),
+more AS (SELECT *, (SELECT max(quality) FROM alphabet WHERE quality > 10 AND quality <= strict - 5) AS loose FROM facts),
+ladder AS (SELECT CASE WHEN n <= 1 OR lowest >= strict THEN [0] WHEN loose IS NOT NULL AND lowest < loose THEN [0, loose, strict] ELSE [0, strict] END AS f FROM more)
+SELECT CAST(i - 1 AS INTEGER) AS position, CAST(f[i] AS INTEGER) AS floor FROM (SELECT f, unnest(generate_series(1, len(f))) AS i FROM ladder)""")
 def c9_floor_ladder(records: DataFrame) -> DataFrame:
     alphabet = [r[0] for r in read_source.quality_alphabet(reads_of(records).filter("qual is not null")).collect()]
     return records.sparkSession.createDataFrame([(i, f) for i, f in enumerate(selection.effective_floors(alphabet))], "position int, floor int")
@@ -261,12 +305,13 @@ def d4_floor_counts(records: DataFrame) -> DataFrame:
     return _counts(records).select("kmer", "n_f0", "n_f1", "n_f2")
 
 
-@query("d5_hash_sample", "read_records")
-def d5_hash_sample(records: DataFrame) -> DataFrame:
+@query("d5_d8_sample_check", "read_records", sql=f"""WITH {_COUNTS}, size AS (SELECT count(*) AS n FROM counts),
+halvings AS (SELECT min(h) AS h FROM size, (SELECT unnest(generate_series(0, 12)) AS h) WHERE (n >> h) <= 20000 OR h = 12)
+SELECT n AS "table", 1.0 / (1 << h) AS fraction, true AS unbiased FROM size, halvings""")
+def d5_d8_sample_check(records: DataFrame) -> DataFrame:
+    """The hash sample against its table; which k-mers it holds depends on a hash the reference SQL has no counterpart of."""
     counts = _counts(records)
-    threshold = counting.sample_threshold(counts.count(), most=20_000)
-    fraction = counting.sample_fraction(threshold)
-    return counting.rescaled(counting.histogram(counting.sampled(counts, threshold)), fraction).withColumn("fraction", F.lit(fraction))
+    return counting.sample_check(counts, counting.sample_threshold(counts.count(), most=20_000)).select("table", "fraction", "unbiased")
 
 
 @query("d9_spectrum", "read_records", sql=f"WITH {_SPECTRUM} SELECT count, distinct_kmers AS \"distinct\" FROM spectrum")
@@ -276,9 +321,7 @@ def d9_spectrum(records: DataFrame) -> DataFrame:
 
 @query("d9_floor_spectra", "read_records", sql=f"WITH {_COUNTS} " + " UNION ALL ".join(f"SELECT {f} AS floor, CAST(least(n_f{i}, 8000) AS INTEGER) AS count, count(*) AS \"distinct\" FROM counts WHERE n_f{i} > 0 GROUP BY 2" for i, f in enumerate(FLOORS)))
 def d9_floor_spectra(records: DataFrame) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(f).alias("floor"), F.col(f"n_f{i}").alias("n")) for i, f in enumerate(FLOORS)))
-    flat = _counts(records).select(F.inline(rows)).filter("n > 0")
-    return flat.groupBy("floor", F.least("n", F.lit(counting.BINS)).cast("int").alias("count")).agg(F.count("*").alias("distinct"))
+    return counting.floor_histograms(_counts(records), FLOORS)
 
 
 @query("d10_occurrence_median", "read_records", sql=f"WITH {_SPECTRUM} SELECT min(count) AS median FROM (SELECT count, sum(count * distinct_kmers) OVER (ORDER BY count) AS upto, sum(count * distinct_kmers) OVER () AS whole FROM spectrum) WHERE upto * 2 >= whole")
@@ -340,7 +383,9 @@ def d24_carry(records: DataFrame, contigs: DataFrame) -> DataFrame:
     return counting.carry(_counts(records), contigs_now(contigs).select("seq"), K, 5)
 
 
-@query("d25_components", "read_records")
+@query("d25_components", "read_records", sql=f"""{_UNITIGS}, reach AS (SELECT id AS a, id AS b FROM unitigs UNION SELECT r.a, l.dst FROM reach r JOIN links l ON l.src = r.b),
+labels AS (SELECT b AS id, min(a) AS component FROM reach GROUP BY b), sizes AS (SELECT component, sum(n_kmers) AS n FROM labels JOIN unitigs USING (id) GROUP BY component)
+SELECT count(*) AS components, count(*) FILTER (WHERE n = 1) AS alone, CAST(max(n) AS BIGINT) AS largest FROM sizes""")
 def d25_components(records: DataFrame) -> DataFrame:
     """Contracted first, so that components are found over paths and not over k-mers."""
     nodes, edges = _contracted(records)
@@ -387,7 +432,38 @@ def e9_pair_sums(records: DataFrame) -> DataFrame:
     return spectrum.pair_sums(_spectrum(records))
 
 
-@query("e11_library_estimates", "preprocessed_k")
+_RUNS = "runs AS (SELECT sample, k, used_min_count, genomic_peak, histovec FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY run_at DESC) AS rn FROM preprocessed_k) WHERE rn = 1)"
+_PAIRS = f"""{_RUNS}, names AS (SELECT sample, unnest(generate_series(1, 8000)) AS c FROM runs),
+given AS (SELECT sample, c, coalesce(histovec[c], 0)::BIGINT AS n FROM (SELECT sample, histovec, unnest(generate_series(1, len(histovec))) AS c FROM runs) WHERE c <= 8000),
+bins AS (SELECT x.sample, x.c, coalesce(n, 0) AS n FROM names x LEFT JOIN given g ON g.sample = x.sample AND g.c = x.c),
+occupied AS (SELECT sample, c, n, min(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(n, 1) OVER w AS n1, lead(n, 2) OVER w AS n2, lead(n, 3) OVER w AS n3
+  FROM bins WHERE c BETWEEN 2 AND 7999 AND n > 0 WINDOW w AS (PARTITION BY sample ORDER BY c)),
+seeds AS (SELECT sample, min(c) AS seed FROM occupied WHERE (before IS NULL OR n < before) AND n1 >= n AND n2 >= n AND n3 >= n GROUP BY sample),
+raw_peaks AS (SELECT sample, c AS rp FROM (SELECT b.sample, c, row_number() OVER (PARTITION BY b.sample ORDER BY n DESC, c) AS rn FROM bins b JOIN seeds s ON s.sample = b.sample AND c BETWEEN seed AND 7999 WHERE n > 0) WHERE rn = 1),
+raw AS (SELECT sample, c AS rv, rp FROM (SELECT b.sample, c, rp, row_number() OVER (PARTITION BY b.sample ORDER BY n, c) AS rn FROM bins b JOIN raw_peaks p ON p.sample = b.sample AND c BETWEEN 2 AND rp) WHERE rn = 1 AND c < rp),
+smooth AS (SELECT sample, c, n, CAST(floor(sum(n) OVER w / count(*) OVER w) AS BIGINT) AS s FROM bins WHERE c < 8000 WINDOW w AS (PARTITION BY sample ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+fine_valleys AS (SELECT sample, c AS sv FROM (SELECT b.sample, c, row_number() OVER (PARTITION BY b.sample ORDER BY s, abs(c - rv), c) AS rn FROM smooth b JOIN raw r ON r.sample = b.sample AND c BETWEEN 2 AND rp) WHERE rn = 1),
+fine_peaks AS (SELECT sample, c AS sp FROM (SELECT b.sample, c, row_number() OVER (PARTITION BY b.sample ORDER BY s DESC, abs(c - rp), c) AS rn FROM smooth b JOIN raw r ON r.sample = b.sample JOIN fine_valleys v ON v.sample = b.sample
+  WHERE n > 0 AND c >= greatest(rv, sv + 1) AND c <= 13 * rp // 10) WHERE rn = 1),
+primary_pairs AS (SELECT sample, 0 AS rank, CASE WHEN low OR sp IS NULL THEN rv ELSE sv END AS valley, CASE WHEN low OR sp IS NULL THEN rp ELSE sp END AS peak
+  FROM (SELECT r.*, rp < 15 AND rv < 15 AND rp - rv < 10 AS low, sv, sp FROM raw r LEFT JOIN fine_valleys v ON v.sample = r.sample LEFT JOIN fine_peaks p ON p.sample = r.sample)),
+local_valleys AS (SELECT sample, min(c) AS lv FROM (SELECT *, lag(n) OVER w AS a, lead(n) OVER w AS b FROM bins WINDOW w AS (PARTITION BY sample ORDER BY c)) WHERE c BETWEEN 2 AND 7998 AND n < a AND n < b GROUP BY sample),
+local_peaks AS (SELECT sample, lv, c AS lp FROM (SELECT b.sample, lv, c, row_number() OVER (PARTITION BY b.sample ORDER BY n DESC, c) AS rn FROM bins b JOIN local_valleys v ON v.sample = b.sample AND c > lv AND c <= 7999) WHERE rn = 1),
+tails AS (SELECT l.sample, lv, lp, sum(n) FILTER (WHERE c IN (lp, lp + 1)) AS t1, sum(n) FILTER (WHERE c IN (lp + 1, lp + 2)) AS t2, sum(n) FILTER (WHERE c IN (lp + 2, lp + 3)) AS t3 FROM local_peaks l JOIN bins b ON b.sample = l.sample GROUP BY ALL),
+pairs AS (SELECT * FROM primary_pairs UNION ALL SELECT sample, 1, lv, lp FROM tails WHERE lp + 3 <= 7999 AND t1 > t2 AND t2 > t3),
+facts AS (SELECT p.sample, rank, valley, peak, sum(n) FILTER (WHERE c BETWEEN valley AND 2 * peak - valley) / nullif(sum(n) FILTER (WHERE c >= 2), 0)::DOUBLE AS area,
+  sum(c * n) FILTER (WHERE c >= valley) / nullif(sum(c * n), 0)::DOUBLE AS above, max(n) FILTER (WHERE c = peak) AS high, max(n) FILTER (WHERE c = valley) AS low, sum(n) FILTER (WHERE c BETWEEN valley AND 7999) AS lobe
+  FROM pairs p JOIN bins b ON b.sample = p.sample GROUP BY ALL),
+accepted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY rank) AS rn FROM facts WHERE valley >= 2 AND peak > valley AND 2 * peak - valley <= 7999 AND area >= 0.05 AND above >= 0.20 AND high >= 1.75 * greatest(low, 1)) WHERE rn = 1),
+measured AS (SELECT a.sample, max(m) AS guard FROM (SELECT a.sample, b.c AS m, valley, peak, lobe, sum(n) OVER (PARTITION BY a.sample ORDER BY b.c) - n AS lost FROM accepted a JOIN bins b ON b.sample = a.sample AND b.c BETWEEN valley AND peak) a WHERE lost <= floor(lobe * 0.01) GROUP BY a.sample),
+poisson AS (SELECT sample, max(m) AS guard FROM (SELECT sample, x + 1 AS m, sum(exp(x * ln(peak) - peak - lgamma(x + 1))) OVER (PARTITION BY sample ORDER BY x) AS below FROM (SELECT sample, peak, unnest(generate_series(0, peak - 1)) AS x FROM accepted)) WHERE below <= 0.01 GROUP BY sample)"""
+
+
+@query("e11_library_estimates", "preprocessed_k", sql=f"""WITH {_PAIRS},
+medians AS (SELECT sample, min(c) AS median FROM (SELECT sample, c, sum(c * n) OVER (PARTITION BY sample ORDER BY c) AS upto, sum(c * n) OVER (PARTITION BY sample) AS whole FROM bins) WHERE whole > 0 AND 2 * upto >= whole GROUP BY sample)
+SELECT r.sample, r.k, CAST(a.valley AS INTEGER) AS valley, CAST(coalesce(a.peak, median) AS INTEGER) AS peak, CASE WHEN a.sample IS NOT NULL THEN 'Fitted' WHEN median IS NOT NULL THEN 'Fallback' ELSE 'Unknown' END AS peak_source, a.sample IS NOT NULL AS resolved,
+  CAST(CASE WHEN a.sample IS NULL THEN 2 ELSE greatest(2, least(valley, greatest(2, least(coalesce(m.guard, 2), coalesce(p.guard, 2))))) END AS INTEGER) AS min_count
+FROM runs r LEFT JOIN accepted a ON a.sample = r.sample LEFT JOIN measured m ON m.sample = r.sample LEFT JOIN poisson p ON p.sample = r.sample LEFT JOIN medians d ON d.sample = r.sample""")
 def e11_library_estimates(preprocessed: DataFrame) -> DataFrame:
     return libraries.library_estimates(preprocessed)
 
@@ -405,6 +481,26 @@ def e13_library_medians(preprocessed: DataFrame) -> DataFrame:
     return running.filter("upto * 2 >= whole").groupBy("sample").agg((F.min("i") + 1).alias("median"))
 
 
+_DENSITY = "exp(lgamma(c + {mean} / 5.0) - lgamma(c + 1) - lgamma({mean} / 5.0) - {mean} / 5.0 * ln(6.0) + c * ln(5.0 / 6.0))"
+
+
+@query("e14_e15_library_cutoffs", "preprocessed_k", sql=f"""WITH {_RUNS}, sized AS (SELECT sample, genomic_peak AS peak, coalesce(used_min_count, 2) AS given, genomic_peak + 5.0 AS mean, least(6 * genomic_peak, 7999) AS last,
+  list_sum(list_transform(list_slice(histovec, 1, least(6 * genomic_peak, 7999)), lambda x: coalesce(x, 0)))::DOUBLE AS seen FROM runs WHERE genomic_peak >= 2),
+grid AS (SELECT *, unnest(generate_series(0, last)) AS c FROM sized WHERE seen > 0),
+dense AS (SELECT *, {_DENSITY.format(mean='mean')} AS single, CASE WHEN c = 1 THEN 0.85 WHEN c > 1 THEN 0.15 * (pow(c - 1, -2.0) - pow(c, -2.0)) END AS error FROM grid),
+scaled AS (SELECT *, sum(single) FILTER (WHERE c >= 1) OVER w AS single_mass, sum(error) FILTER (WHERE c >= 1) OVER w AS error_mass FROM dense WINDOW w AS (PARTITION BY sample)),
+heights AS (SELECT *, seen * 0.19 * single / single_mass AS sh, seen * 0.8 * error / error_mass AS eh, seen * 0.19 / single_mass * sum(single) OVER (PARTITION BY sample ORDER BY c) AS lost FROM scaled),
+marks AS (SELECT sample, given, least(CAST(floor(mean + 0.5) AS BIGINT), last) AS ceiling, max(sh) FILTER (WHERE c = peak) AS mode_height FROM heights GROUP BY sample, given, mean, last),
+cuts AS (SELECT h.sample, m.given, greatest(min(c) FILTER (WHERE c BETWEEN 1 AND ceiling - 1 AND lost > 1), 2) AS hole, greatest(coalesce(max(c) FILTER (WHERE c >= 1 AND eh >= mode_height), 0) + 1, 2) AS floor,
+  greatest(min(c) FILTER (WHERE c BETWEEN 1 AND ceiling - 1 AND sh > eh), 2) AS crossover, min(c) FILTER (WHERE c BETWEEN 1 AND ceiling - 1 AND lost > 1) IS NULL AS no_hole, min(c) FILTER (WHERE c BETWEEN 1 AND ceiling - 1 AND sh > eh) IS NULL AS no_cross
+  FROM heights h JOIN marks m ON m.sample = h.sample GROUP BY h.sample, m.given)
+SELECT sample, CAST(CASE WHEN no_hole THEN NULL ELSE hole END AS INTEGER) AS hole_cutoff, CAST(floor AS INTEGER) AS error_floor, CAST(CASE WHEN no_cross THEN NULL ELSE crossover END AS INTEGER) AS crossover,
+  CAST(greatest(CASE WHEN no_hole THEN given ELSE least(given, hole) END, floor) AS INTEGER) AS guarded FROM cuts""")
+def e14_e15_library_cutoffs(preprocessed: DataFrame) -> DataFrame:
+    """The cutoffs of one model at every library's peak: 80 % errors with a power-law tail, 19 % single copies of dispersion 6, 1 % repeats."""
+    return libraries.library_cutoffs(preprocessed)
+
+
 @query("f1_mixture_fit", "read_records")
 def f1_mixture_fit(records: DataFrame) -> DataFrame:
     """Every converged fit of the reads' spectrum with its verdict; no row if no valley and peak separate."""
@@ -413,17 +509,24 @@ def f1_mixture_fit(records: DataFrame) -> DataFrame:
     rows = []
     if found.resolved:
         best, tried = mixture.fit_spectrum(h, found.valley, found.peak, found.dispersion, spark=records.sparkSession)
-        rows = [(f.error_model, f.genome_model, f.w_error, f.w_single, f.w_repeat, float(f.mean), f.mode, float(f.dispersion), f.bic, why or None, f is best) for f, why in tried]
-    return records.sparkSession.createDataFrame(rows, "error_model string, genome_model string, w_error double, w_single double, w_repeat double, mean double, mode int, dispersion double, bic double, rejection string, chosen boolean")
+        rows = [(*f.configuration.name, *(float(w) for w in f.weights), float(f.mean), f.mode, float(f.dispersion), f.bic, f.deviance, why or None, f is best) for f, why in tried]
+    return records.sparkSession.createDataFrame(rows, "error_model string, genome_model string, w_error double, w_single double, w_repeat double, mean double, mode int, dispersion double, bic double, deviance double, rejection string, chosen boolean")
 
 
 @query("g9_choice", "read_records")
 def g9_choice(records: DataFrame) -> DataFrame:
     counts = _counts(records)
-    choice = selection.choose({f: counting.dense(counting.histogram(counts, f"n_f{i}")) for i, f in enumerate(FLOORS)}, fitter=mixture.fitter(records.sparkSession))
+    choice = selection.choose(counting.floor_spectra(counts, FLOORS), fitter=mixture.fitter(records.sparkSession))
     return records.sparkSession.createDataFrame([(choice.floor, choice.min_count, choice.peak, choice.source, choice.unresolved)], "floor int, min_count int, peak int, source string, unresolved boolean")
 
 
+@query("g10_floor_totals", "read_records", sql=f"""WITH {_COUNTS}, """ + " UNION ALL ".join(["""spectra AS (SELECT 0 AS floor, n_f0 AS n FROM counts""", "SELECT 11, n_f1 FROM counts", "SELECT 25, n_f2 FROM counts)"]) + """
+SELECT CAST(floor AS INTEGER) AS floor, count(*) AS kmers, CAST(sum(n) AS BIGINT) AS windows FROM spectra WHERE n > 0 GROUP BY floor""")
+def g10_floor_totals(records: DataFrame) -> DataFrame:
+    """What every floor leaves; `selection.floor_report` fits each of these spectra."""
+    return counting.floor_totals(_counts(records), FLOORS)
+
+
 # H: graph
 
 
@@ -453,17 +556,9 @@ def h3_edges(records: DataFrame) -> DataFrame:
     return _named_graph(records)[1]
 
 
-@query("h4_lookup", "read_records", "contigs", sql=f"""WITH {_NODES}, {_CONTIGS}, q AS (SELECT DISTINCT left(seq, {K}) AS kmer FROM contigs_now WHERE length(seq) >= {K})
-SELECT q.kmer, v.o AS orient, CAST(n.n AS DOUBLE) AS cov FROM q JOIN view v ON v.s = q.kmer JOIN nodes n ON n.kmer = v.kmer""")
-def h4_lookup(records: DataFrame, contigs: DataFrame) -> DataFrame:
-    wanted = contigs_now(contigs).filter(F.length("seq") >= K).select(F.left("seq", F.lit(K)).alias("kmer")).distinct()
-    return graph.lookup(_nodes(records), wanted).select("kmer", "orient", "cov")
-
-
 @query("h4_window_lookup", "read_records", "contigs", sql=f"""WITH {_NODES}, {_CONTIGS}, {_CONTIG_WINDOWS}, q AS (SELECT DISTINCT s AS kmer FROM contig_windows)
 SELECT q.kmer, v.o AS orient, CAST(n.n AS DOUBLE) AS cov FROM q JOIN view v ON v.s = q.kmer JOIN nodes n ON n.kmer = v.kmer""")
 def h4_window_lookup(records: DataFrame, contigs: DataFrame) -> DataFrame:
-    """h4_lookup of the distinct windows of every contig, not only the first ones."""
     return graph.lookup(_nodes(records), _contig_windows(contigs).select(F.col("s").alias("kmer")).distinct()).select("kmer", "orient", "cov")
 
 
@@ -486,11 +581,9 @@ def h9_externals(records: DataFrame) -> DataFrame:
     return graph.externals(nodes, graph.overlap_edges(nodes, K)).join(nodes, "nid").select(F.col("seq").alias("kmer"), "orient", "exits")
 
 
-@query("h8_unitigs", "read_records")
+@query("h8_unitigs", "read_records", sql=f"{_UNITIGS} SELECT seq, n_kmers, round(mass / n_kmers::DOUBLE, 6) AS cov FROM unitigs")
 def h8_unitigs(records: DataFrame) -> DataFrame:
-    nodes = _nodes(records)
-    merged, _, _ = compact.contract(nodes, graph.without_self_loops(graph.overlap_edges(nodes, K)), K)
-    return merged.select(F.least("seq", dna.reverse_complement("seq")).alias("seq"), "n_kmers", "cov")
+    return _contracted(records)[0].select(F.least("seq", dna.reverse_complement("seq")).alias("seq"), "n_kmers", F.round("cov", 6).alias("cov"))
 
 
 @query("h8_simple_edges", "read_records", sql=f"""WITH {_EDGES}, e AS (SELECT * FROM edges WHERE src <> dst),
@@ -503,28 +596,63 @@ def h8_simple_edges(records: DataFrame) -> DataFrame:
     return _named(nodes, links.select(F.shiftright("u", 1).alias("src"), sign("u").alias("so"), F.shiftright("v", 1).alias("dst"), sign("v").alias("do")))
 
 
-def _contracted(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    nodes = _nodes(records)
+# Planted cases: the middle 300 bases of every current contig, if no 21-mer of theirs stands in another of these, at
+# coverage 20; and of coverage 1 a substitution, a branch of 30 other bases, and a link from each second contig to the next.
+_CORES = f"""{_CONTIGS}, cores AS (SELECT contig_id, substr(seq, length(seq) // 2 - 149, 300) AS c FROM contigs_now WHERE regexp_matches(seq, '^[ACGT]{{300,}}$')),
+core_kmers AS (SELECT contig_id, least(w, {_RC.format('w')}) AS m FROM (SELECT contig_id, substr(c, i, {K}) AS w FROM (SELECT *, unnest(generate_series(1, {301 - K})) AS i FROM cores))),
+planted AS (SELECT contig_id, c, row_number() OVER (ORDER BY contig_id) AS place FROM cores WHERE contig_id NOT IN (SELECT contig_id FROM core_kmers JOIN (SELECT m FROM core_kmers GROUP BY m HAVING count(*) > 1) USING (m)))"""
+
+
+def _cores(contigs: DataFrame) -> DataFrame:
+    """contig_id and c of the planted cases."""
+    seq = contigs_now(contigs).filter(F.col("seq").rlike("^[ACGT]{300,}$"))
+    cores = seq.select("contig_id", F.expr("substr(seq, div(length(seq), 2) - 149, 300)").alias("c"))
+    found = kmers.kmer_windows(cores.select(F.col("contig_id").alias("read_id"), F.col("c").alias("seq"), F.lit(None).cast("string").alias("qual")), K)
+    shared = found.groupBy("kmer").agg(F.count("*").alias("n"), F.collect_set("read_id").alias("ids")).filter("n > 1").select(F.explode("ids").alias("contig_id"))
+    return cores.join(shared.distinct(), "contig_id", "left_anti")
+
+
+def _planted(cores: DataFrame, weak: DataFrame, firm: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Contracted graph of the cores at coverage 20, the sequences ``weak`` (s) at 1 and ``firm`` ones at 10."""
+    both = cores.select(F.lit(20).cast("long").alias("read_id"), F.col("c").alias("seq")).union(weak.select(F.lit(1).cast("long"), "s"))
+    both = (both if firm is None else both.union(firm.select(F.lit(10).cast("long"), "s"))).withColumn("qual", F.lit(None).cast("string"))
+    counts = kmers.kmer_windows(both, K).groupBy("kmer").agg(F.sum("read_id").alias("n"))
+    nodes = graph.nodes_of(counts)
     nodes, edges, _ = compact.contract(nodes, graph.without_self_loops(graph.overlap_edges(nodes, K)), K)
     return nodes, graph.without_self_loops(edges)
 
 
-@query("h10_dead_ends", "read_records")
-def h10_dead_ends(records: DataFrame) -> DataFrame:
-    nodes, edges = _contracted(records)
-    return correct.dead_ends(nodes, edges, K, options.CorrectionOptions()).join(nodes, "nid").select("seq", "n_kmers", "cov")
+def _named_nodes(nids: DataFrame, nodes: DataFrame) -> DataFrame:
+    return nids.join(nodes, "nid").select(F.least("seq", dna.reverse_complement("seq")).alias("seq"), "n_kmers", "cov")
 
 
-@query("h17_bulges", "read_records")
-def h17_bulges(records: DataFrame) -> DataFrame:
-    nodes, edges = _contracted(records)
-    return correct.bulges(nodes, edges, K, options.CorrectionOptions()).join(nodes, "nid").select("seq", "n_kmers", "cov")
+@query("h10_dead_ends", "contigs", sql=f"""WITH {_CORES}, tips AS (SELECT substr(c, 181, 20) || translate(substr(c, 201, 30), 'ACGT', 'CATG') AS s FROM planted)
+SELECT least(s, {_RC.format('s')}) AS seq, CAST(30 AS BIGINT) AS n_kmers, 1.0::DOUBLE AS cov FROM tips""")
+def h10_dead_ends(contigs: DataFrame) -> DataFrame:
+    cores = _cores(contigs)
+    nodes, edges = _planted(cores, cores.select(F.concat(F.substring("c", 181, 20), F.translate(F.substring("c", 201, 30), "ACGT", "CATG")).alias("s")))
+    return _named_nodes(correct.dead_ends(nodes, edges, K, options.CorrectionOptions()), nodes)
 
 
-@query("h21_connectors", "read_records")
-def h21_connectors(records: DataFrame) -> DataFrame:
-    nodes, edges = _contracted(records)
-    return correct.connectors(nodes, edges, K, options.CorrectionOptions()).join(nodes, "nid").select("seq", "n_kmers", "cov")
+@query("h17_bulges", "contigs", sql=f"""WITH {_CORES}, detours AS (SELECT substr(c, 130, 20) || translate(substr(c, 150, 1), 'ACGT', 'CATG') || substr(c, 151, 20) AS s FROM planted)
+SELECT least(s, {_RC.format('s')}) AS seq, CAST({K} AS BIGINT) AS n_kmers, 1.0::DOUBLE AS cov FROM detours""")
+def h17_bulges(contigs: DataFrame) -> DataFrame:
+    cores = _cores(contigs)
+    nodes, edges = _planted(cores, cores.select(F.concat(F.substring("c", 130, 20), F.translate(F.substring("c", 150, 1), "ACGT", "CATG"), F.substring("c", 151, 20)).alias("s")))
+    return _named_nodes(correct.bulges(nodes, edges, K, options.CorrectionOptions()), nodes)
+
+
+@query("h21_connectors", "contigs", sql=f"""WITH {_CORES}, joined AS (SELECT substr(a.c, 131, 20) || substr(b.c, 151, 20) AS s FROM planted a JOIN planted b ON b.place = a.place + 1 AND a.place % 2 = 1
+  WHERE substr(a.c, 151, 1) <> substr(b.c, 151, 1) AND substr(a.c, 150, 1) <> substr(b.c, 150, 1))
+SELECT least(s, {_RC.format('s')}) AS seq, CAST(20 AS BIGINT) AS n_kmers, 1.0::DOUBLE AS cov FROM joined""")
+def h21_connectors(contigs: DataFrame) -> DataFrame:
+    cores = graph.consecutive(_cores(contigs).orderBy("contig_id"), "place")
+    pair = cores.select((F.col("place") - 1).alias("place"), F.col("c").alias("d"))
+    joined = cores.filter("place % 2 = 0").join(pair, "place").filter("substr(c, 151, 1) <> substr(d, 151, 1) and substr(c, 150, 1) <> substr(d, 150, 1)")
+    links = joined.select(F.concat(F.substring("c", 131, 20), F.substring("d", 151, 20)).alias("s"))
+    onward = cores.select(F.concat(F.substring("c", 210, 20), F.translate(F.substring("c", 230, 1), "ACGT", "CATG"), F.substring("c", 231, 20)).alias("s"))  # a link must lead to where it goes on
+    nodes, edges = _planted(cores, links, onward)
+    return _named_nodes(correct.connectors(nodes, edges, K, options.CorrectionOptions()), nodes)
 
 
 @query("h23_junctions", "read_records", sql=f"""WITH {_EDGES}, d AS (SELECT src, so, count(*) AS n FROM edges WHERE src <> dst GROUP BY 1, 2) SELECT DISTINCT src AS kmer FROM d WHERE n > 1""")
@@ -533,11 +661,18 @@ def h23_junctions(records: DataFrame) -> DataFrame:
     return graph.ambiguous(nodes, graph.overlap_edges(nodes, K)).join(nodes, "nid").select(F.col("seq").alias("kmer"))
 
 
-@query("h24_contigs", "read_records")
+@query("h24_contigs", "read_records", sql=f"""WITH RECURSIVE {_EDGES}, {_ONE.split(', one AS')[0]},
+junctions AS (SELECT DISTINCT src AS kmer FROM (SELECT src, so FROM e GROUP BY 1, 2 HAVING count(*) > 1)),
+simple AS (SELECT * FROM e WHERE src NOT IN (SELECT kmer FROM junctions) AND dst NOT IN (SELECT kmer FROM junctions)),
+walk AS (SELECT kmer AS head, o AS ho, kmer, o, 0 AS rank FROM view v WHERE kmer NOT IN (SELECT kmer FROM junctions) AND NOT EXISTS (SELECT 1 FROM simple s WHERE s.dst = v.kmer AND s.dor = v.o)
+  UNION ALL SELECT head, ho, s.dst, s.dor, rank + 1 FROM walk w JOIN simple s ON s.src = w.kmer AND s.so = w.o),
+{_SPELLED}
+SELECT seq, CAST(length(seq) AS INTEGER) AS len, round(mass / n_kmers::DOUBLE, 6) AS cov, 'path' AS kind FROM (SELECT DISTINCT least(seq, {_RC.format('seq')}) AS seq, n_kmers, mass FROM spelled)
+UNION ALL SELECT kmer, {K}, n::DOUBLE, 'junction' FROM nodes WHERE kmer IN (SELECT kmer FROM junctions)""")
 def h24_contigs(records: DataFrame) -> DataFrame:
     """Contigs of the uncorrected graph."""
     nodes = _nodes(records)
-    return compact.collapse(nodes, graph.paired(graph.overlap_edges(nodes, K)), K)
+    return compact.collapse(nodes, graph.paired(graph.overlap_edges(nodes, K)), K).withColumn("cov", F.round("cov", 6))
 
 
 @query("h27_spelled_reads", "read_records", sql=f"WITH {_READS} SELECT read_id, upper(seq) AS seq FROM reads WHERE regexp_matches(upper(seq), '^[ACGT]{{{K + 1},}}$')")
@@ -552,10 +687,21 @@ def h27_spelled_reads(records: DataFrame) -> DataFrame:
 # J: runs
 
 
-@query("j3_default_ladders", "read_records")
+@query("j3_default_ladders", "read_records", sql="""WITH n AS (SELECT DISTINCT CAST(length(seq) AS INTEGER) AS longest FROM read_records WHERE seq IS NOT NULL UNION SELECT unnest(generate_series(20, 301, 5))::INTEGER),
+steps AS (SELECT longest, least(longest - 10, 255) AS ceiling, list_filter(list_concat([21, 31, 41, 55, 71], generate_series(91, 255, 20)), lambda k: k <= least(longest - 10, 255)) AS below FROM n),
+ks AS (SELECT longest, ceiling, CASE WHEN len(below) = 0 THEN [21] ELSE below END AS ks, CASE WHEN ceiling % 2 = 0 THEN ceiling - 1 ELSE ceiling END AS top FROM steps)
+SELECT longest, CAST(CASE WHEN top > ks[len(ks)] AND (top - ks[len(ks)] >= 8 OR top = 255) THEN list_append(ks, top) ELSE ks END AS INTEGER[]) AS ks FROM ks""")
 def j3_default_ladders(records: DataFrame) -> DataFrame:
-    rows = [(n, options.default_ladder(n)) for n in range(20, 301, 5)]
-    return records.sparkSession.createDataFrame(rows, "longest int, ks array<int>")
+    """The ladder for every length that a read has, and some more."""
+    spark = records.sparkSession
+    lengths = records.filter("seq is not null").select(F.length("seq").alias("longest")).union(spark.range(20, 302, 5).select(F.col("id").cast("int"))).distinct()
+
+    def run(batches):
+        for batch in batches:
+            longest = batch.column(0)
+            yield pa.RecordBatch.from_arrays([longest, pa.array([options.default_ladder(n) for n in longest.to_pylist()], pa.list_(pa.int32()))], names=["longest", "ks"])
+
+    return lengths.mapInArrow(run, "longest int, ks array<int>")
 
 
 @query("j14_assembled", "read_records")
@@ -563,3 +709,15 @@ def j14_assembled(records: DataFrame) -> DataFrame:
     """All reads assembled at one k with chosen floor and cutoff, and corrected."""
     result = assemble.assemble(reads_of(records).select("read_id", "seq", "qual"), options.AssemblyOptions(k=K))
     return result.contigs
+
+
+@query("j12_ladder", "contigs", sql=f"WITH {_CORES} SELECT least(c, {_RC.format('c')}) AS seq, CAST(300 AS INTEGER) AS len FROM planted")
+def j12_ladder(contigs: DataFrame) -> DataFrame:
+    """A ladder of two ks over reads of the planted cases: from every fifth base 100 bases of both strands, an error in every
+    eighth read. Each case must come out as one contig."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(40))).alias("at")
+    cut = _cores(contigs).select("contig_id", "c", at).select("contig_id", "at", F.expr("substr(c, 5 * at + 1, 100)").alias("s"))
+    wrong = F.concat(F.left("s", F.lit(50)), F.translate(F.substring("s", 51, 1), "ACGT", "CATG"), F.right("s", F.lit(49)))
+    strands = F.array(F.struct(F.lit(0).alias("strand"), F.when(F.col("at") % 8 == 3, wrong).otherwise(F.col("s")).alias("seq")), F.struct(F.lit(1).alias("strand"), dna.reverse_complement("s").alias("seq")))
+    reads = cut.select("contig_id", "at", F.inline(strands)).select((F.col("contig_id") * 100 + F.col("at") * 2 + F.col("strand")).alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
+    return assemble.assemble(reads, options.AssemblyOptions(ks=(21, 31), min_count=2)).contigs.select("seq", "len")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 from .mixture import Fit, fit_spectrum
 from .spectrum import UNRESOLVED_MIN_COUNT, Estimate, estimate, last_open, occurrence_median, peak_source
@@ -109,6 +110,12 @@ def _preferred(verdicts: list[FloorVerdict]) -> FloorVerdict | None:
     return max(resolved, key=lambda v: (v.estimate.primary, v.peak, v.floor), default=None)
 
 
+def floor_rows(spark: SparkSession, verdicts: list[FloorVerdict]) -> DataFrame:
+    """Verdicts as a table, one row a floor."""
+    rows = [(v.floor, v.estimate.valley, v.estimate.peak, v.fit.mode if v.fit else None, v.min_count, v.error_tail, v.estimate.resolved) for v in verdicts]
+    return spark.createDataFrame(rows, "floor int, valley int, peak int, fitted_mode int, min_count int, error_tail double, resolved boolean")
+
+
 def choose(spectra: dict[int, np.ndarray], fixed_min_count: int | None = None, fitter: Callable = fit_spectrum, scale: float = 1.0) -> Choice:
     """Floor and cutoff from the spectrum of each floor.
 

@@ -17,7 +17,7 @@ from ..functions.numbers import poisson_cdf_below
 SMOOTH_REACH = 2
 CONFIRMING_BINS = 3
 RAW_PAIR_LIMIT, RAW_PAIR_GAP = 15, 10
-PEAK_REACH = 1.3
+PEAK_REACH = (13, 10)
 LEAST_AREA = 0.05
 LEAST_INSTANCES, LEAST_HEIGHT = 0.20, 1.75
 LOSS = 0.01
@@ -90,7 +90,7 @@ def refined_valley(h: np.ndarray, raw_valley: int, raw_peak: int) -> int:
 
 
 def refined_peak(h: np.ndarray, raw_valley: int, valley: int, raw_peak: int) -> int | None:
-    first, last = max(raw_valley, valley + 1), min(int(PEAK_REACH * raw_peak), last_open(h))
+    first, last = max(raw_valley, valley + 1), min(PEAK_REACH[0] * raw_peak // PEAK_REACH[1], last_open(h))
     c = np.arange(first, last + 1)
     c = c[h[c - 1] > 0]
     if not len(c):

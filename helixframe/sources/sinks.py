@@ -14,29 +14,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..operators.graph import consecutive
 
 LINE = 80
 REPORTED_BINS = 500
 
 
 def numbered(contigs: DataFrame, min_length: int) -> DataFrame:
-    """Contigs of at least ``min_length`` bases with consecutive numbers from 0, longest first, then by sequence.
-
-    The numbers come from a range sort and the sizes of its partitions, so no
-    task sees all contigs; the sorted rows are written down, as both passes
-    must see the same partitions.
-    """
-    spark = contigs.sparkSession
-    long = contigs.select("seq", F.length("seq").alias("len")).filter(F.col("len") >= min_length).orderBy(F.desc("len"), "seq")
-    placed = cut_lineage(long.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    sizes = sorted((r.p, r.n) for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect())
-    first, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, first))
-        first += n
-    offsets = spark.createDataFrame(rows, "p int, first long")
-    return placed.join(F.broadcast(offsets), "p").select((F.col("first") + F.col("i")).alias("number"), "seq", "len")
+    """Contigs of at least ``min_length`` bases with consecutive numbers from 0, longest first, then by sequence."""
+    long = contigs.select("seq", F.length("seq").alias("len")).filter(F.col("len") >= min_length)
+    return consecutive(long.orderBy(F.desc("len"), "seq")).select("number", "seq", "len")
 
 
 def fasta_records(contigs: DataFrame, min_length: int = 0, width: int = LINE) -> DataFrame:
@@ -47,14 +34,10 @@ def fasta_records(contigs: DataFrame, min_length: int = 0, width: int = LINE) ->
 
 def write_fasta(contigs: DataFrame, min_length: int, path: str, gzip: bool = False) -> int:
     """Write one FASTA file below ``path`` and return the number of records."""
-    records = fasta_records(contigs, min_length).cache()
-    try:
-        n = records.count()
-        lines = records.repartitionByRange(1, "number").sortWithinPartitions("number").select("value")
-        lines.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
-        return n
-    finally:
-        records.unpersist()
+    records = fasta_records(contigs, min_length)
+    lines = records.repartitionByRange(1, "number").sortWithinPartitions("number").select("value")
+    lines.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+    return records.count()
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
