@@ -40,7 +40,8 @@ EMAIL = re.compile(
     r"[A-Za-z0-9][\w-]*(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?|\s(?:DOT|dot)\s)[A-Za-z0-9][\w-]*)*"
     r"(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?|\s(?:DOT|dot)\s)[A-Za-z]{2,}(?![\w-])"
 )
-AT_SIGN = re.compile(r"@|[(\[{ ](?:at|AT)[)\]} ]")
+#: Without one of these there is no address.
+AT_SIGN = re.compile(r"[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:DOT|dot)\s")
 NUMBER = re.compile(r"(?<![\w@.,:/+#_-])(?:\+|\()?\d(?:(?:[ .\-/]|\) ?| \()?\d)+(?![\w@_])")
 CODE = re.compile(r"(?<![\w@.:/#-])(?:[A-Z]{1,3}-?\d[\dA-Z-]*\d[A-Z]?(?:-[A-Z])?|\d+-?[A-Z](?:\d[\dA-Z]*)?)(?![\w@-])")
 ADDRESSES = (
@@ -56,6 +57,8 @@ MISREAD = re.compile("([ÐÑ])([\u0080-¿€‚ƒ„…†‡ˆ‰Š‹Œ\u017d
 LOST, KEPT, MARK = "нёџэяѐ", "ааассс", "~"
 NAMES = re.compile(f"(?<!{INNER})(?=({TITLED})(?:([  ](?:[{UPPER}]\\.[  ]?)?|\\.[  ]|, )({TITLED})))")
 LOWER_TOKENS = re.compile(f"{TOKEN}+")
+#: What may stand directly before or behind a word.
+AROUND_WORDS = ".,;:!?()[]{}<>\"“”„‚‘’«»…|/*_#=+~–—·•"
 
 CANDIDATES = "doc_id long, text_key long, kind string, form string, start int, stop int, found string, instance string, partner string, l1 string, l2 string, r1 string"
 _NUMBERS = str.maketrans("123456789", "000000000")
@@ -76,21 +79,34 @@ class Trust:
 
 #: The layouts of numbers are few, so one that hardly occurs is no layout of its own.
 TRUST = {"phone": Trust(0.08, 3, 0.5, 2, 2e-3), "id_number": Trust(0.4, 3, 0.5, 2, 0.0), "address": Trust(0.3, 3, 0.5, 3, 0.0), "name": Trust(0.12, 3, 0.5, 2, 0.0)}
+#: Longest word that can be a pattern.
+MOST_WORD = 48
 #: Occurrences from which two words before a candidate are a pattern of their own.
 SUPPORT = 5
 
 
 def around(text: str, start: int, stop: int) -> tuple[str, str, str]:
-    """The word before, the two words before and the word after, in lower case with digits as 0; no letter: empty."""
-    before = text[max(0, start - 48) : start]
+    """The word before, the two words before and the word after on the same line, in lower case with digits as 0.
+
+    A word is a whole one between white space; one without a letter, with an @
+    or of more than MOST_WORD characters is no pattern and comes out empty, so
+    looking three such words far is enough.
+    """
+    before = text[max(0, start - 3 * MOST_WORD) : start]
     cut = max(before.rfind("\n"), before.rfind("\r"))
-    words = before[cut + 1 :].lower().translate(_NUMBERS).split()[-2:]
-    after = re.split(r"[\r\n]", text[stop : stop + 24].lower().translate(_NUMBERS), maxsplit=1)[0].split()[:1]
+    before = before[cut + 1 :] if cut >= 0 else before
+    words = before.lower().translate(_NUMBERS).split()[-2:]
+    after = text[stop : stop + MOST_WORD + 2].lstrip(" \t\u00a0\u3000")
+    right = ""
+    if after and after[0] not in "\r\n":
+        right = after.split(None, 1)[0].lower().translate(_NUMBERS).rstrip(".,;)")
     one = words[-1].lstrip("([<\"'") if words else ""
     two = " ".join(words).lstrip("([<\"'") if len(words) == 2 else ""
-    right = after[0].rstrip(".,;)") if after else ""
-    lettered = lambda s: s if "@" not in s and any(c.isalpha() for c in s) else ""
-    return lettered(one), lettered(two), lettered(right)
+    return _lettered(one, MOST_WORD), _lettered(two, 2 * MOST_WORD + 1), _lettered(right, MOST_WORD)
+
+
+def _lettered(s: str, most: int) -> str:
+    return s if s and len(s) <= most and "@" not in s and (s.isalpha() or any(map(str.isalpha, s))) else ""
 
 
 def layout(text: str) -> str:
@@ -139,10 +155,10 @@ def _style(a: str, b: str) -> str:
     return "T" if (a[:1].isupper() or a[:1] in "?\ufffd") and (b[:1].isupper() or b[:1] in "?\ufffd") and not b[1:].isupper() else ""
 
 
-def candidates_of(text: str, names: frozenset[str]) -> Iterator[tuple]:
-    """kind, form, start, stop, found, instance, partner, l1, l2, r1 of every candidate of one text."""
+def candidates_of(text: str) -> Iterator[tuple]:
+    """kind, form, start, stop, found, instance, partner, l1, l2, r1 of every candidate of one text but lower-case names."""
     taken: list[tuple[int, int]] = []
-    if AT_SIGN.search(text):
+    if "@" in text or AT_SIGN.search(text):
         for m in EMAIL.finditer(text):
             taken.append(m.span())
             yield "email", "", m.start(), m.end(), m.group(0), "", "", "", "", ""
@@ -181,7 +197,6 @@ def candidates_of(text: str, names: frozenset[str]) -> Iterator[tuple]:
                 yield "name", "initial", start, stop, text[start:stop], "", b.lower(), *around(text, start, stop)
         elif len(a) > 1 and len(b) > 1 and _style(a, b):
             yield "name", "full", start, stop, text[start:stop], a.lower(), b.lower(), *around(text, start, stop)
-    yield from lower_pairs(text, lambda a, b: a in names or b in names) if names else ()
 
 
 def lower_pairs(text: str, wanted: Callable[[str, str], bool]) -> Iterator[tuple]:
@@ -218,18 +233,18 @@ def _emitted(documents: DataFrame, rows_of: Callable[[str], Iterator[tuple]]) ->
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, CANDIDATES)
 
 
-def candidates(documents: DataFrame, seeds: frozenset[str]) -> DataFrame:
+def candidates(documents: DataFrame) -> DataFrame:
     """Every candidate of every text, with its place, instance class and patterns."""
-    lower = frozenset(seeds)
-    return _emitted(documents, lambda text: candidates_of(text, lower))
+    return _emitted(documents, candidates_of)
 
 
-def lower_names(documents: DataFrame, found: DataFrame, given: DataFrame, family: DataFrame) -> DataFrame:
-    """Every pair of lower-case words that is a given and a family name of these tables (instance), in the form of candidates().
+def lower_names(documents: DataFrame, found: DataFrame, given: DataFrame, family: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every pair of lower-case words that is a given and a family name of these tables (instance), in the form of
+    candidates(); and the ordinary words (instance) among the names.
 
-    Headlines and signs also teach ordinary words, so a word that stands in lower case more often than in the
-    names of ``found`` makes no pair. Tables of up to MOST_BROADCAST words are looked up while the texts are
-    read, larger ones joined by shuffle.
+    Headlines and signs also teach ordinary words: those that stand in lower case more often than in the names
+    of ``found``, and are none of the ``seeds`` (instance). They make no pair. Tables of up to MOST_BROADCAST
+    words are looked up while the texts are read, larger ones joined by shuffle.
     """
     def words(df: DataFrame) -> frozenset[str] | None:
         rows = df.select("instance").limit(MOST_BROADCAST + 1).collect()
@@ -239,7 +254,8 @@ def lower_names(documents: DataFrame, found: DataFrame, given: DataFrame, family
     both = None if firsts is None or lasts is None else firsts | lasts
 
     def rows_of(text: str) -> Iterator[tuple]:
-        seen = Counter(t for t in LOWER_TOKENS.findall(text) if both is None or t in both)
+        pieces = [w.strip(AROUND_WORDS) for w in text.split()]
+        seen = Counter(pieces if both is None else [w for w in pieces if w in both])
         for word, n in seen.items():
             if word.islower():
                 yield "word", "", n, 0, "", word, "", "", "", ""
@@ -251,11 +267,12 @@ def lower_names(documents: DataFrame, found: DataFrame, given: DataFrame, family
     lower = emitted.filter("kind = 'word'").groupBy("instance").agg(F.sum("start").alias("lower"))
     full = found.filter("kind = 'name' and form = 'full'")
     titled = full.select("instance").union(full.select("partner")).groupBy("instance").agg(F.count("*").alias("titled"))
-    names = cut_lineage(lower.join(titled, "instance").filter("lower <= titled").select("instance"))
+    met = cut_lineage(lower.join(titled, "instance"))
+    names = cut_lineage(met.filter("lower <= titled").select("instance").union(seeds.select("instance")).distinct())
     for table, column in ((given, "instance"), (family, "partner")):
         good = names.join(table.select("instance").distinct(), "instance", "left_semi")
         pairs = pairs.join(_small(good.withColumnRenamed("instance", column)), column, "left_semi")
-    return pairs
+    return pairs, met.filter("lower > titled").select("instance").join(_small(seeds.select("instance").distinct()), "instance", "left_anti")
 
 
 #: Tables of learnt words are broadcast up to this many rows, and joined by shuffle beyond it.
@@ -321,12 +338,11 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[Data
     return trusted, scores
 
 
-def learnt_names(found: DataFrame, scores: DataFrame, families: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+def learnt_names(found: DataFrame, scores: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The known given names, and the family names (instance): what follows one in the same style, and the listed ones."""
     given = cut_lineage(scores.filter("kind = 'name' and known").select("instance"))
     after = found.filter("kind = 'name' and form = 'full'").join(_small(given), "instance", "left_semi").select(F.col("partner").alias("instance")).distinct()
-    listed = found.sparkSession.createDataFrame([(f,) for f in sorted(families)], "instance string")
-    return given, cut_lineage(after.union(listed).distinct())
+    return given, cut_lineage(after.union(families.select("instance")).distinct())
 
 
 def accepted(found: DataFrame, frequent: DataFrame, trusted: DataFrame, scores: DataFrame, family: DataFrame) -> DataFrame:
@@ -398,27 +414,25 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_pii(documents: DataFrame, person_names: DataFrame, rounds: int = 3) -> DataFrame:
     """Every piece of personal information with its place: doc_id, text_key, start, stop, pii_type, pii_text.
 
-    ``person_names`` (kind, name) are the seeds; null names are ignored, and
-    their number must not exceed MOST_BROADCAST. Null and empty texts have
-    none. Places count in code points; no two overlap. Repeated rows of a
-    document give its pieces once; different texts under one doc_id each give
-    theirs. A null doc_id is kept. Texts are read whole, and the counts behind
-    the scores are those of the whole corpus.
+    ``person_names`` (kind, name) are the seeds; null names are ignored. Null
+    and empty texts have none. Places count in code points; no two overlap.
+    Repeated rows of a document give its pieces once; different texts under
+    one doc_id each give theirs. A null doc_id is kept. Texts are read whole,
+    and the counts behind the scores are those of the whole corpus.
     """
     spark = documents.sparkSession
-    rows = person_names.filter("name is not null").select("kind", F.lower("name").alias("name")).distinct().limit(MOST_BROADCAST + 1).collect()
-    if len(rows) > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} seed names")
-    given = frozenset(r.name for r in rows if r.kind == "given")
-    family = frozenset(r.name for r in rows if r.kind == "family")
-    found = cut_lineage(candidates(documents, given | family))
+    listed = cut_lineage(person_names.filter("name is not null and kind in ('given', 'family')").select("kind", F.lower("name").alias("instance")).distinct())
+    families = listed.filter("kind = 'family'").select("instance")
+    found = cut_lineage(candidates(documents))
     edges, frequent = _edges(found)
     edges = cut_lineage(edges)
-    words = spark.createDataFrame([("name", n) for n in sorted(given)] + [("address", w) for w in STREET_WORDS], "kind string, instance string")
+    words = listed.filter("kind = 'given'").select(F.lit("name").alias("kind"), "instance").union(spark.createDataFrame([("address", w) for w in STREET_WORDS], "kind string, instance string"))
     international = edges.filter("kind = 'phone' and instance like '+%'").select("kind", "instance").distinct()
     trusted, scores = bootstrap(edges, words.union(international), rounds)
-    learnt, families = learnt_names(found, scores, family)
-    found = found.unionByName(lower_names(documents, found, learnt, families))
+    learnt, families = learnt_names(found, scores, families)
+    lower, ordinary = lower_names(documents, found, learnt, families, listed)
+    scores = scores.join(_small(ordinary.withColumn("kind", F.lit("name"))), ["kind", "instance"], "left_anti")
+    found = found.unionByName(lower)
     spans = accepted(found, frequent, trusted, scores, families).withColumnRenamed("found", "pii_text").distinct()
     spans = spans.repartition("doc_id").sortWithinPartitions("doc_id", "text_key", "start", "rank", F.desc("stop"))
     return spans.select("doc_id", "text_key", "start", "stop", "pii_type", "pii_text").mapInArrow(_settle, SPANS)
