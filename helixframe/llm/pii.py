@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .places import LEAST_CODE, LEAST_CODE_DIGITS, LEAST_DIGITS, Places
+from .text import in_chunks
 
 # Seeds.
 OFFICIAL_WORDS = ("passport", "reisepass", "passeport", "pasaporte", "паспорт", "ssn", "security", "identity", "national", "card no", "ausweis", "steuer-id", "identité", "sociale", "dni", "nie", "nif", "seguridad", "снилс", "инн", "マイナンバー", "個人番号", "旅券")
@@ -33,6 +35,8 @@ UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻ
 #: A character of a name: no white space, digit, punctuation, kana or ideograph; misread characters count.
 INNER = "[^\\s\\d!-&(-,./:-@\\[-`{-~\u0080- «»‐-⁯₠-₿←-⇿　-鿿＀-￯€£]"
 TOKEN = f"(?:[ÃÂ][\u0080-¿]|{INNER}|\\?(?=[a-zà-ÿ]))"
+#: What a word in title case can begin with.
+TITLE_STARTS = UPPER + "\ufffd?Ã"
 TITLED = f"(?:Ã[\u0080-¿]|[{UPPER}\ufffd]|\\?(?=[a-zà-ÿ])){TOKEN}*"
 
 EMAIL = re.compile(
@@ -51,6 +55,7 @@ ADDRESSES = (
     ("first", re.compile(f"(?<![\\w-])([{UPPER}]{INNER}*/|{TITLED}\\.?) (?:de la |del |de los |de las |de |der |dem )?{TITLED}(?: {TITLED})?,? (?:n\\.º |nº )?\\d{{1,4}}(?: ?[a-z](?![\\w.]))?(?![\\w.,]?\\d|\\w)")),
     ("first", re.compile(f"(?<![\\w-])([а-яё]+\\.?) [А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+)?, (?:д\\. ?)?\\d{{1,4}}[а-я]?(?:, (?:кв\\. ?)\\d+)?(?!\\w)")),
 )
+MAY_BE_CYRILLIC = re.compile("[а-яё]")
 #: Cyrillic letters read as two characters of windows-1252; the second may be lost.
 MISREAD = re.compile("([ÐÑ])([\u0080-¿€‚ƒ„…†‡ˆ‰Š‹Œ\u017d‘’“”•–—˜™š›œ\u017eŸ\ufffd])")
 #: Letters that look the same after that loss, by the first of them: keys of misread candidates start with MARK and hold these.
@@ -94,19 +99,22 @@ def around(text: str, start: int, stop: int) -> tuple[str, str, str]:
     """
     before = text[max(0, start - 3 * MOST_WORD) : start]
     cut = max(before.rfind("\n"), before.rfind("\r"))
-    before = before[cut + 1 :] if cut >= 0 else before
-    words = before.lower().translate(_NUMBERS).split()[-2:]
+    words = _folded((before[cut + 1 :] if cut >= 0 else before).rsplit(None, 2)[-2:])
     after = text[stop : stop + MOST_WORD + 2].lstrip(" \t\u00a0\u3000")
     right = ""
     if after and after[0] not in "\r\n":
-        right = after.split(None, 1)[0].lower().translate(_NUMBERS).rstrip(".,;)")
+        right = _folded(after.split(None, 1)[:1])[0].rstrip(".,;)")
     one = words[-1].lstrip("([<\"'") if words else ""
-    two = " ".join(words).lstrip("([<\"'") if len(words) == 2 else ""
-    return _lettered(one, MOST_WORD), _lettered(two, 2 * MOST_WORD + 1), _lettered(right, MOST_WORD)
+    two = " ".join(words).lstrip("([<\"'") if len(words) == 2 and max(map(len, words)) <= MOST_WORD else ""
+    return _lettered(one), _lettered(two), _lettered(right)
 
 
-def _lettered(s: str, most: int) -> str:
-    return s if s and len(s) <= most and "@" not in s and (s.isalpha() or any(map(str.isalpha, s))) else ""
+def _folded(words: list[str]) -> list[str]:
+    return [w.lower() if w.isalpha() else w.lower().translate(_NUMBERS) for w in words]
+
+
+def _lettered(s: str) -> str:
+    return s if s and len(s) <= 2 * MOST_WORD + 1 and (" " in s or len(s) <= MOST_WORD) and "@" not in s and (s.isalpha() or any(map(str.isalpha, s))) else ""
 
 
 def layout(text: str) -> str:
@@ -155,36 +163,61 @@ def _style(a: str, b: str) -> str:
     return "T" if (a[:1].isupper() or a[:1] in "?\ufffd") and (b[:1].isupper() or b[:1] in "?\ufffd") and not b[1:].isupper() else ""
 
 
-def candidates_of(text: str) -> Iterator[tuple]:
-    """kind, form, start, stop, found, instance, partner, l1, l2, r1 of every candidate of one text but lower-case names."""
+def address_matches(text: str, houses: list[tuple]) -> Iterator[tuple[str, re.Match]]:
+    """The matches of every address pattern at the house numbers of one text, none of a pattern overlapping."""
+    done = [0] * len(ADDRESSES)
+    cyrillic = MAY_BE_CYRILLIC.search(text) is not None if houses else False
+    for start, end, back, follows, leads in houses:
+        for i, (how, pattern) in enumerate(ADDRESSES):
+            if how in ("last", "lower"):
+                m = pattern.match(text, start) if follows and start >= done[i] else None
+            elif not leads or (i == len(ADDRESSES) - 1 and not cyrillic):
+                continue
+            else:
+                stop = len(text) if i == len(ADDRESSES) - 1 else end + 6
+                m = pattern.search(text, max(back, done[i]), stop)
+                m = m if m and m.start() < start <= m.end() else None
+            if m:
+                done[i] = m.end()
+                yield how, m
+
+
+def candidates_of(text: str, places: Places | None = None, number: int = 0) -> Iterator[tuple]:
+    """kind, form, start, stop, found, instance, partner, l1, l2, r1 of every candidate of one text but lower-case names;
+    ``places`` are those of a batch in which the text has this number."""
+    places = places or Places([text], TITLE_STARTS, INNER)
     taken: list[tuple[int, int]] = []
     if "@" in text or AT_SIGN.search(text):
         for m in EMAIL.finditer(text):
             taken.append(m.span())
             yield "email", "", m.start(), m.end(), m.group(0), "", "", "", "", ""
     free = lambda s, e: all(e <= a or b <= s for a, b in taken)
-    for how, pattern in ADDRESSES:
-        for m in pattern.finditer(text):
-            yield "address", how, m.start(), m.end(), m.group(0), street_class(how, m), "", *around(text, m.start(), m.end())
-            words = m.group(0).split(" ")
-            if how == "last" and len(words) > 3 and words[3] != "Apt":  # the address may end before the last word
-                head = " ".join(words[:3])
-                yield "address", "head", m.start(), m.start() + len(head), head, words[2].lower(), "", *around(text, m.start(), m.start() + len(head))
+    for how, m in address_matches(text, places.houses[number]):
+        yield "address", how, m.start(), m.end(), m.group(0), street_class(how, m), "", *around(text, m.start(), m.end())
+        words = m.group(0).split(" ")
+        if how == "last" and len(words) > 3 and words[3] != "Apt":  # the address may end before the last word
+            head = " ".join(words[:3])
+            yield "address", "head", m.start(), m.start() + len(head), head, words[2].lower(), "", *around(text, m.start(), m.start() + len(head))
     if MISREAD.search(text):
         yield from misread_addresses(text)
-    for m in NUMBER.finditer(text):
-        digits = sum(c.isdigit() for c in m.group(0))
-        if digits >= 7 and free(*m.span()):
-            sides = around(text, m.start(), m.end())
-            yield "number", "", m.start(), m.end(), m.group(0), layout(m.group(0)), "", *sides
-            for cut in re.finditer(" ", m.group(0)):  # the number may end before what the run goes on with
-                head = m.group(0)[: cut.start()]
-                if sum(c.isdigit() for c in head) >= 7:
-                    yield "number", "head", m.start(), m.start() + len(head), head, layout(head), "", *sides
-    for m in CODE.finditer(text):
-        if len(m.group(0)) >= 8 and sum(c.isdigit() for c in m.group(0)) >= 6 and free(*m.span()):
-            yield "number", "code", m.start(), m.end(), m.group(0), layout(m.group(0)), "", *around(text, m.start(), m.end())
-    for m in NAMES.finditer(text):
+    for first, last in places.numbers[number]:
+        for m in NUMBER.finditer(text, max(first - 1, 0), last + 1):
+            digits = sum(c.isdigit() for c in m.group(0))
+            if digits >= LEAST_DIGITS and free(*m.span()):
+                sides = around(text, m.start(), m.end())
+                yield "number", "", m.start(), m.end(), m.group(0), layout(m.group(0)), "", *sides
+                for cut in re.finditer(" ", m.group(0)):  # the number may end before what the run goes on with
+                    head = m.group(0)[: cut.start()]
+                    if sum(c.isdigit() for c in head) >= LEAST_DIGITS:
+                        yield "number", "head", m.start(), m.start() + len(head), head, layout(head), "", *sides
+    for first, last in places.codes[number]:
+        for m in CODE.finditer(text, first, last + 1):
+            if len(m.group(0)) >= LEAST_CODE and sum(c.isdigit() for c in m.group(0)) >= LEAST_CODE_DIGITS and free(*m.span()):
+                yield "number", "code", m.start(), m.end(), m.group(0), layout(m.group(0)), "", *around(text, m.start(), m.end())
+    for (at,) in places.names[number]:
+        m = NAMES.match(text, at)
+        if not m:
+            continue
         a, gap, b = m.group(1), m.group(2), m.group(3)
         start, stop = m.start(1), m.end(3)
         if gap == ", ":
@@ -210,8 +243,9 @@ def lower_pairs(text: str, wanted: Callable[[str, str], bool]) -> Iterator[tuple
                 yield "name", "lower", x.start(), y.end(), text[x.start() : y.end()], given, family, *around(text, x.start(), y.end())
 
 
-def _emitted(documents: DataFrame, rows_of: Callable[[str], Iterator[tuple]]) -> DataFrame:
-    """The candidates that ``rows_of`` gives for every text, with the document they belong to."""
+def _emitted(documents: DataFrame, rows_of: Callable[..., Iterator[tuple]], placed: bool = False) -> DataFrame:
+    """The candidates that ``rows_of`` gives for every text, with the document they belong to; ``placed`` hands it the places of
+    its batch."""
     names = ("kind", "form", "start", "stop", "found", "instance", "partner", "l1", "l2", "r1")
     types = (pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6)
 
@@ -220,11 +254,14 @@ def _emitted(documents: DataFrame, rows_of: Callable[[str], Iterator[tuple]]) ->
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 owner, rows = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    if text:
-                        for row in rows_of(text):
-                            owner.append(i)
-                            rows.append(row)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for a, b in in_chunks(texts):
+                    places = Places(texts[a:b], TITLE_STARTS, INNER) if placed else None
+                    for i in range(a, b):
+                        if texts[i]:
+                            for row in rows_of(texts[i], places, i - a) if placed else rows_of(texts[i]):
+                                owner.append(i)
+                                rows.append(row)
                 columns = list(zip(*rows)) if rows else [[]] * len(names)
                 ids = part.column(0).take(pa.array(owner, pa.int64())).cast(pa.int64())
                 keys = part.column(2).take(pa.array(owner, pa.int64()))
@@ -235,7 +272,7 @@ def _emitted(documents: DataFrame, rows_of: Callable[[str], Iterator[tuple]]) ->
 
 def candidates(documents: DataFrame) -> DataFrame:
     """Every candidate of every text, with its place, instance class and patterns."""
-    return _emitted(documents, candidates_of)
+    return _emitted(documents, candidates_of, True)
 
 
 def lower_names(documents: DataFrame, found: DataFrame, given: DataFrame, family: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,3 +93,36 @@ def test_addresses_behind_a_cue(spark, frames):
     found = {(r.doc_id, r.pii_text) for r in pii.find_pii(frames[0].union(spark.createDataFrame(docs, DOCS)), frames[1]).filter("pii_type = 'address' and doc_id between 3000 and 3099").collect()}
     assert {(3000, "12 Beech Gasse"), (3002, "Caldmarenweg 8"), (3001, "7 Gate Road"), (3003, wrong.split(" ", 1)[1])} <= found
     assert not [t for i, t in found if i == 3001 and t != "7 Gate Road"]
+
+
+def plain_scan(text):
+    """Every match of the patterns, tried at every character."""
+    found = {("address", how, *m.span()) for how, p in pii.ADDRESSES for m in p.finditer(text)}
+    found |= {("number", *m.span()) for m in pii.NUMBER.finditer(text) if sum(c.isdigit() for c in m.group(0)) >= 7}
+    found |= {("code", *m.span()) for m in pii.CODE.finditer(text) if len(m.group(0)) >= 8 and sum(c.isdigit() for c in m.group(0)) >= 6}
+    return found | {("name", m.start()) for m in pii.NAMES.finditer(text)}
+
+
+def placed_scan(text, places, i):
+    found = {("address", how, *m.span()) for how, m in pii.address_matches(text, places.houses[i])}
+    found |= {("number", *m.span()) for a, b in places.numbers[i] for m in pii.NUMBER.finditer(text, max(a - 1, 0), b + 1) if sum(c.isdigit() for c in m.group(0)) >= 7}
+    found |= {("code", *m.span()) for a, b in places.codes[i] for m in pii.CODE.finditer(text, a, b + 1) if len(m.group(0)) >= 8 and sum(c.isdigit() for c in m.group(0)) >= 6}
+    return found | {("name", at) for (at,) in places.names[i] if pii.NAMES.match(text, at)}
+
+
+def test_places_miss_no_match():
+    r = random.Random(9)
+    parts = ["Anna", "ZOË", "Norlin", "o'Neil", "rue", "de la", "Gate", "Road", "Beethovenstraße", "Hauptstr.", "ул.", "Речная", "д.", "кв.", "Nº", "n.º", "nº", "12", "7", "1234", "12345", "007", "+49", "(030)", "555-0162", "C49886851", "QZ-107-9789", "bis", "Apt", "Ã\x84lva", "?lena", "�lva", "東京都", "９９", ",", ".", "-", "/", "\n", "\r\n", " ", "a@b.example", "x", "D.", "Calle", "Mayor,", "é", "MÜLLER"]
+    texts = ["", "7", " ", "Anna Norlin", "12 Gate Road"] + ["".join(r.choice(parts) + r.choice([" ", " ", " ", "", ", ", ". "]) for _ in range(r.randrange(1, 60))) for _ in range(1500)] + corpus()
+    places = pii.Places(texts, pii.TITLE_STARTS, pii.INNER)
+    for i, text in enumerate(texts):
+        assert placed_scan(text, places, i) == plain_scan(text), text
+
+
+def test_words_around():
+    text = "Tel. of the office: 0123 (day) and " + "x" * 60 + " mail \r\nnext"
+    at = text.index("0123")
+    assert pii.around(text, at, at + 4) == ("office:", "the office:", "(day")
+    assert pii.around(text, 0, 3) == ("", "", "") and pii.around(text, text.index("mail"), text.index("mail") + 4) == ("", "", "")
+    assert pii.around("call x1y9 a@b 77 5", 14, 16)[:2] == ("", "")  # an address is no pattern, a number neither
+    assert pii.around("A B C", 4, 5) == ("b", "a b", "")
