@@ -38,7 +38,19 @@ def p1_found(contigs: DataFrame) -> DataFrame:
     return splitting.oversized(contigs)
 
 
-@query("p1_pieces", "contigs")
+_NEXT = "coalesce(list_max(list_filter(bounds, lambda x: x > {at} AND x <= {at} + most)), least({at} + most, total))"
+
+
+@query("p1_pieces", "contigs", sql=f"""WITH RECURSIVE newest AS (SELECT contig_id, k, sample, serialized_contigs AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY written_at DESC NULLS LAST) AS rn FROM contigs) WHERE rn = 1),
+flat AS (SELECT contig_id, k, sample, flatten(list_transform(nodes, lambda n: coalesce(n.abs_ind, []))) AS hashes, greatest(1000 - (coalesce(k, 1) - 1), 1) AS most FROM newest),
+steps AS (SELECT contig_id, i, sum(coalesce(len(nodes[i].abs_ind), 0)) OVER (PARTITION BY contig_id ORDER BY i) AS bound FROM (SELECT contig_id, nodes, unnest(generate_series(1, len(nodes))) AS i FROM newest)),
+walks AS (SELECT f.*, len(hashes) AS total, list_prepend(0, b.bounds) AS bounds FROM flat f JOIN (SELECT contig_id, list(CAST(bound AS BIGINT) ORDER BY i) AS bounds FROM steps GROUP BY contig_id) b ON b.contig_id = f.contig_id WHERE len(hashes) > 0),
+cuts AS (SELECT contig_id, 0 AS no, CAST(0 AS BIGINT) AS a, {_NEXT.format(at='0')} AS b FROM walks
+  UNION ALL SELECT c.contig_id, no + 1, c.b, {_NEXT.format(at='c.b')} FROM cuts c JOIN walks w ON w.contig_id = c.contig_id WHERE c.b < total),
+ended AS (SELECT c.*, CASE WHEN b = total THEN 'end' WHEN list_contains(bounds, b) THEN 'border' ELSE 'inside' END AS ends FROM cuts c JOIN walks w ON w.contig_id = c.contig_id)
+SELECT c.contig_id, k, sample, CAST(no AS INTEGER) AS piece_no, CAST(count(*) OVER (PARTITION BY c.contig_id) AS INTEGER) AS n_pieces, a AS from_kmer, CAST(b AS BIGINT) AS to_kmer,
+  CAST(len(list_filter(bounds, lambda x: x <= a)) - 1 AS INTEGER) AS first_node, CAST(len(list_filter(bounds, lambda x: x < b)) - 1 AS INTEGER) AS last_node, CAST(b - a + coalesce(k, 1) - 1 AS BIGINT) AS bases, ends,
+  bool_or(ends = 'inside') OVER (PARTITION BY c.contig_id) AS inside, list_slice(hashes, a + 1, b) AS kmers FROM ended c JOIN walks w ON w.contig_id = c.contig_id""")
 def p1_pieces(contigs: DataFrame) -> DataFrame:
     return splitting.split_walks(contigs, with_kmers=True)
 

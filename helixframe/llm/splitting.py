@@ -2,14 +2,15 @@
 
 A contig is a walk of nodes, each holding some k-mers; ``n`` consecutive
 k-mers spell ``n + k - 1`` bases. A walk is cut into consecutive k-mer ranges,
-so that each piece spells at most ``limit`` bases and shares its first
-``k - 1`` bases with the end of the one before; cuts fall between nodes
+so that each piece spells at most ``limit`` bases and shares ``overlap`` bases,
+``k - 1`` at least, with the end of the one before; cuts fall between nodes
 wherever the limit allows, and inside a node only if that node alone exceeds
 the limit.
 
 Method: every position where a cut may fall is joined to its farthest legal
-successor; the successor table is then squared again and again, which marks
-all cuts of all walks of a batch in a logarithmic number of vector steps.
+successor, the overlap included; the successor table is then squared again and
+again, which marks all cuts of all walks of a batch in a logarithmic number of
+vector steps.
 """
 
 from __future__ import annotations
@@ -29,32 +30,35 @@ PIECES = (
 )
 
 
-def cut_positions(lengths: np.ndarray, offsets: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_positions(lengths: np.ndarray, offsets: np.ndarray, most: np.ndarray, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All greedy cuts of many walks at once.
 
     ``lengths`` are the node sizes of all walks one after another, ``offsets``
     the walks' bounds in it, ``most`` the k-mers that fit into a piece of each
-    walk. Returns walk number, position in k-mers and whether the position is
-    a node boundary, for every cut including the walks' starts and ends.
+    walk, ``again`` those of them that repeat the piece before. Returns walk
+    number, position in k-mers and whether the position is a node boundary,
+    for every cut including the walks' starts and ends.
     """
     walks = len(offsets) - 1
     counts = np.diff(offsets)
     walk_of = np.repeat(np.arange(walks), counts)
+    later = most - (again if again is not None else 0)  # what a piece behind the first one adds
     run = np.concatenate(([0], np.cumsum(lengths)))
     totals = run[offsets[1:]] - run[offsets[:-1]]
     # walks lie on one axis, so far apart that no step leads from one into the next
     base = np.concatenate(([0], np.cumsum(totals + most + 1)))[:-1]
     starts = base[walk_of] + run[:-1] - run[offsets[:-1]][walk_of]
     natural = np.unique(np.concatenate((base, starts, starts + lengths)))
-    fits = most[walk_of]
-    extra = np.where(lengths > fits, (lengths - 1) // fits, 0)
+    step = later[walk_of]
+    first = np.where(starts == base[walk_of], most[walk_of], step)
+    extra = np.where(lengths > first, (lengths - first - 1) // step + 1, 0)
     big = np.repeat(np.arange(len(lengths)), extra)
-    step = np.arange(len(big)) - np.repeat(np.cumsum(extra) - extra, extra) + 1
-    inner = starts[big] + step * fits[big]
+    number = np.arange(len(big)) - np.repeat(np.cumsum(extra) - extra, extra)
+    inner = starts[big] + first[big] + number * step[big]
     points = np.union1d(natural, inner)
     owner = np.searchsorted(base, points, "right") - 1
 
-    far = points + most[owner]
+    far = points + np.where(points == base[owner], most[owner], later[owner])
     last = natural[np.searchsorted(natural, far, "right") - 1]
     ends = base + totals
     target = np.where(last > points, last, np.minimum(far, ends[owner]))
@@ -75,17 +79,19 @@ def cut_positions(lengths: np.ndarray, offsets: np.ndarray, most: np.ndarray) ->
     return walk, cuts - base[walk], is_natural
 
 
-def _cut_batches(limit: int, with_kmers: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut_batches(limit: int, with_kmers: bool, overlap: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, k = batch.column("contig_id"), batch.column("k")
         offsets, _, flat = flat_lists(batch.column("sizes"))
         sizes = ints(flat)
         ks = ints(k, 1)
         most = np.maximum(limit - (ks - 1), 1)
-        walk, pos, natural = cut_positions(sizes, offsets, most)
+        again = np.clip((overlap or 0) - (ks - 1), 0, most - 1)
+        walk, pos, natural = cut_positions(sizes, offsets, most, again)
         same = walk[1:] == walk[:-1]
         left = np.flatnonzero(same)
         owner, begin, end = walk[left], pos[left], pos[left + 1]
+        begin = np.maximum(begin - again[owner], 0)
         n_pieces = np.bincount(owner, minlength=batch.num_rows)
         first_piece = np.cumsum(n_pieces) - n_pieces
         number = np.arange(len(owner)) - first_piece[owner]
@@ -113,14 +119,16 @@ def _cut_batches(limit: int, with_kmers: bool) -> Callable[[Iterator[pa.RecordBa
         if with_kmers:
             _, _, nodes = flat_lists(batch.column("walk"))
             _, _, kmers = flat_lists(nodes)
-            bounds = np.concatenate((begin + shift, [len(kmers)])).astype(np.int32)
-            columns["kmers"] = pa.ListArray.from_arrays(pa.array(bounds), kmers)
+            sizes_out = end - begin
+            bounds = np.concatenate(([0], np.cumsum(sizes_out)))
+            at = np.repeat(begin + shift - bounds[:-1], sizes_out) + np.arange(bounds[-1])
+            columns["kmers"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), kmers.take(pa.array(at)))
         return pa.RecordBatch.from_pydict(columns)
 
     return lambda batches: (cut(b) for b in batches if b.num_rows)
 
 
-def split_walks(contigs: DataFrame, limit: int = 1000, with_kmers: bool = False) -> DataFrame:
+def split_walks(contigs: DataFrame, limit: int = 1000, with_kmers: bool = False, overlap: int | None = None) -> DataFrame:
     """Pieces of at most ``limit`` bases of the current version of every walk.
 
     One row for each piece in walk order; a walk within the limit is one
@@ -129,6 +137,10 @@ def split_walks(contigs: DataFrame, limit: int = 1000, with_kmers: bool = False)
     nodes, ``inside`` one, or ``end`` of the walk. With ``with_kmers`` the
     piece's k-mer hashes come along; put together in order they are the walk.
 
+    Consecutive pieces share ``overlap`` bases; None, and anything below k-1,
+    stands for the k-1 bases that no cut between k-mers can avoid. A piece
+    always goes at least one k-mer beyond the one before.
+
     Of several rows of one contig_id the one with the latest written_at holds
     (nulls are oldest; repeated rows count once; of different rows with equal
     written_at the greatest in (k, sample, sizes) holds). Rows with null
@@ -139,6 +151,8 @@ def split_walks(contigs: DataFrame, limit: int = 1000, with_kmers: bool = False)
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
+    if overlap is not None and not 0 <= overlap < limit:
+        raise ValueError("the overlap must be shorter than the limit")
     hashes = F.col("serialized_contigs.abs_ind")
     sizes = F.coalesce(F.transform(hashes, lambda a: F.coalesce(F.size(a), F.lit(0))), F.array().cast("array<int>"))
     kept = [F.col("written_at"), F.col("k"), F.col("sample"), sizes.alias("sizes")]
@@ -147,7 +161,7 @@ def split_walks(contigs: DataFrame, limit: int = 1000, with_kmers: bool = False)
     current = contigs.select("contig_id", F.struct(*kept).alias("row")).groupBy("contig_id").agg(F.max("row").alias("row")).select("contig_id", "row.*")
     current = current.filter(F.exists("sizes", lambda n: n > 0)).drop("written_at")
     schema = PIECES + (", kmers array<long>" if with_kmers else "")
-    return current.mapInArrow(_cut_batches(limit, with_kmers), schema)
+    return current.mapInArrow(_cut_batches(limit, with_kmers, overlap), schema)
 
 
 def oversized(contigs: DataFrame, limit: int = 1000) -> DataFrame:

@@ -30,6 +30,35 @@ def test_cuts_match_greedy():
         assert pos[walk == i].tolist() == greedy(w, most[i])
 
 
+def test_cuts_with_an_overlap_match_greedy():
+    r = random.Random(4)
+    walks = [[r.choice([1, 2, 5, 9, 10, 11, 30, 95]) for _ in range(r.randrange(1, 40))] for _ in range(200)]
+    most = np.array([r.choice([2, 10, 17, 100]) for _ in walks])
+    again = np.array([r.randrange(m) for m in most])
+    offsets = np.cumsum([0, *map(len, walks)])
+    walk, pos, _ = cut_positions(np.array([s for w in walks for s in w]), offsets, most, again)
+    for i, w in enumerate(walks):
+        bounds, cuts, here = np.cumsum([0, *w]).tolist(), [0], 0
+        while here < bounds[-1]:
+            budget = most[i] - (again[i] if here else 0)
+            reach = [b for b in bounds if here < b <= here + budget]
+            here = reach[-1] if reach else here + budget
+            cuts.append(here)
+        assert pos[walk == i].tolist() == cuts
+
+
+def test_pieces_share_the_overlap(spark):
+    walk = [list(range(a, a + n)) for a, n in ((0, 3), (3, 40), (43, 7), (50, 8), (58, 26))]
+    df = rows(spark, [(5, 1, walk, at(2)), (5, 2, [[1, 2]], at(1))])
+    for overlap in (None, 0, 4, 9, 19):
+        mine = sorted(split_walks(df, 20, with_kmers=True, overlap=overlap).filter("contig_id = 1").collect(), key=lambda p: p.piece_no)
+        shared = max((overlap or 0) - 4, 0)
+        assert all(p.bases <= 20 and p.kmers == list(range(p.from_kmer, p.to_kmer)) for p in mine) and mine[0].from_kmer == 0 and mine[-1].to_kmer == 84
+        assert all(b.from_kmer == max(a.to_kmer - shared, 0) and b.to_kmer > a.to_kmer for a, b in zip(mine, mine[1:]))
+    with pytest.raises(ValueError):
+        split_walks(df, 20, overlap=20)
+
+
 def rows(spark, data):
     return spark.createDataFrame([(k, i, "s", None if w is None else [(1, a, "x") for a in w], t, "e") for k, i, w, t in data], SCHEMA)
 
