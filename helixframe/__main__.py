@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
+from .plans import mixture
 from .plans import options as O
 from .plans.assemble import assemble, spectrum_summary
+from .plans.selection import floor_report
 from .session import local_session
 from .sources import fastx, sinks
 
@@ -37,10 +40,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-correction", action="store_true")
     p.add_argument("--graph", action="store_true", help="write the corrected graph as DOT and GFA")
     p.add_argument("--gzip", action="store_true")
-    p.add_argument("--threads", default="*", help="local cores, if no cluster session exists")
+    p.add_argument("--debug-floors", action="store_true", help="report and plot every quality floor; decides nothing")
+    p.add_argument("--threads", type=threads, default="*", help="local cores, if no cluster session exists")
     return p
 
 
+def threads(text: str) -> int | str:
+    """A positive number of cores, or * for all there are."""
+    if text == "*":
+        return text
+    if not text.isdigit() or not int(text):
+        raise argparse.ArgumentTypeError("threads must be a positive number")
+    return int(text)
+
+
 def options_of(a: argparse.Namespace) -> O.AssemblyOptions:
     return O.AssemblyOptions(
         k=a.k, ks=a.ks, min_count=a.min_count, min_quality=a.min_quality, first_sighting_filter=not a.no_first_sighting_filter, two_bit=a.two_bit,
@@ -55,11 +68,15 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         options = options_of(a)
+        if a.two_bit and a.debug_floors:
+            raise O.InvalidOptions("two-bit storage has no qualities to report on")
     except O.InvalidOptions as problem:
         print(problem, file=sys.stderr)
         return 2
     Path(a.output).parent.mkdir(parents=True, exist_ok=True)
     log = sinks.run_log(f"{a.output}.log")
+    if isinstance(a.threads, int) and a.threads > (os.cpu_count() or 1):
+        log.warning("%d threads on %d cores", a.threads, os.cpu_count() or 1)
     spark = local_session(a.threads)
     try:
         paths = a.reads
@@ -75,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_graph(nodes, edges, result_k[-1], prefix)
 
         result_k: list[int] = []
-        spectra = lambda found: _report(found, prefix, log, result_k)
+        spectra = lambda found: _report(found, prefix, log, result_k, a.debug_floors)
         result = assemble(reads, options, graph if a.graph else None, lambda k, contigs: sinks.write_fasta(contigs, options.min_contig_length, sinks.step_name(prefix, k, False), a.gzip), spectra)
         n = result.write_fasta(sinks.step_name(prefix, result.completed_ks[-1], True), a.gzip)
         log.info("wrote %d contigs; ks %s, stopped at %s", n, result.completed_ks, result.stopped_at)
@@ -85,13 +102,18 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
-def _report(found, prefix: str, log, ks: list[int]) -> None:
-    """Table and plots of one k's spectrum."""
+def _report(found, prefix: str, log, ks: list[int], all_floors: bool = False) -> None:
+    """Table and plots of one k's spectrum, and of every floor's."""
     ks.append(found.k)
     name = sinks.spectrum_name(prefix, found.k)
     sinks.write_spectrum_tsv(found.spectrum, f"{name}.spectrum.tsv")
     sinks.write_spectrum_plots(found.spectrum, {"peak": found.peak, "cutoff": found.min_count}, name)
     log.info("k=%d: %s", found.k, spectrum_summary(found.spectrum, found.min_count))
+    for v in floor_report(found.spectra, mixture.fitter(found.kmers.sparkSession), found.scale) if all_floors else ():
+        name = sinks.spectrum_name(prefix, found.k, v.floor)
+        sinks.write_spectrum_tsv(found.spectra[v.floor], f"{name}.spectrum.tsv")
+        sinks.write_spectrum_plots(found.spectra[v.floor], {"peak": v.estimate.peak, "cutoff": v.min_count}, name, v.fit.heights.sum(axis=0) if v.fit else None)
+        log.info("k=%d, floor %d: peak %s, fitted mode %s, cutoff %d, error tail %s", found.k, v.floor, v.estimate.peak, v.fit.mode if v.fit else None, v.min_count, v.error_tail)
 
 
 if __name__ == "__main__":

@@ -42,6 +42,8 @@ class Preprocessed:
     source: str
     unresolved: bool
     chosen_floor_resolved: bool = True
+    spectra: dict[int, np.ndarray] = field(default_factory=dict)  # of every floor looked at
+    scale: float = 1.0  # by which these were scaled up from a sample
 
 
 @dataclass
@@ -121,7 +123,7 @@ def preprocess(reads: DataFrame, k: int, floors: list[int], options: AssemblyOpt
     kept = cut_lineage(table.filter(F.col("n") >= choice.min_count))
     if kept.isEmpty():
         raise PreprocessingError(f"no {k}-mer reaches a count of {choice.min_count}")
-    return Preprocessed(k, kept, spectrum, choice.min_count, choice.floor, choice.peak, choice.source, _unresolved(choice, options), not _unresolved(first, options))
+    return Preprocessed(k, kept, spectrum, choice.min_count, choice.floor, choice.peak, choice.source, _unresolved(choice, options), not _unresolved(first, options), spectra, 1 / fraction)
 
 
 def _unresolved(choice: Choice, options: AssemblyOptions) -> bool:

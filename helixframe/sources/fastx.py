@@ -113,7 +113,7 @@ def read_fastx(spark: SparkSession, paths: list[str]) -> DataFrame:
     path and record; an empty file has no records."""
     if not paths:
         raise ValueError("no input files")
-    table = spark.createDataFrame(list(enumerate(paths)), "file_no int, path string").repartition(len(paths), "file_no")
+    table = spark.createDataFrame(list(enumerate(paths)), "file_no int, path string").repartitionById(len(paths), F.col("file_no"))  # one file a task
     return table.mapInArrow(_decode, RECORDS)
 
 

@@ -134,3 +134,43 @@ def test_command_line(tmp_path):
     assert main(["x.fq", "-o", str(tmp_path / "o"), "-k", "20"]) == 2
     with pytest.raises(SystemExit):
         main(["-o", "x"])
+    assert main(["x.fq", "-o", str(tmp_path / "o"), "--two-bit", "--ks", "21", "--min-quality", "0", "--debug-floors"]) == 2
+    assert parser().parse_args(["x.fq", "-o", "o", "--threads", "3"]).threads == 3
+    for bad in ("0", "-1", "two"):
+        with pytest.raises(SystemExit):
+            parser().parse_args(["x.fq", "-o", "o", "--threads", bad])
+
+
+def test_command_line_run(spark, tmp_path):
+    from brute import genome, rc, shotgun
+    from helixframe.__main__ import main
+
+    text = genome(400, 31)
+    with gzip.open(tmp_path / "r.fastq.gz", "wt") as f:
+        f.writelines(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in shotgun(text, 150, 80, 32))
+    out = tmp_path / "made" / "a.b"
+    assert main([str(tmp_path / "r.fastq.gz"), "-o", str(out), "--ks", "21,31", "--min-contig-length", "200", "--graph", "--debug-floors", "--threads", "8"]) == 0
+    names = {p.name for p in out.parent.iterdir()}
+    assert {"a.b_contigs.fasta", "a.b_k21_contigs.fasta", "a.b.log", "a.b.gfa", "a.b_k21_kmerspectrum.spectrum.tsv", "a.b_k31_kmerspectrum_q0.png"} <= names
+    fasta = "".join(p.read_text() for p in (out.parent / "a.b_contigs.fasta").glob("part*"))
+    seq = "".join(fasta.splitlines()[1:])
+    assert fasta.startswith(">0\n") and (seq in text or rc(seq) in text) and len(seq) > 350
+
+
+def test_stepwise(spark):
+    from brute import genome, rc, shotgun
+    from helixframe.plans.options import AssemblyOptions
+    from helixframe.plans.stepwise import Stepwise
+
+    text = genome(400, 41)
+    reads = spark.createDataFrame(shotgun(text, 150, 80, 42), "read_id long, seq string, qual string")
+    run = Stepwise(reads, AssemblyOptions(min_count=2, min_contig_length=200))
+    assert run.take_contigs() is None and run.take_graph() is None
+    assert not run.set_pop_ratio(2.0) and not run.set_k(20) and not run.set_dead_end_k_multiple(-1.0) and not run.set_many_ks([31, 21]) and run.options.k is None
+    assert run.set_pop_ratio(0.2) and run.set_k(21) and run.options.pop_ratio == 0.2 and run.options.k == 21
+    info = json.loads(run.preprocess())
+    assert info["k"] == 21 and not info["multik"] and info["used_min_count"] == 2 and len(info["histo"]) == 500 and info["nkmers"] >= 350
+    assert json.loads(run.assemble()) == {"ncontigs": 1}
+    seq = run.take_contigs().first().seq
+    assert (seq in text or rc(seq) in text) and run.take_contigs() is None
+    assert any(r.value.startswith("S\t") for r in run.take_graph().collect()) and run.take_graph() is None
