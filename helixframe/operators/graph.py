@@ -8,19 +8,69 @@ begins. Every edge has its mirror image (dst, not do) -> (src, not so).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import PACKED_K, flip, packed, reverse_complement
 from ..session import cut_lineage
 
+#: From this many nodes on, ids are given by neighbourhood.
+MANY_NODES = 1_000_000
+#: Bases of the stretches by which neighbours find together.
+MINIMIZER = 11
 NODES = "nid long, seq string, n_kmers long, cov double"
 EDGES = "src long, so string, dst long, do string"
 
 
 def nodes_of(counts: DataFrame) -> DataFrame:
-    """One node for each counted k-mer; the ids are fixed by writing the table."""
-    return cut_lineage(counts.select(F.monotonically_increasing_id().alias("nid"), F.col("kmer").alias("seq"), F.lit(1).cast("long").alias("n_kmers"), F.col("n").cast("double").alias("cov")))
+    """One node for each counted k-mer; the ids are fixed by writing the table.
+
+    Many k-mers are put where their neighbours are first, so that ids of one
+    partition make up long stretches of paths.
+    """
+    ids = lambda df: cut_lineage(df.select(F.monotonically_increasing_id().alias("nid"), "seq", "n_kmers", "cov"))
+    nodes = ids(counts.select(F.col("kmer").alias("seq"), F.lit(1).cast("long").alias("n_kmers"), F.col("n").cast("double").alias("cov")))
+    return ids(by_neighbourhood(nodes)) if nodes.count() > MANY_NODES else nodes
+
+
+def minimizers(kmers: pa.Array) -> np.ndarray:
+    """The least hash of a k-mer's stretches of MINIMIZER bases, either strand's: neighbouring k-mers mostly share it."""
+    lengths = pa.compute.binary_length(kmers).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(lengths), np.uint64)
+    for k in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == k)
+        text = "".join(kmers.take(pa.array(rows)).to_pylist()).encode()
+        codes = (np.frombuffer(text, np.uint8) >> np.uint8(1) & np.uint8(3)).astype(np.uint64).reshape(-1, k)
+        m = min(MINIMIZER, k)
+        forward, backward = np.zeros((len(rows), k - m + 1), np.uint64), np.zeros((len(rows), k - m + 1), np.uint64)
+        for i in range(m):
+            part = codes[:, i : i + k - m + 1]
+            forward |= part << np.uint64(2 * (m - 1 - i))
+            backward |= (part ^ np.uint64(2)) << np.uint64(2 * i)
+        with np.errstate(over="ignore"):
+            word = np.minimum(forward, backward) * np.uint64(0x9E3779B97F4A7C15)
+            out[rows] = (word ^ (word >> np.uint64(29))).min(axis=1) if k else 0
+    return out
+
+
+def by_neighbourhood(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Nodes of single k-mers, moved to a partition that they share with most of their neighbours."""
+    n = partitions or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                mixed = minimizers(batch.column("seq")) * np.uint64(0xD1342543DE82EF95)
+            home = ((mixed >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], names=[*batch.schema.names, "home"])
+
+    placed = nodes.select("seq", "n_kmers", "cov").mapInArrow(run, "seq string, n_kmers long, cov double, home int")
+    return placed.repartitionById(n, F.col("home")).drop("home")
 
 
 def oriented_view(nodes: DataFrame) -> DataFrame:

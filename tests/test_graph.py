@@ -43,6 +43,20 @@ def test_unitigs_match_brute_force(spark):
     assert parts.select("component").distinct().count() == 1
 
 
+def test_neighbours_share_a_partition(spark, monkeypatch):
+    k, text = 21, genome(3000, 77)
+    kmers = kmers_of(text, k=k)
+    plain = {canonical(r.seq) for r in contract(*build(spark, kmers), k)[0].collect()}
+    monkeypatch.setattr(graph, "MANY_NODES", 0)
+    monkeypatch.setattr(compact, "rank_paths", lambda keys, links, local=0: rank_paths(keys, links, 0))
+    nodes, edges = build(spark, kmers)
+    assert nodes.count() == len(kmers) == nodes.select("nid").distinct().count()
+    at = F.shiftright("src", 33) == F.shiftright("dst", 33)
+    assert edges.filter(at).count() > 0.6 * edges.count() and nodes.select(F.shiftright("nid", 33)).distinct().count() == 4
+    merged, _, _ = contract(nodes, graph.without_self_loops(edges), k)
+    assert {canonical(r.seq) for r in merged.collect()} == plain == {canonical(text)}
+
+
 def test_cycle_spells_the_overlap_again(spark):
     ring = genome(40, 8)
     kmers = kmers_of(ring + ring[: K - 1])
