@@ -155,17 +155,30 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Growing:
+    """An array that is appended to in amortised constant time."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values: list[int]) -> None:
+        if self.size + len(values) > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.zeros(self.size + len(values) + 1024, self.held.dtype)))
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class Encoder:
     """Encodes many texts at once; slices seen before cost one lookup."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.sizes: np.ndarray | None = None
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.lengths, self.ids = [], []
-        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.lengths, self.first, self.ids = Growing(np.int64), Growing(np.int64), Growing(np.int32)
 
     def _code(self, slices: list[str]) -> np.ndarray:
         known = self.known
@@ -177,13 +190,12 @@ class Encoder:
                 s = slices[i]
                 code = known.get(s)
                 if code is None:
-                    code = known[s] = len(self.lengths)
+                    code = known[s] = self.lengths.size
                     ids = merged(s.encode("utf-8", "surrogatepass"), self.ranks)
-                    self.lengths.append(len(ids))
+                    self.first.extend([self.ids.size])
+                    self.lengths.extend([len(ids)])
                     self.ids.extend(ids)
                 out[i] = code
-            lengths = np.array(self.lengths, np.int64)
-            self.table = lengths, np.cumsum(lengths) - lengths, np.array(self.ids, np.int32)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,19 +211,28 @@ class Encoder:
         starts = token_starts(symbols(code_points(joined), np.unique(ends[sizes > 0])))
         cuts = starts.tolist()
         codes = self._code([joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)])])
-        lengths, first, ids = self.table
-        count = lengths[codes]
+        count = self.lengths.held[codes]
         run = np.concatenate(([0], np.cumsum(count)))
-        at = np.repeat(first[codes] - run[:-1], count) + np.arange(run[-1])
+        at = np.repeat(self.first.held[codes] - run[:-1], count) + np.arange(run[-1])
         bounds[1:] = run[np.searchsorted(starts, ends)]
-        return bounds, ids[at]
+        return bounds, self.ids.held[at]
+
+    def offsets(self, bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where each id begins in the UTF-8 bytes of its text."""
+        if self.sizes is None:
+            self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            for piece, rank in self.ranks.items():
+                self.sizes[rank] = len(piece)
+        run = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        return (run[:-1] - np.repeat(run[bounds[:-1]], np.diff(bounds))).astype(np.int32)
 
 
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encode_texts(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and ids of every row, by the ranks file ``vocabulary`` and without special tokens.
+def encode_texts(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text", with_offsets: bool = False) -> DataFrame:
+    """doc_id and ids of every row, by the ranks file ``vocabulary`` and without special tokens; ``with_offsets`` also where
+    each id begins in the text's UTF-8 bytes.
 
     Null and empty texts have an empty list, never null; strings that look like
     special tokens are ordinary text. Row for row: repeated rows stay, null ids
@@ -233,11 +254,14 @@ def encode_texts(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "
             texts = batch.column(1).fill_null("").to_pylist()
             for a, b in in_chunks(texts):
                 bounds, ids = encoder.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[id_column, "ids"])
+                cuts = pa.array(bounds.astype(np.int32))
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(cuts, pa.array(ids))]
+                if with_offsets:
+                    columns.append(pa.ListArray.from_arrays(cuts, pa.array(encoder.offsets(bounds, ids))))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "ids", "offsets"][: len(columns)])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>" + (", offsets array<int>" if with_offsets else ""))
 
 
 def decode_ids(df: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

@@ -54,6 +54,8 @@ def test_rows_and_round_trip(spark):
     back = {r.doc_id: (r.text, r.offsets) for r in decode_ids(out).collect()}
     assert all(back[i][0] == t for i, t in enumerate(TEXTS)) and back[900] == ("", [])
     assert back[16][1][0] == 0 and len(back[16][1]) == len(dict(got)[16])
+    kept = {r.doc_id: (r.ids, r.offsets) for r in encode_texts(df, with_offsets=True).collect()}
+    assert all(kept[i] == (ids, back[i][1]) for i, ids in dict(got).items() if i is not None)
     assert encode_texts(df.limit(0)).count() == 0
 
 
