@@ -140,8 +140,27 @@ def spectrum_svg(spectrum: np.ndarray, markers: dict[str, int | None], log_scale
     return "\n".join(out)
 
 
+# Letters of three by five pixels, a row of three bits after the other.
+GLYPHS = {
+    "0": 0o75557, "1": 0o26227, "2": 0o71747, "3": 0o71717, "4": 0o55711, "5": 0o74717, "6": 0o74757, "7": 0o71111, "8": 0o75757, "9": 0o75717,
+    "a": 0o07577, "b": 0o44757, "c": 0o07447, "d": 0o11757, "e": 0o07747, "f": 0o34644, "g": 0o75717, "h": 0o44755, "i": 0o20222, "j": 0o10117, "k": 0o45655, "l": 0o44447, "m": 0o05775,
+    "n": 0o06555, "o": 0o07557, "p": 0o75744, "q": 0o75711, "r": 0o07444, "s": 0o34216, "t": 0o47443, "u": 0o05557, "v": 0o05552, "w": 0o05577, "x": 0o05255, "y": 0o55717, "z": 0o07247,
+    "-": 0o00700, ".": 0o00002, "(": 0o24442, ")": 0o21112,
+}
+
+
+def _write(image: np.ndarray, row: int, column: int, text: str, scale: int = 2) -> None:
+    """Text from its upper left corner on; unknown letters are blanks, and what lies outside is cut off."""
+    for i, letter in enumerate(text.lower()):
+        bits = GLYPHS.get(letter, 0)
+        for p in range(15):
+            if bits >> (14 - p) & 1:
+                y, x = row + p // 3 * scale, column + (4 * i + p % 3) * scale
+                image[max(y, 0) : max(y + scale, 0), max(x, 0) : max(x + scale, 0)] = 51
+
+
 def spectrum_png(spectrum: np.ndarray, markers: dict[str, int | None], log_scale: bool = False, size: tuple[int, int] = (900, 500)) -> bytes:
-    """The same bars and markers as pixels, without text."""
+    """The same bars, axes and markers as pixels."""
     width, height = size
     peak = markers.get("peak")
     used = np.flatnonzero(spectrum[:-1])
@@ -151,15 +170,28 @@ def spectrum_png(spectrum: np.ndarray, markers: dict[str, int | None], log_scale
     if peak and not log_scale:
         top = min(top, 3 * max(spectrum[peak - 1], 1))
     tall = np.log10(np.maximum(bars, 1)) / math.log10(max(top, 10)) if log_scale else np.minimum(bars / top, 1)
+    left, bottom, plot = 70, height - 50, width - 90
     image = np.full((height, width, 3), 255, np.uint8)
-    column = np.minimum(np.arange(width) * last // width, last - 1)
-    image[np.arange(height)[:, None] >= height - np.round(tall[column] * (height - 20))[None, :]] = (72, 120, 168)
-    for count in markers.values():
+    column = np.minimum(np.arange(plot) * last // plot, last - 1)
+    high = np.round(tall[column] * (bottom - 20))
+    rows = np.arange(height)[:, None]
+    image[:, left : left + plot][(rows >= bottom - high[None, :]) & (rows < bottom)] = (72, 120, 168)
+    image[bottom, left : left + plot] = image[20:bottom, left] = 0
+    for name, count in markers.items():
         if count and count <= last:
-            image[::6, min(int((count - 0.5) * width / last), width - 1)] = (51, 51, 51)
+            x = left + min(int((count - 0.5) * plot / last), plot - 1)
+            image[20:bottom:6, x] = 51
+            _write(image, 22, x + 4, f"{name} {count}")
+    for f in (0, 0.25, 0.5, 0.75, 1):
+        label = str(round(1 + f * (last - 1)))
+        _write(image, bottom + 8, left + int(f * plot) - 4 * len(label), label)
+        value = str(round(10 ** (f * math.log10(max(top, 10))) if log_scale else f * top))
+        _write(image, bottom - int(f * (bottom - 20)) - 5, left - 8 * len(value) - 4, value)
+    _write(image, height - 20, left + plot // 2 - 20, "count")
+    _write(image, 4, 4, "distinct k-mers (log)" if log_scale else "distinct k-mers")
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
 def write_spectrum_plots(spectrum: np.ndarray, markers: dict[str, int | None], base: str, fitted: np.ndarray | None = None) -> list[str]:
