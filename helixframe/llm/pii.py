@@ -342,7 +342,7 @@ def _case(column: str, field: str):
     return out
 
 
-def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Trusted patterns (kind, pos, pattern) and the instances' scores (kind, instance, share, known).
 
     A pattern is trusted if known instances make up a share of all places it
@@ -350,7 +350,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[Data
     on the better side, and it is known from a threshold on. Seeds stay known,
     but for layouts of phone numbers, which must be usual ones. Every round is
     two aggregations of the edges; the tables hold words and layouts, not
-    documents.
+    documents. Rounds go on until no pattern and no instance changes, or a
+    state comes back, or for ``rounds``.
     """
     official = None
     for word in OFFICIAL_WORDS:
@@ -359,7 +360,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[Data
     given = edges.filter((F.col("kind") == "id_number") & official).select("kind", "pos", "pattern").distinct()
     size = edges.filter("pos = 'left'").groupBy("kind").agg(F.sum("n").alias("size"))
     known = seeds
-    for _ in range(rounds):
+    states: set[tuple] = set()
+    while rounds is None or len(states) < rounds:
         marked = edges.join(_small(known.withColumn("k", F.lit(1))), ["kind", "instance"], "left")
         hits = F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0))
         scored = marked.groupBy("kind", "pos", "pattern").agg(hits.alias("hits"), F.sum("n").alias("n"))
@@ -372,9 +374,20 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[Data
         scores = scored.groupBy("kind", "instance").agg(F.max(F.col("hits") / F.col("n")).alias("share"), F.max("good").alias("good"))
         scores = cut_lineage(scores.join(_small(seeds.distinct().withColumn("seed", F.lit(True))), ["kind", "instance"], "full").select("kind", "instance", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("good", F.lit(False)) | (F.coalesce("seed", F.lit(False)) & (F.col("kind") != "phone"))).alias("known")))
         known = scores.filter("known").select("kind", "instance")
+        state = (*_fingerprint(trusted), *_fingerprint(known))
+        if state in states:
+            break
+        states.add(state)
     return trusted, scores
 
 
+def _fingerprint(df: DataFrame) -> tuple:
+    """Rows and a sum over their hashes, the same for the same rows in any order."""
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
+
+
+
 def learnt_names(found: DataFrame, scores: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The known given names, and the family names (instance): what follows one in the same style, and the listed ones."""
     given = cut_lineage(scores.filter("kind = 'name' and known").select("instance"))
@@ -448,7 +461,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def find_pii(documents: DataFrame, person_names: DataFrame, rounds: int = 3) -> DataFrame:
+def find_pii(documents: DataFrame, person_names: DataFrame, rounds: int | None = None) -> DataFrame:
     """Every piece of personal information with its place: doc_id, text_key, start, stop, pii_type, pii_text.
 
     ``person_names`` (kind, name) are the seeds; null names are ignored. Null
@@ -475,7 +488,7 @@ def find_pii(documents: DataFrame, person_names: DataFrame, rounds: int = 3) ->
     return spans.select("doc_id", "text_key", "start", "stop", "pii_type", "pii_text").mapInArrow(_settle, SPANS)
 
 
-def redact(documents: DataFrame, person_names: DataFrame, rounds: int = 3) -> DataFrame:
+def redact(documents: DataFrame, person_names: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id and the text with typed placeholders such as ``[EMAIL]`` in place of personal information; the rest is unchanged.
 
     Null texts stay null. Row for row: repeated rows stay.
