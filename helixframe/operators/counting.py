@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import PACKED_K, unpacked
-from .kmers import Batch, _floors, _one_byte, check_k, kmer_windows
+from .kmers import Batch, _floors, _one_byte, check_k
 
 #: Bins of a spectrum; the last one holds every higher count.
 BINS = 8000
@@ -21,24 +21,40 @@ LOWEST_THRESHOLD_BITS = 52
 def count_kmers(reads: DataFrame, k: int, floors: list[int] | None = None, min_count: int = 1) -> DataFrame:
     """Canonical kmer, n, and n_f0 ... for each floor the windows that clear it; kmers below ``min_count`` drop out.
 
-    Up to 31 bases a k-mer is one LONG: each task packs its windows and sums
-    them batch by batch, so what is shuffled are partial counts of 8-byte
-    keys. Longer k-mers are counted as strings by partial aggregation.
+    A k-mer is a LONG for each 31 bases: each task packs its windows and sums
+    them batch by batch, so what is shuffled are partial counts of short keys.
     """
     check_k(k)
     floors = _floors(floors)
     names = [f"n_f{i}" for i in range(len(floors))]
-    if k <= PACKED_K:
-        partial = _one_byte(reads).mapInArrow(_packed_counts(k, floors), "word long, " + ", ".join(f"{n} long" for n in names))
-        summed = partial.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
-        counts = summed.select(unpacked("word", k, "ACGT").alias("kmer"), *names)
-    else:
-        windows = kmer_windows(reads, k, floors)
-        counts = windows.groupBy("kmer").agg(*(F.sum((F.col("grp") >= i).cast("long")).alias(n) for i, n in enumerate(names)))
-    counts = counts.select("kmer", F.col("n_f0").alias("n"), *names)
+    sizes = chunk_sizes(k)
+    words = [f"w{i}" for i in range(len(sizes))]
+    partial = _one_byte(reads).mapInArrow(_packed_counts(k, floors), ", ".join(f"{n} long" for n in words + names))
+    summed = partial.groupBy(*words).agg(*(F.sum(n).alias(n) for n in names))
+    kmer = F.concat(*(unpacked(w, size, "ACGT") for w, size in zip(words, sizes)))
+    counts = summed.select(kmer.alias("kmer"), F.col("n_f0").alias("n"), *names)
     return counts.filter(F.col("n") >= min_count) if min_count > 1 else counts
 
 
+def chunk_sizes(k: int) -> list[int]:
+    """The bases of each LONG of a packed k-mer."""
+    return [min(PACKED_K, k - first) for first in range(0, k, PACKED_K)]
+
+
+def _canonical_words(batch: Batch, starts: np.ndarray, k: int) -> list[np.ndarray]:
+    """The lesser of each window and its reverse complement, a word for each chunk; both strands are cut alike from their own beginning."""
+    sizes = chunk_sizes(k)
+    packed = {size: batch.packed(size) for size in set(sizes)}
+    first = np.cumsum([0, *sizes])[:-1]
+    forward = [packed[size][0][starts + at] for at, size in zip(first, sizes)]
+    backward = [packed[size][1][starts + k - at - size] for at, size in zip(first, sizes)]
+    turned, open_ = np.zeros(len(starts), bool), np.ones(len(starts), bool)
+    for f, b in zip(forward, backward):
+        turned |= open_ & (b < f)
+        open_ &= b == f
+    return [np.where(turned, b, f).astype(np.int64) for f, b in zip(forward, backward)]
+
+
 def _packed_counts(k: int, floors: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -48,13 +64,16 @@ def _packed_counts(k: int, floors: list[int]):
                 starts = batch.starts(k, floors[0])
                 if not len(starts):
                     continue
-                forward, backward = batch.packed(k)
-                words = np.minimum(forward[starts], backward[starts]).astype(np.int64)
-                order = np.argsort(words)
-                words, group = words[order], batch.groups(starts, k, floors)[order]
-                first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+                words = _canonical_words(batch, starts, k)
+                order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0])
+                words, group = [w[order] for w in words], batch.groups(starts, k, floors)[order]
+                new = np.zeros(len(order), bool)
+                new[0] = True
+                for w in words:
+                    new[1:] |= w[1:] != w[:-1]
+                first = np.flatnonzero(new)
                 sums = [np.add.reduceat((group >= i).astype(np.int64), first) for i in range(len(floors))]
-                yield pa.RecordBatch.from_arrays([pa.array(words[first]), *(pa.array(s) for s in sums)], names=["word", *(f"n_f{i}" for i in range(len(floors)))])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(w[first] for w in words), *sums)], names=[*(f"w{i}" for i in range(len(words))), *(f"n_f{i}" for i in range(len(floors)))])
 
     return run
 

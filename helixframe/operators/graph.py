@@ -183,6 +183,33 @@ def without_weak(nodes: DataFrame, edges: DataFrame, least: float) -> tuple[Data
     return without_nodes(nodes, edges, nodes.filter(F.col("cov") < least).select("nid"))
 
 
+#: Links between nodes that one task labels in memory; more are labelled by rounds over the cluster.
+LOCAL_LINKS = 2_000_000
+
+
+def _label_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least id that each linked node is connected with: lesser labels go along links, and labels to their own labels, until none changes."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    nid, at = np.unique(np.concatenate((table.column("a").to_numpy(), table.column("b").to_numpy())), return_inverse=True)
+    a, b = at[: table.num_rows], at[table.num_rows :]
+    label = np.arange(len(nid))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, label[a], label[b])
+        np.minimum.at(label, label[b], label[a])
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    for first in range(0, len(nid), 100_000):
+        part = slice(first, first + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(nid[part]), pa.array(nid[label[part]])], names=["nid", "root"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nid and component, the least id that is connected with it.
 
@@ -194,6 +221,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     links = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     links = cut_lineage(links)
+    if links.count() <= LOCAL_LINKS:
+        roots = links.repartition(1).mapInArrow(_label_batch, "nid long, root long")
+        return nodes.select("nid").join(roots, "nid", "left").select("nid", F.coalesce("root", "nid").alias("component"))
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

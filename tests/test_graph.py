@@ -57,6 +57,23 @@ def test_neighbours_share_a_partition(spark, monkeypatch):
     assert {canonical(r.seq) for r in merged.collect()} == plain == {canonical(text)}
 
 
+@pytest.mark.parametrize("local", [graph.LOCAL_LINKS, 0])
+def test_components(spark, monkeypatch, local):
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL_LINKS", local)
+    r = random.Random(6)
+    pairs = [(a, a + 1) for a in range(100, 160)] + [(200, b) for b in range(201, 230)] + [tuple(r.sample(range(300, 340), 2)) for _ in range(25)] + [(7, 7)]
+    ids = sorted({x for p in pairs for x in p} | {1, 2})
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame([(a, "+", b, "+") for a, b in pairs] + [(b, "-", a, "-") for a, b in pairs], graph.EDGES)
+    nodes = plain_nodes(spark, [(i, "A", 1, 1.0) for i in ids])
+    assert {r.nid: r.component for r in graph.components(nodes, edges).collect()} == root
+
+
 def test_cycle_spells_the_overlap_again(spark):
     ring = genome(40, 8)
     kmers = kmers_of(ring + ring[: K - 1])

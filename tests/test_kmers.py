@@ -39,7 +39,7 @@ def test_groups(reads):
         assert {p for p, g in got.items() if g >= level} == clean
 
 
-@pytest.mark.parametrize("k", [3, 7, 21, 31, 33, 35])
+@pytest.mark.parametrize("k", [3, 7, 21, 31, 33, 35, 61, 63, 93])
 def test_counts(spark, k):
     rows = [(i, "ACGGTCAATGCCATTGACCGTAAGCTNACGGTCAATGCCATTGACCGTAAGCTAAC" * 2, None) for i in range(3)] + READS
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
