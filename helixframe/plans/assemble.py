@@ -16,7 +16,7 @@ from ..operators.correct import correct
 from ..operators.counting import carry, count_kmers, dense, floor_spectra, gated_counts, histogram, sample_check, sample_fraction, sample_threshold, sampled
 from ..operators.graph import nodes_of, overlap_edges
 from ..session import cut_lineage
-from ..sources.reads import ReadStore, quality_alphabet, statistics
+from ..sources.reads import ReadStore, quality_alphabet
 from ..sources.sinks import write_fasta
 from .mixture import fitter
 from .options import AssemblyOptions, CorrectionOptions, InputError, InvalidOptions, PreprocessingError, settled_ladder
@@ -173,7 +173,7 @@ def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sin
     floors = effective_floors([r[0] for r in quality_alphabet(reads).collect()], options.min_quality, options.two_bit)
     store = ReadStore(reads, floors, options.two_bit)
     try:
-        facts = statistics(store.reads()).first()
+        facts = store.statistics().first()
         if not facts.reads:
             raise InputError("no reads")
         if options.k is not None:

@@ -134,6 +134,25 @@ def test_store(spark, reads):
         source.ReadStore(reads.filter("read_id = 1"), [0], two_bit=True).reads().collect()
 
 
+def test_a_packed_store_counts_alike(spark, reads):
+    rows = READS + [(100 + i, "ACGGTCAATGCCATTGACCG"[: i % 21], ("5I+#" * 5)[: i % 21] if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for floors in ([0], [0, 10, 30], [20]):
+        store = source.ReadStore(df, floors)
+        for k in (3, 11):
+            table = lambda d: {tuple(r) for r in counting.count_kmers(d, k, floors).collect()}  # noqa: B023, E731
+            assert table(store.reads()) == table(df)
+        assert {(r.read_id, len(r.seq) if r.seq is not None else None) for r in store.reads().collect()} == {(i, len(s) if s is not None else None) for i, s, _ in rows}
+        assert tuple(store.statistics().first()) == tuple(source.statistics(df).first())
+        store.close()
+    clean = df.filter("read_id >= 100 or read_id = 6")
+    two = source.ReadStore(clean, [0], two_bit=True)
+    assert {(r.read_id, r.seq, r.qual) for r in two.reads().collect()} == {(r.read_id, r.seq, None) for r in clean.collect()}
+    two.close()
+    empty = source.ReadStore(df.limit(0), [0, 20])
+    assert empty.reads().count() == 0 and tuple(empty.statistics().first()) == (0, 0, 0)
+
+
 def test_every_window_of_the_contigs(spark, tmp_path):
     text, old, k = genome(70, 41), genome(60, 42), catalog.K
     dirty = text[:30].lower() + "N" + text[30:]
