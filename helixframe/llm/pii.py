@@ -405,7 +405,11 @@ def accepted(found: DataFrame, frequent: DataFrame, trusted: DataFrame, scores:
         df = df.unionByName(df.filter((F.col("kind") == "address") & F.col(key).rlike("[а-яё]")).withColumn(key, folded))
         return _small(cut_lineage(df.groupBy(F.col(key).alias(name)).agg(*(F.max(F.when(F.col("kind") == k, value)).alias(f"{name}_{k}") for k in TRUST))))
 
-    out = found.join(by_kind(scores, "instance", "instance", F.when(F.col("known"), 2.0).otherwise(F.col("share"))), "instance", "left")
+    # what is empty meets nothing; in a join by shuffle it must not all go to one task
+    spread = lambda c: F.when(F.col(c) == "", F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).otherwise(F.col(c)).alias(c)
+    keys = ("instance", "partner", "l1", "l2", "r1")
+    out = found.select(*(c for c in found.columns if c not in keys), *map(spread, keys))
+    out = out.join(by_kind(scores, "instance", "instance", F.when(F.col("known"), 2.0).otherwise(F.col("share"))), "instance", "left")
     out = out.join(_small(family.select(F.col("instance").alias("partner"), F.lit(True).alias("is_family"))), "partner", "left")
     left = trusted.filter("pos = 'left'")
     out = out.join(by_kind(left, "pattern", "l1", F.lit(True)), "l1", "left")
