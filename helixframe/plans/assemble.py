@@ -165,7 +165,7 @@ def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sin
 
     A later k ends the ladder softly if nothing can be counted or its peak is
     low; an unresolved one is kept only if it raises the auN. ``sink`` gets
-    the corrected graph of the last accepted k, ``intermediate`` the contigs
+    the corrected graph of the last k, unless that is a later one that stopped the ladder or is unresolved, ``intermediate`` the contigs
     of each k before, ``counted`` what counting gave at each k.
     """
     options.validated()
@@ -217,7 +217,7 @@ def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sin
             log.info("%.1f s: k=%d gave %d contigs of %d bases", time.monotonic() - began, k, step.contigs, step.bases)
         assert result is not None
         result.steps, result.stopped_at = steps, stopped
-        if sink and graph and not stopped and not found.unresolved:
+        if sink and graph and not stopped and not (found.unresolved and number):
             sink(*graph)
         return result
     finally:

@@ -251,5 +251,13 @@ def test_assembly(spark):
         assemble(df, AssemblyOptions(k=81))
 
 
+def test_an_unresolved_first_k_still_gives_its_graph(spark):
+    text = genome(160, 51)
+    df = spark.createDataFrame([(i, text[80 * (i % 2) :][:80], None) for i in range(4)], "read_id long, seq string, qual string")
+    seen, steps = [], []
+    done = assemble(df, AssemblyOptions(k=21), lambda nodes, edges: seen.append(nodes.count()), counted=steps.append)
+    assert steps[0].unresolved and steps[0].min_count == 2 and seen and done.completed_ks == [21]
+
+
 def test_counts_survive_brute_force():
     assert sum(counts([(1, "ACGTT", None)], 3).values()) == 3 and compact.CHUNK > 1
