@@ -251,6 +251,17 @@ def test_assembly(spark):
         assemble(df, AssemblyOptions(k=81))
 
 
+def test_a_ladder_gives_one_exact_contig(spark):
+    text = genome(2000, 61)
+    quality = "".join(chr(33 + (35 if j % 7 == 0 else 70)) for j in range(150))
+    rows = [(2 * i + copy, text[5 * i : 5 * i + 150], quality) for i in range(371) for copy in (0, 1)]
+    steps = []
+    done = assemble(spark.createDataFrame(rows, "read_id long, seq string, qual string"), AssemblyOptions(ks=(21, 31), min_contig_length=200), counted=steps.append)
+    rows = done.long_contigs().collect()
+    assert done.completed_ks == [21, 31] and done.stopped_at is None and [s.k for s in steps] == [21, 31]
+    assert len(rows) == 1 and (rows[0].seq in text or rc(rows[0].seq) in text) and rows[0].len >= 0.99 * 2000
+
+
 def test_an_unresolved_first_k_still_gives_its_graph(spark):
     text = genome(160, 51)
     df = spark.createDataFrame([(i, text[80 * (i % 2) :][:80], None) for i in range(4)], "read_id long, seq string, qual string")
