@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
+from ..plans.options import SpellingError
 from ..session import cut_lineage
 from .graph import ambiguous, without_nodes, without_self_loops
 
@@ -200,6 +201,8 @@ def spell_walks(walks: DataFrame, k: int) -> DataFrame:
     The first k-mer is oriented by its successor. A walk that is empty, holds
     a k-mer of another length, or breaks off raises.
     """
+    if k < 2:
+        raise SpellingError(f"no walk can be spelled with k = {k}")
     rc = reverse_complement
     first = F.element_at("kmers", 1)
     second = F.try_element_at("kmers", F.lit(2))

@@ -19,7 +19,7 @@ from ..session import cut_lineage
 from ..sources.reads import ReadStore, quality_alphabet
 from ..sources.sinks import write_fasta
 from .mixture import fitter
-from .options import AssemblyOptions, CorrectionOptions, InputError, InvalidOptions, PreprocessingError, settled_ladder
+from .options import AssemblyOptions, CorrectionOptions, GraphOutputError, InputError, InvalidOptions, PreprocessingError, settled_ladder
 from .selection import Choice, choose, effective_floors, recounted
 from .spectrum import estimate, peak_source
 
@@ -218,7 +218,10 @@ def assemble(reads: DataFrame, options: AssemblyOptions = AssemblyOptions(), sin
         assert result is not None
         result.steps, result.stopped_at = steps, stopped
         if sink and graph and not stopped and not (found.unresolved and number):
-            sink(*graph)
+            try:
+                sink(*graph)
+            except Exception as problem:
+                raise GraphOutputError(f"the graph could not be written: {problem}") from problem
         return result
     finally:
         store.close()

@@ -5,7 +5,7 @@ from brute import canonical, counts, genome, rc, shotgun, unitigs
 from helixframe.operators import compact, correct, graph
 from helixframe.operators.compact import collapse, contract, rank_paths, spell_walks
 from helixframe.plans.assemble import FloorMemory, assemble, aun
-from helixframe.plans.options import AssemblyOptions, CorrectionOptions, CoverageReference, InputError, PreprocessingError
+from helixframe.plans.options import AssemblyOptions, CorrectionOptions, CoverageReference, GraphOutputError, InputError, PreprocessingError, SpellingError
 
 K = 7
 
@@ -269,6 +269,14 @@ def test_an_unresolved_first_k_still_gives_its_graph(spark):
     done = assemble(df, AssemblyOptions(k=21), lambda nodes, edges: seen.append(nodes.count()), counted=steps.append)
     assert steps[0].unresolved and steps[0].min_count == 2 and seen and done.completed_ks == [21]
 
+    def broken(nodes, edges):
+        raise OSError("disk full")
+
+    with pytest.raises(GraphOutputError, match="disk full"):
+        assemble(df, AssemblyOptions(k=21, min_count=2), broken)
+    with pytest.raises(SpellingError):
+        spell_walks(df, 1)
+
 
 def test_counts_survive_brute_force():
     assert sum(counts([(1, "ACGTT", None)], 3).values()) == 3 and compact.CHUNK > 1
