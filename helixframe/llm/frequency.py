@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import flat_lists, ints, mix, rechunk
+from .versions import by_deliveries
 
 #: Cutoff of a library that has none: nothing lies below it.
 NO_CUTOFF = 0
-#: Block ids delivered more than once that are sent to all tasks; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
 #: Entries that a range takes in before it adds them up.
 FOLD = 2_000_000
 KNOWN, ENTRIES = 0, 1
@@ -42,12 +41,9 @@ def current(df: DataFrame, key: str, when: str, *columns: str) -> DataFrame:
 
 def current_blocks(blocks: DataFrame) -> DataFrame:
     """Of each block its newest version. Only blocks delivered more than once are shuffled, found by their ids alone."""
-    known = blocks.select("block_id", "loaded_at", "sample", "canonical_hashes", "counts").withColumn("_null", F.col("block_id").isNull()).withColumn("_id", F.coalesce("block_id", F.lit(0).cast("long")))
-    several = known.groupBy("_null", "_id").agg(F.count("*").alias("n")).filter("n > 1").select("_null", "_id")
-    several = F.broadcast(several) if several.count() <= MOST_BROADCAST else several
-    once = known.join(several, ["_null", "_id"], "left_anti").select("block_id", "sample", "canonical_hashes", "counts")
-    newest = current(known.join(several, ["_null", "_id"], "left_semi"), "block_id", "loaded_at", "sample", "canonical_hashes", "counts")
-    return once.unionByName(newest)
+    columns = ("sample", "canonical_hashes", "counts")
+    once, more = by_deliveries(blocks.select("block_id", "loaded_at", *columns), "block_id")
+    return once.select("block_id", *columns).unionByName(current(more, "block_id", "loaded_at", *columns))
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import flat_lists, ints
+from .versions import by_deliveries
 
 PIECES = (
     "contig_id long, k int, sample string, piece_no int, n_pieces int, from_kmer long, to_kmer long,"
@@ -158,7 +159,14 @@ def split_walks(contigs: DataFrame, limit: int = 1000, with_kmers: bool = False,
     kept = [F.col("written_at"), F.col("k"), F.col("sample"), sizes.alias("sizes")]
     if with_kmers:
         kept.append(F.coalesce(hashes, F.array().cast("array<array<bigint>>")).alias("walk"))
-    current = contigs.select("contig_id", F.struct(*kept).alias("row")).groupBy("contig_id").agg(F.max("row").alias("row")).select("contig_id", "row.*")
+    rows = contigs.select("contig_id", F.struct(*kept).alias("row"))
+    newest = lambda df: df.groupBy("contig_id").agg(F.max("row").alias("row"))
+    if with_kmers:  # walks are large: only those with several versions are shuffled
+        once, more = by_deliveries(rows, "contig_id")
+        rows = once.unionByName(newest(more))
+    else:
+        rows = newest(rows)
+    current = rows.select("contig_id", "row.*")
     current = current.filter(F.exists("sizes", lambda n: n > 0)).drop("written_at")
     schema = PIECES + (", kmers array<long>" if with_kmers else "")
     return current.mapInArrow(_cut_batches(limit, with_kmers, overlap), schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import frequency
+from helixframe.llm import frequency, versions
 from helixframe.llm.frequency import dictionary_of, marked_terms, packed, packed_terms, term_frequencies, unpacked, unpacked_terms
 
 BLOCKS = "block_id long, sample string, canonical_hashes array<long>, counts array<long>, loaded_at timestamp, value string, term_id int"
@@ -80,7 +80,7 @@ def test_packing():
 
 
 def test_a_dictionary_is_written_and_used_again(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(frequency, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(versions, "MOST_BROADCAST", 0)
     r = random.Random(3)
     old = [(i, f"l{i % 7}", [r.randrange(-3000, 3000) for _ in range(30)], [2] * 30, 1) for i in range(100)]
     new = [(i, "m", [r.randrange(-9000, 9000) for _ in range(30)], [1] * 30, 1) for i in range(100)]
