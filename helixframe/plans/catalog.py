@@ -165,7 +165,7 @@ def a16_gfa2_lines(records: DataFrame) -> DataFrame:
 
 @query("a16_dot_lines", "read_records", sql=f"""{_UNITIGS}
 SELECT CAST(0 AS INTEGER) AS part, 'digraph {{' AS value UNION ALL SELECT 3, '}}'
-UNION ALL SELECT 1, '  ' || id || ' [label="' || id || ': ' || length(seq) || ' bases, ' || printf('%.1f', mass / n_kmers::DOUBLE) || '"]' FROM unitigs
+UNION ALL SELECT 1, '  ' || id || ' [label="' || id || ': ' || length(seq) || ' bases, ' || n_kmers || ' k-mers seen ' || mass || ' times"]' FROM unitigs
 UNION ALL SELECT 2, '  ' || src || ' -> ' || dst || ' [label="' || so || dor || '"]' FROM (SELECT DISTINCT * FROM links)""")
 def a16_dot_lines(records: DataFrame) -> DataFrame:
     return sinks.dot_lines(*graph.renumbered(*_contracted(records)))

@@ -75,7 +75,7 @@ def gfa2_lines(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     ends = spark.createDataFrame([(0, "digraph {"), (3, "}")], "part int, value string")
-    boxes = nodes.select(F.lit(1).alias("part"), F.format_string('  %d [label="%d: %d bases, %.1f"]', "nid", "nid", F.length("seq"), "cov").alias("value"))
+    boxes = nodes.select(F.lit(1).alias("part"), F.format_string('  %d [label="%d: %d bases, %d k-mers seen %d times"]', "nid", "nid", F.length("seq"), "n_kmers", F.round(F.col("cov") * F.col("n_kmers")).cast("long")).alias("value"))
     arrows = edges.select(F.lit(2).alias("part"), F.format_string('  %d -> %d [label="%s%s"]', "src", "dst", "so", "do").alias("value"))
     return ends.union(boxes).union(arrows)
 
